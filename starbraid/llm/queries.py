@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sharding
+from . import licenses, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_randomness_battery": secrets.op1_randomness_battery,
     "op5_diagonal_voting": licenses.op5_diagonal_voting,
     "op6_virtual_slots": sharding.op6_virtual_slots,
+    "op7_voronoi_join": topk.op7_voronoi_join,
 }
 
 #: Spans, maps, sketches and digests of byte ranges have no SQL form; tests hold these queries against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_voronoi_join": topk.ORACLE_SQL}

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, secrets, sharding, topk
+from . import bpe, fingerprints, licenses, packing, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_battery": secrets.op1_randomness_battery,
+    "op2_minimum_bin_slack": packing.op2_minimum_bin_slack,
     "op5_diagonal_voting": licenses.op5_diagonal_voting,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_voronoi_join": topk.op7_voronoi_join,
+    "op9_distinct_words": bpe.op9_distinct_words,
+    "op10_consistent_parsing": fingerprints.op10_consistent_parsing,
 }
 
 #: Spans, maps, sketches and digests of byte ranges have no SQL form; tests hold these queries against brute force.

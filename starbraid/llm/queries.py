@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, neardup, packing, secrets, sharding, topk
+from . import bpe, fingerprints, licenses, neardup, packing, repeats, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_battery": secrets.op1_randomness_battery,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_diagonal_voting": licenses.op5_diagonal_voting,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_voronoi_join": topk.op7_voronoi_join,
+    "op8_interval_tree": repeats.op8_interval_tree,
     "op9_distinct_words": bpe.op9_distinct_words,
     "op10_consistent_parsing": fingerprints.op10_consistent_parsing,
 }

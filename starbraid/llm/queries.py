@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, neardup, packing, repeats, secrets, sharding, topk
+from . import bpe, fingerprints, licenses, neardup, packing, repeats, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_battery": secrets.op1_randomness_battery,
     "op2_minimum_bin_slack": packing.op2_minimum_bin_slack,
     "op3_minhash_components": neardup.op3_minhash_components,
+    "op4_classifier_chain": toxicity.op4_classifier_chain,
     "op5_diagonal_voting": licenses.op5_diagonal_voting,
     "op6_virtual_slots": sharding.op6_virtual_slots,
     "op7_voronoi_join": topk.op7_voronoi_join,

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -316,22 +316,23 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], sha], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def with_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, text, spans array<long>): each text with the packed byte spans that go."""
+def with_spans(docs: DataFrame, hot: int = HOT, carry: Column | None = None) -> DataFrame:
+    """(doc_id, text, spans array<long>[, carried]): each text with the packed byte spans that go."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
-    flat = text_of(docs)
+    also = [] if carry is None else ["carried"]
+    flat = text_of(docs, *([] if carry is None else [carry.alias("carried")]))
     rows = flat.select(key, "text").mapInArrow(anchored, "h long, c long, doc long, span long, copy boolean")
     found = cut(rows.repartition("h").sortWithinPartitions("h", "c", "doc", "span").mapInArrow(sorted_out, "doc long, span long, h long"))
     opens = found.where("h IS NOT NULL")
     busy = opens.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("hot"))
     asked = opens.join(busy, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("span", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("opens"))
     # Both joins below read one exchange of the texts.
-    texts = flat.select("doc_id", key, "text").repartition("doc")
+    texts = flat.select("doc_id", key, "text", *also).repartition("doc")
     buckets = texts.join(asked, "doc").select("doc", "text", "opens").mapInArrow(contexts, "bucket long, doc long, start long, windows int, bytes binary")
     # Copies carry no bucket: they are dealt out by their document.
     dealt = buckets.repartition(F.coalesce("bucket", F.xxhash64("doc"))).sortWithinPartitions("bucket")
     spans = found.where("h IS NULL").select("doc", "span").union(dealt.mapInArrow(scanned, "doc long, span long"))
-    return texts.join(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "doc", "left").select("doc_id", "text", "spans")
+    return texts.join(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "doc", "left").select("doc_id", "text", "spans", *also)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -339,6 +340,22 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return with_spans(docs).mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans, carried) -> (carried, text without its spans); incomplete characters go with them."""
+    for batch in batches:
+        texts = [k.decode("utf-8", "ignore") for part in removed(iter([batch])) for k in part.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(texts, pa.string())], names=["carried", "text"])
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs with shortened texts (null texts become empty) and n_chars, where docs has it, in step."""
+    rest = [c for c in docs.columns if c != "text"]
+    spans = with_spans(docs, carry=F.struct(*rest))
+    out = spans.mapInArrow(rewritten, f"carried {spans.schema['carried'].dataType.simpleString()}, text string")
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
+
+
 def op8_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return with_spans(docs).mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+

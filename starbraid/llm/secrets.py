@@ -179,3 +179,17 @@ def scan(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("span_list")
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with every span replaced; overlapping spans share one mask. spans are sorted by start, in code points."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        return F.struct(
+            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+        )
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

@@ -41,7 +41,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = secrets.scan(docs).where(F.size("span_list") > 0).select(F.col("doc_id").alias("found_id"), "span_list").dropDuplicates(["found_id"])
     joined = docs.join(found, F.col("doc_id") == F.col("found_id"), "left")
     text = F.when(F.col("span_list").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("span_list"), MASK))
-    return joined.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,9 @@ def mean(c: Column | str, scale: int = 4) -> Column:
 
 
 def rounded(c: Column, digits: int = DIGITS) -> Column:
-    return F.round(c, digits)
+    """Half-up rounding in plain double steps, so that every engine with IEEE doubles gets the same result."""
+    scale = float(10**digits)
+    return F.floor(c.cast("double") * scale + 0.5).cast("double") / scale
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -52,13 +52,19 @@ TRIPS_SQL = """trip AS (
 ), zone AS (SELECT n_nationkey AS zone_key, n_name AS zone, r_name AS borough FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def unit_price() -> Column:
+    """Price of a unit in whole ten-thousandths (integer division), as a double with four exact decimals."""
+    cents = F.sum((E.exact("l_extendedprice", 2) * 100).cast("long"))
+    return F.call_function("div", cents * 100, F.sum(F.col("l_quantity").cast("long"))).cast("double") / 10000.0
+
+
 def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(state, zone, month_key, price): supplier nation by ship month, mean price of a unit."""
     line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     cells = (
         line.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", E.month_key("l_shipdate").alias("month_key"))
-        .agg(E.rounded(F.try_divide(E.total("l_extendedprice"), E.total("l_quantity")), 4).alias("price"))
+        .agg(unit_price().alias("price"))
     )
     return cells.join(zones(spark, sf_dir), F.col("s_nationkey") == F.col("zone_key")).select(F.col("zone").alias("state"), F.col("borough").alias("zone"), "month_key", "price")
 
@@ -67,27 +73,27 @@ PANEL_SQL = """zonal AS (SELECT n_nationkey AS zone_key, n_name AS zone, r_name
 panel AS (
   SELECT zone AS state, borough AS zone, month_key,  price FROM (
     SELECT s_nationkey, CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS INTEGER) AS month_key,
-           round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE), 4) AS price
+           CAST(CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) * 100 AS BIGINT) // CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS DOUBLE) / 10000.0::DOUBLE AS price
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) p JOIN zonal ON s_nationkey = zone_key)"""
 
 
 def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, zone, commodity, category, price_type, month_key, price, n): nation x brand x return flag x month."""
+    """(state, zone, commodity, category, month_key, price, n): supplier nation x brand x ship month."""
     line, supplier, part = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
     cells = (
         line.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("s_nationkey", "p_brand", "p_type", "l_returnflag", E.month_key("l_shipdate").alias("month_key"))
-        .agg(E.rounded(F.try_divide(E.total("l_extendedprice"), E.total("l_quantity")), 4).alias("price"), F.count(F.lit(1)).alias("n"))
+        .join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("s_nationkey", "p_brand", E.month_key("l_shipdate").alias("month_key"))
+        .agg(unit_price().alias("price"), F.count(F.lit(1)).alias("n"))
     )
     return cells.join(zones(spark, sf_dir), F.col("s_nationkey") == F.col("zone_key")).select(
-        F.col("zone").alias("state"), F.col("borough").alias("zone"), F.col("p_brand").alias("commodity"), F.col("p_type").alias("category"), F.col("l_returnflag").alias("price_type"), "month_key", "price", "n"
+        F.col("zone").alias("state"), F.col("borough").alias("zone"), F.col("p_brand").alias("commodity"), F.substring("p_brand", 1, 7).alias("category"), "month_key", "price", "n"
     )
 
 
 MARKET_SQL = """zonal AS (SELECT n_nationkey AS zone_key, n_name AS zone, r_name AS borough FROM nation JOIN region ON n_regionkey = r_regionkey),
 market AS (
-  SELECT zone AS state, borough AS zone, p_brand AS commodity, p_type AS category, l_returnflag AS price_type, month_key, price, n FROM (
-    SELECT s_nationkey, p_brand, p_type, l_returnflag, CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS INTEGER) AS month_key,
-           round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE), 4) AS price, count(*) AS n
+  SELECT zone AS state, borough AS zone, p_brand AS commodity, substr(p_brand, 1, 7) AS category, month_key, price, n FROM (
+    SELECT s_nationkey, p_brand, CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS INTEGER) AS month_key,
+           CAST(CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) * 100 AS BIGINT) // CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS DOUBLE) / 10000.0::DOUBLE AS price, count(*) AS n
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) p JOIN zonal ON s_nationkey = zone_key)"""

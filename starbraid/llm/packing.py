@@ -17,7 +17,9 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +34,22 @@ from .common import cut, text_of
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pieces of one length in a bucket, about.
 BUCKET = 20_000
 
+#: Letters whose lower case and normal form are the same everywhere, then punctuation that is never part of a word.
+PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
+
 ORACLE_SQL = None  # tokenizer ids and a packing search; tests hold exactness and padding
 
 
 class WordIds(dict):
     """Chunk of text without blanks -> its ids as little-endian bytes.
 
-    The vocabulary's pre-tokenizer never joins text across a blank, so a text's ids are its chunks' ids in turn.
+    The vocabulary's pre-tokenizer never joins text across a blank, so a text's ids are its chunks' ids in turn. A chunk
+    of plain letters and the punctuation after it are two words to it: their ids are looked up one by one, so that a word
+    meets the merges once whatever its case and punctuation. All other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,9 +57,32 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        # The byte-level alphabet shows byte b of a UTF-8 letter as one character.
+        shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+        hidden = [b for b in range(256) if b not in shown]
+        shown |= {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+    def whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))]).tobytes()
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if plain := PLAIN.fullmatch(chunk):
+            ids = self.word(plain[1].lower())
+            if plain[2]:
+                ids += self.whole(plain[2]) if plain[2] not in self else self[plain[2]]
+        else:
+            ids = self.whole(chunk)
         if len(chunk) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -1 +1 @@
-"""Spark operators of starbraid: see the modules."""
+"""Reserved: the inventory has no streaming operator."""

@@ -64,7 +64,7 @@ def selected(rows: DataFrame, folds: DataFrame, features: list[str], y: str, can
 
 def repeats(results: DataFrame) -> DataFrame:
     """(variant, rung): spread of the scores over seeds. results: (variant, rung, seed, mae, mape)."""
-    spread = lambda c: [E.rounded(F.avg(c)).alias(f"{c}_mean"), E.rounded(F.stddev_samp(c), 4).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    spread = lambda c: [E.rounded(E.mean(c, 6)).alias(f"{c}_mean"), E.rounded(F.stddev_samp(c), 4).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
     return results.groupBy("variant", "rung").agg(*spread("mae"), *spread("mape"), F.count(F.lit(1)).alias("n_repeats"), F.min_by("mae", "seed").alias("mae_first_seed"), F.array_join(F.array_sort(F.collect_list("seed")), ",").alias("seeds"))
 
 
@@ -75,7 +75,7 @@ def paired(results: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     a, b = results.select("variant", "seed", F.col("rung").alias("rung_a"), F.col("mae").alias("mae_a")), results.select("variant", "seed", F.col("rung").alias("rung_b"), F.col("mae").alias("mae_b"))
     diffs = a.join(F.broadcast(wanted), "rung_a").join(b, ["variant", "seed", "rung_b"]).withColumn("d", F.col("mae_b") - F.col("mae_a"))
     return diffs.groupBy("variant", "rung_a", "rung_b").agg(
-        F.count(F.lit(1)).alias("n_repeats"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"),
+        F.count(F.lit(1)).alias("n_repeats"), E.mean("d", 6).alias("m"), F.stddev_samp("d").alias("s"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"),
     ).select(
         "variant", "rung_a", "rung_b", "n_repeats", E.rounded(F.col("m")).alias("mean_diff_mae"), E.rounded(F.col("s"), 4).alias("sd_diff_mae"), E.rounded(F.col("lo")).alias("min_diff"), E.rounded(F.col("hi")).alias("max_diff"), E.rounded(F.try_divide("m", "s"), 3).alias("mean_over_sd"),
         F.when(F.col("m") > 0, F.col("up")).when(F.col("m") < 0, F.col("down")).otherwise(0).alias("n_same_direction"), (F.greatest("up", "down") == F.col("n_repeats")).alias("direction_consistent"), F.when(F.col("m") > 0, F.col("rung_a")).when(F.col("m") < 0, F.col("rung_b")).alias("better_rung"),

@@ -39,8 +39,8 @@ def chained_index(prices: DataFrame, cell: list[str], category: str, base: int,
     naive = F.try_divide(F.lit(100.0) * F.col("mean_price"), at("mean_price"))
     return linked.select(
         category, "month_key", "matched_cells", "cells_reporting", "longest_bridge_months", "is_chain_break", "chain_segment", "is_linked_to_base",
-        E.rounded(F.when(~F.col("is_chain_break"), F.exp("log_link"))).alias("monthly_link_relative"), E.rounded(index).alias("chained_index"),
-        E.rounded(naive).alias("naive_mean_index"), E.rounded(F.col("mean_price")).alias("naive_mean_price"), E.rounded(naive - index).alias("naive_minus_chained"),
+        E.rounded(F.when(~F.col("is_chain_break"), F.exp("log_link"))).alias("monthly_link_relative"), E.rounded(index, 3).alias("chained_index"),
+        E.rounded(naive).alias("naive_mean_index"), E.rounded(F.col("mean_price")).alias("naive_mean_price"), E.rounded(naive - index, 3).alias("naive_minus_chained"),
     )
 
 

@@ -164,7 +164,7 @@ def m16(spark, sf):
     return errors(spark, sf)
 
 
-SUM_SQL = f"""{ERR_SQL}, sm AS (SELECT variant, rung, round(avg(mae), 6) AS mae_mean, round(stddev_samp(mae), 4) AS mae_sd, min(mae) AS mae_min, max(mae) AS mae_max, round(avg(mape), 6) AS mape_mean, round(stddev_samp(mape), 4) AS mape_sd, min(mape) AS mape_min, max(mape) AS mape_max,
+SUM_SQL = f"""{ERR_SQL}, sm AS (SELECT variant, rung, round({mean('mae', 6)}, 6) AS mae_mean, round(stddev_samp(mae), 4) AS mae_sd, min(mae) AS mae_min, max(mae) AS mae_max, round({mean('mape', 6)}, 6) AS mape_mean, round(stddev_samp(mape), 4) AS mape_sd, min(mape) AS mape_min, max(mape) AS mape_max,
   count(*) AS n_repeats, arg_min(mae, seed) AS mae_first_seed, array_to_string(list_sort(list(seed)), ',') AS seeds FROM rs GROUP BY variant, rung)"""
 
 
@@ -174,7 +174,7 @@ def m17(spark, sf):
 
 
 @query("m18_paired", f"""WITH {ERR_SQL}, d AS (SELECT a.variant, a.rung AS rung_a, b.rung AS rung_b, b.mae - a.mae AS d FROM rs a JOIN rs b USING (variant, seed) WHERE (a.rung, b.rung) IN (('V0', 'V1'), ('V0', 'V2'), ('V1', 'V3'))),
-g AS (SELECT variant, rung_a, rung_b, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, min(d) AS lo, max(d) AS hi, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM d GROUP BY ALL)
+g AS (SELECT variant, rung_a, rung_b, count(*) AS n, {mean('d', 6)} AS m, stddev_samp(d) AS s, min(d) AS lo, max(d) AS hi, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM d GROUP BY ALL)
 SELECT variant, rung_a, rung_b, n AS n_repeats, round(m, 6) AS mean_diff_mae, round(s, 4) AS sd_diff_mae, round(lo, 6) AS min_diff, round(hi, 6) AS max_diff, round(m / s, 3) AS mean_over_sd, CASE WHEN m > 0 THEN up WHEN m < 0 THEN down ELSE 0 END AS n_same_direction,
   greatest(up, down) = n AS direction_consistent, CASE WHEN m > 0 THEN rung_a WHEN m < 0 THEN rung_b END AS better_rung FROM g""")
 def m18(spark, sf):

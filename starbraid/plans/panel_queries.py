@@ -24,7 +24,7 @@ l AS (SELECT *, CAST(sum(CAST(CASE WHEN brk THEN 0 ELSE log_link END AS DECIMAL(
 c AS (SELECT *, max(CASE WHEN m = {BASE} THEN seg END) OVER (PARTITION BY category) AS bseg, max(CASE WHEN m = {BASE} THEN lev END) OVER (PARTITION BY category) AS blev, max(CASE WHEN m = {BASE} THEN mean_price END) OVER (PARTITION BY category) AS bmean FROM l),
 d AS (SELECT *, coalesce(seg = bseg, false) AS linked, CASE WHEN coalesce(seg = bseg, false) THEN 100.0::DOUBLE * exp(lev - blev) END AS idx, 100.0::DOUBLE * mean_price / bmean AS naive FROM c)
 SELECT category, month_key, matched_cells, cells_reporting, longest_bridge_months, brk AS is_chain_break, CAST(seg AS BIGINT) AS chain_segment, linked AS is_linked_to_base,
-  round(CASE WHEN NOT brk THEN exp(log_link) END, 6) AS monthly_link_relative, round(idx, 6) AS chained_index, round(naive, 6) AS naive_mean_index, round(mean_price, 6) AS naive_mean_price, round(naive - idx, 6) AS naive_minus_chained FROM d""")
+  round(CASE WHEN NOT brk THEN exp(log_link) END, 6) AS monthly_link_relative, round(idx, 3) AS chained_index, round(naive, 6) AS naive_mean_index, round(mean_price, 6) AS naive_mean_price, round(naive - idx, 3) AS naive_minus_chained FROM d""")
 def a6(spark, sf):
     return P.chained_index(market_prices(spark, sf), ["state", "commodity"], "category", BASE)
 

@@ -26,7 +26,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ GRAM = 32
 CHUNK = 1 << 21
 #: Stretches that a partition holds before it emits them.
 HELD = 2_000_000
-HOT = 256
+HOT = 4000
 NULL_ID = -(2**63)
 
 ORACLE_SQL = None  # byte ranges over repeated substrings; tests hold it against brute force
@@ -199,16 +199,19 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not o["hot"]:
                     put(o["h"], doc, start, stop - start - LENGTH + 1, raw[start:stop])
                     continue
+                again: list[int] = []
                 for s in range(start, stop - LENGTH + 1):
                     prefix = xxhash.xxh3_128_digest(raw[s : s + LENGTH])
                     at = seen.get(prefix)
                     if at is not None and at < (doc, s):
-                        put(None, doc, s, 1, b"")
+                        again.append(s)
                     elif at != (doc, s):
                         if len(seen) >= HELD // 4:
                             seen.clear()
                         seen[prefix] = (doc, s)
                         put(int.from_bytes(prefix[:8], "little", signed=True), doc, s, 1, raw[s:stop])
+                for a, b in joined((s, s + LENGTH) for s in again):
+                    put(None, doc, a, b - a - LENGTH + 1, b"")
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "doc", "start", "windows", "bytes"])
 
 
@@ -258,17 +261,36 @@ def runs(suffixes: list[tuple], length: int) -> Iterator[tuple[int, int]]:
             lo = i
 
 
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows sorted by bucket -> (doc, span) of every occurrence of a maximal repeat that is not its earliest."""
+    """Bucket rows sorted by bucket -> (doc, span) of what every occurrence of a maximal repeat but its earliest covers.
+
+    An occurrence lies in nested intervals; the longest repeat in which it is not the earliest says all about it, and
+    what the occurrences of one document cover is joined, so a bucket gives about a row a stretch."""
 
     def solve(bucket: list[tuple]) -> list[tuple[int, int]]:
         if bucket[0][0] is None:
-            return [(doc, start << 32 | start + LENGTH) for _, doc, start, _, _ in bucket]
-        gone = []
+            return [(doc, start << 32 | start + windows - 1 + LENGTH) for _, doc, start, windows, _ in bucket]
+        ends: dict[tuple[int, int], int] = {}
         for size, places in maximal_repeats([b[1:] for b in bucket]):
             first = min(places)
-            gone += [(doc, start << 32 | start + size) for doc, start in places if (doc, start) != first]
-        return gone
+            for p in places:
+                if p != first and ends.get(p, 0) < p[1] + size:
+                    ends[p] = p[1] + size
+        by_doc: dict[int, list[tuple[int, int]]] = {}
+        for (doc, start), stop in sorted(ends.items()):
+            by_doc.setdefault(doc, []).append((start, stop))
+        return [(doc, a << 32 | b) for doc, spans in by_doc.items() for a, b in joined(spans)]
 
     held: list[tuple] = []
     for batch in batches:
@@ -286,14 +308,7 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(spans: list[int] | None, size: int) -> list[tuple[int, int]]:
     """Packed spans as maximal runs inside a text of that size."""
-    out: list[tuple[int, int]] = []
-    for x in sorted(spans or []):
-        a, b = x >> 32, min(x & 0xFFFFFFFF, size)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        elif a < b:
-            out.append((a, b))
-    return out
+    return joined((x >> 32, min(x & 0xFFFFFFFF, size)) for x in sorted(spans or []))
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

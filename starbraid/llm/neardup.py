@@ -6,8 +6,9 @@ on full shingle sets, and connected components by alternating large-star and sma
 3. In each bucket (equal band key) every member is paired with the smallest member: as many pairs as members, however
    large the bucket. Pairs pass the signature test, then the exact test on full sets; components of these links follow.
 4. Only links between different components can still change the result. In the buckets that hold more than one
-   component, all pairs across components are tested by signature, in blocks of BLOCK members against BLOCK members,
-   each pair in the first bucket that it shares; what passes is tested exactly and joined to the components.
+   component, all pairs across components are tested, in blocks of BLOCK members against BLOCK members, each pair in the
+   first bucket that it shares: by signature, then by sets. Only links leave the task; they are checked on full sets and
+   joined to the components.
 So the only links that can be missed are those of documents that share no bucket: at similarity 0.75 that is
 (1 - 0.75 ** ROWS) ** BANDS, about five in a million.
 
@@ -34,7 +35,7 @@ BANDS, ROWS = 32, 4
 #: A pair goes on if this share of its minima is equal: 0.75 less more than four standard deviations.
 SIGNATURE = 0.58
 BLOCK = 512
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 ORACLE_SQL = None  # transitive closure over a similarity join; tests hold it against brute force
 
@@ -111,10 +112,12 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, s, short): the set of 64-bit shingle hashes, and the set of their upper halves as bytes."""
     for batch in batches:
         sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
         at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["id", "s"])
+        short = [np.unique((s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))), pa.array(short, pa.binary())], names=["id", "s", "short"])
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,39 +129,56 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, side, id, root, sig, bands) sorted by (band, i, j): pairs across components that pass the
-    signature test, each in the first band that it shares. side 0 is block i, side 1 block j (none where i = j)."""
+    """Rows (band, i, j, side, id, root, sig, bands, short) sorted by (band, i, j) -> links across components.
 
-    def solve(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    side 0 is block i, side 1 block j (none where i = j). A pair is tested in the first band that it shares: signature,
+    then the sets of 32-bit halves. Where these leave no doubt (a collision moves the counts by one), the components are
+    joined at once, so pairs between them need no test; the caller checks what comes out on the full sets."""
+
+    def solve(group: list[tuple]) -> list[tuple[int, int]]:
         left = [g for g in group if g[3] == 0]
         right = [g for g in group if g[3] == 1] or left
-        band = group[0][0]
-        cols = [(np.array([g[4] for g in side]), np.array([g[5] for g in side]), np.frombuffer(b"".join(g[6] for g in side), np.uint8).reshape(len(side), -1), np.array([g[7] for g in side])) for side in (left, right)]
-        (ia, ra, sa, ba), (ib, rb, sb, bb) = cols
-        out_a, out_b = [], []
-        for k in range(len(ia)):
-            hit = (rb != ra[k]) & ((ib > ia[k]) if right is left else True)
-            if hit.any():
-                at = np.flatnonzero(hit)
-                at = at[(sb[at] == sa[k]).mean(axis=1) >= SIGNATURE]
-                at = at[bb[at, (bb[at] == ba[k]).argmax(axis=1)] == band] if len(at) else at
-                out_a.append(np.minimum(ia[k], ib[at]))
-                out_b.append(np.maximum(ia[k], ib[at]))
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        band, out, parent = group[0][0], [], {g[5]: g[5] for g in group}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        ids = np.array([g[4] for g in right])
+        sigs, bands = np.frombuffer(b"".join(g[6] for g in right), np.uint8).reshape(len(right), -1), np.array([g[7] for g in right])
+        sets = [np.frombuffer(g[8], np.uint32) for g in right]
+        for k, (_, _, _, _, me, root, sig, own_bands, short) in enumerate(left):
+            roots = np.array([top(g[5]) for g in right])
+            at = np.flatnonzero((roots != top(root)) & (np.arange(len(ids)) > k if right is left else ids != me))
+            like = (sigs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+            at, like = at[like >= SIGNATURE], like[like >= SIGNATURE]
+            if len(at):
+                first = bands[at, (bands[at] == np.array(own_bands)).argmax(axis=1)] == band
+                at, like = at[first], like[first]
+            mine = np.frombuffer(short, np.uint32)
+            for x in at[np.argsort(-like, kind="stable")]:
+                if top(right[x][5]) == top(root):
+                    continue
+                both, total = len(np.intersect1d(mine, sets[x], assume_unique=True)), len(mine) + len(sets[x])
+                if 100 * (both + 2) >= PERCENT * (total - both - 2):
+                    out.append((min(me, int(ids[x])), max(me, int(ids[x]))))
+                    if 100 * (both - 2) >= PERCENT * (total - both + 2):
+                        parent[top(right[x][5])] = top(root)
+        return out
 
     held: list[tuple] = []
     for batch in batches:
-        found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+        found: list[tuple[int, int]] = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
             if held and row[:3] != held[0][:3]:
-                found.append(solve(held))
+                found += solve(held)
                 held = []
             held.append(row)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
     if held:
-        a, b = solve(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        found = solve(held)
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,7 +227,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = cut(banded.join(hubs.select("band", "hub", "n"), "band"))
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sigs = cut(reps.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands"))
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, s array<long>"))
+    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, s array<long>, short binary"))
 
     sig = sigs.select("id", "sig")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -218,11 +238,11 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     named = buckets.join(roots.toDF("id", "root"), "id", "left").select("band", "n", "id", F.coalesce("root", "id").alias("root"))
     mixed_bands = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_rows = named.join(mixed_bands, "band", "left_semi").join(sigs, "id")
+    open_rows = named.join(mixed_bands, "band", "left_semi").join(sigs, "id").join(sets.select("id", "short"), "id")
     last = F.floor((F.col("n") - 1) / block).cast("int")
     mine = F.pmod(F.xxhash64("id", "band"), last + 1).cast("int")
     cells = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(mine <= o, 0).otherwise(1).alias("side")))
-    dealt = open_rows.select("band", "id", "root", "sig", "bands", F.inline(cells)).select("band", "i", "j", "side", "id", "root", "sig", "bands")
+    dealt = open_rows.select("band", "id", "root", "sig", "bands", "short", F.inline(cells)).select("band", "i", "j", "side", "id", "root", "sig", "bands", "short")
     rest = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(across, "a long, b long")
     late = cut(exact(rest.distinct(), sets))
     # The links of both steps, and those of equal sets, make the components.

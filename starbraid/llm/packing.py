@@ -33,8 +33,9 @@ from .common import cut, text_of
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Chunks and words whose ids a worker remembers: at most about 200 MB, kept from task to task.
+REMEMBERED = 400_000
+WORDS = 600_000
 #: Pieces of one length in a bucket, about.
 BUCKET = 20_000
 
@@ -71,7 +72,7 @@ class WordIds(dict):
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))]).tobytes()
         return ids

@@ -4,8 +4,8 @@ Texts are split into words where the vocabulary's pre-tokenizer always splits: b
 non-blank, and around other runs of white space. Every block of documents (a scan partition) emits its distinct words;
 Spark brings equal words of all blocks together, each distinct word is encoded once, and its ids (and the pieces of
 those ids, through the id-to-piece table, joined again into bytes) go back to the blocks that asked. There each
-document's words, in their positions, take their ids from the block's table. What travels is the distinct words of a
-block, not its word occurrences, and the texts once, compressed.
+document's words, in their positions, take their ids from the block's table. A word that only one block has is encoded
+by that block. What travels is the distinct words of a block, not its word occurrences, and the texts once, compressed.
 
 A word that a block's table lacks (rows that came in another order on a second read, or a table that has grown beyond
 MAX_TABLE words) is encoded on the spot, so a recomputed partition gives the same result.
@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,8 +37,13 @@ MAX_TABLE = 1_500_000
 FLUSH = 400_000
 #: Characters of the texts that are compressed together.
 PACK = 1 << 20
+LEVEL = 9
+#: Words with punctuation that a block's table remembers besides its own.
+COMPOSED = 200_000
 
 WORD = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+#: A word of plain letters and the punctuation behind it, which the pre-tokenizer always parts from it.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 ODD = re.compile(r"[\x1c-\x1f\x85᠎​﻿]")
 
 ORACLE_SQL = None  # a tokenizer's merges; tests hold an exact round trip and the library's own ids
@@ -58,6 +66,57 @@ def split(text: str, special: list[str]) -> list[str]:
     return [text] if ODD.search(text) or any(s in text for s in special) else WORD.findall(text)
 
 
+def atoms(words: set[str]) -> list[str]:
+    """The distinct words in order, with plain letters and the punctuation after them as two."""
+    out = set()
+    for w in words:
+        if m := PLAIN.fullmatch(w):
+            out.update(m.groups())
+        else:
+            out.add(w)
+    return sorted(out)
+
+
+def type_code(t: Tokenizer) -> str:
+    """Ids travel as arrays of two bytes an id, or four for a larger vocabulary."""
+    return "H" if t.get_vocab_size() <= 1 << 16 else "I"
+
+
+class Table(dict):
+    """word -> its ids as text; a word that the block did not ask for is encoded on the spot."""
+
+    def __init__(self, t: Tokenizer, piece: dict[int, bytes]):
+        super().__init__()
+        self.tokenizer, self.piece = t, piece
+        self.odd: dict[str, bytes] = {}
+        self.made: list[str] = []
+
+    def trim(self) -> None:
+        """Forget the words with punctuation once they are many: their two parts stay."""
+        if len(self.made) > COMPOSED:
+            for w in self.made:
+                self.pop(w, None)
+            self.made.clear()
+
+    def put(self, word: str, ids: list[int], raw: bytes | None) -> None:
+        self[word] = ",".join(map(str, ids)).encode()
+        if raw is not None:
+            self.odd[word] = raw
+
+    def __missing__(self, word: str) -> bytes:
+        if m := PLAIN.fullmatch(word):
+            ids = self[m[1]] + b"," + self[m[2]]
+            if m[1] in self.odd or m[2] in self.odd:
+                self.odd[word] = b"".join(self.odd.get(x) or x.encode() for x in m.groups())
+            self[word] = ids
+            self.made.append(word)
+            return ids
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        raw = b"".join(map(self.piece.__getitem__, ids))
+        self.put(word, ids, None if raw == word.encode() else raw)
+        return self[word]
+
+
 def piece_bytes(t: Tokenizer) -> dict[int, bytes]:
     """The id-to-piece table: a byte-level vocabulary writes each byte as one printable character."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,7 +148,7 @@ def block_words(path: str):  # noqa: ANN201
         special, seen, block = specials(tokenizer(path)), set(), None
 
         def out() -> pa.RecordBatch:
-            words = list(seen)
+            words = atoms(seen)
             return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(words, pa.string())], names=["block", "word"])
 
         for batch in batches:
@@ -107,89 +166,112 @@ def block_words(path: str):  # noqa: ANN201
     return emit
 
 
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes) -> pa.Table:
+    with pa.ipc.open_stream(value) as r:
+        return r.read_all()
+
+
+def parcels(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "parcel"])
+
+
 def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a block, some hundreds at a time, as one compressed value."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    """Texts of a block, some hundreds at a time, as one compressed parcel of kind 1."""
     for batch in batches:
-        if not len(batch):
-            continue
-        block, start, size = batch.column(0)[0].as_py(), 0, 0
-        lengths = pa.compute.utf8_length(batch.column(2)).to_pylist()
+        lengths, start, size = pc.utf8_length(batch.column(2)).to_pylist(), 0, 0
         for i, n in enumerate(lengths):
             size += n
             if size >= PACK or i == len(lengths) - 1:
-                part = batch.slice(start, i + 1 - start).select(["doc_id", "text"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
-                    w.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+                yield parcels([(batch.column(0)[0].as_py(), 1, packed(batch.slice(start, i + 1 - start).select(["doc_id", "text"])))])
                 start, size = i + 1, 0
 
 
 def encoder(path: str):  # noqa: ANN201
-    """Words in order, equal ones of all blocks side by side: each is encoded once."""
+    """Words in order, equal ones of all blocks side by side -> parcels of kind 0 for the blocks that asked.
+
+    A word that two or more blocks asked for is encoded here, once, for all of them. A word of a single block is left to
+    that block, which then is the one place that encodes it, so it need not travel back."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        piece, last, made = piece_bytes(t), None, ("", None)
+        piece, code = piece_bytes(t), type_code(t)
+        todo: list[tuple[str, set[int]]] = []
+        out: dict[int, list[list]] = {}
+        size, word, blocks = 0, None, set()
+
+        def work() -> int:
+            n = 0
+            for (w, who), e in zip(todo, t.encode_batch([w for w, _ in todo], add_special_tokens=False)):
+                ids, raw = array(code, e.ids).tobytes(), b"".join(map(piece.__getitem__, e.ids))
+                for b in who:
+                    for c, x in zip(out.setdefault(b, [[], [], []]), (w, ids, None if raw == w.encode() else raw)):
+                        c.append(x)
+                n += len(who)
+            todo.clear()
+            return n
+
+        def emit() -> pa.RecordBatch:
+            rows = [(b, 0, packed(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.binary()))], names=["word", "ids", "decoded"]))) for b, cols in sorted(out.items())]
+            out.clear()
+            return parcels(rows)
+
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            fresh = list(dict.fromkeys(w for w in words if w != last))
-            table = {last: made} if last is not None else {}
-            for lo in range(0, len(fresh), 20_000):
-                part = fresh[lo : lo + 20_000]
-                for w, e in zip(part, t.encode_batch(part, add_special_tokens=False)):
-                    raw = b"".join(map(piece.__getitem__, e.ids))
-                    table[w] = (",".join(map(str, e.ids)), None if raw == w.encode() else raw)
-            rows = [table[w] for w in words]
-            if words:
-                last, made = words[-1], rows[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "word", "ids", "decoded"]
-            )
+            for b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if w != word:
+                    if len(blocks) > 1:
+                        todo.append((word, blocks))
+                    word, blocks = w, {b}
+                else:
+                    blocks.add(b)
+            if len(todo) >= 10_000:
+                size += work()
+            if size >= FLUSH:
+                yield emit()
+                size = 0
+        if len(blocks) > 1:
+            todo.append((word, blocks))
+        work()
+        if out:
+            yield emit()
 
     return encode
 
 
 def joiner(path: str):  # noqa: ANN201
+    """Parcels by (block, kind): the block's table first, then its texts, whose words take their ids by position."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        special, piece, block = specials(t), piece_bytes(t), None
-        table: dict[str, bytes] = {}
-        odd: dict[str, bytes] = {}
-
-        def fill_in(words: list[str]) -> None:
-            for w in set(words) - table.keys():
-                ids = t.encode(w, add_special_tokens=False).ids
-                table[w] = ",".join(map(str, ids)).encode()
-                raw = b"".join(map(piece.__getitem__, ids))
-                if raw != w.encode():
-                    odd[w] = raw
-
+        special, piece, code, block = specials(t), piece_bytes(t), type_code(t), None
+        table = Table(t, piece)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for b, word, ids, decoded, texts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for i in range(len(batch)):
+                b, kind, parcel = (batch.column(k)[i].as_py() for k in range(3))
                 if b != block:
-                    table, odd, block = {}, {}, b
-                if texts is None:
+                    table, block = Table(t, piece), b
+                part = unpacked(parcel)
+                if kind == 0:
                     if len(table) < MAX_TABLE:
-                        table[word] = ids.encode()
-                        if decoded is not None:
-                            odd[word] = decoded
+                        for word, ids, decoded in zip(*(part.column(k).to_pylist() for k in range(3))):
+                            table.put(word, array(code, ids).tolist(), decoded)
                     continue
-                with pa.ipc.open_stream(texts) as r:
-                    part = r.read_all()
+                out: list[list] = [[], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     words = split(text, special)
-                    try:
-                        coded = b",".join(map(table.__getitem__, words))
-                    except KeyError:
-                        fill_in(words)
-                        coded = b",".join(map(table.__getitem__, words))
+                    coded = b",".join(map(table.__getitem__, words))
+                    odd = table.odd
                     raw = b"".join(odd.get(w) or w.encode() for w in words) if odd else "".join(words).encode()
                     for c, x in zip(out, (doc, coded.count(b",") + 1 if coded else 0, hashlib.sha256(coded).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                table.trim()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return join
 
@@ -199,11 +281,9 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     texts = text_of(docs).select(F.spark_partition_id().alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = texts.mapInArrow(block_words(path), "block int, word string").repartition("word").sortWithinPartitions("word")
-    table = asked.mapInArrow(encoder(path), "block int, word string, ids string, decoded binary").withColumn("texts", F.lit(None).cast("binary"))
-    blobs = texts.mapInArrow(packed_texts, "block int, texts binary").select(
-        "block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("ids"), F.lit(None).cast("binary").alias("decoded"), "texts"
-    )
-    both = table.unionByName(blobs).repartition("block").sortWithinPartitions("block", F.col("texts").isNotNull())
+    parcel = "block int, kind int, parcel binary"
+    table, bodies = asked.mapInArrow(encoder(path), parcel), texts.mapInArrow(packed_texts, parcel)
+    both = table.unionByName(bodies).repartition("block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(joiner(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

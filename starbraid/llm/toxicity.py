@@ -9,9 +9,13 @@ The labels table has two columns, so the chain's categories are low_quality (qua
 (both), in this order. A document is rejected where the probability of toxic reaches THRESHOLD.
 
 Training uses a bounded sample: at most SAMPLE labelled documents of each class of toxic, those with the least hash of
-doc_id. Only this sample reaches the driver, as sets of hashes; every document is scored, in Arrow batches.
+doc_id. Both classes are counted over all labels, and a sampled document stands for its class's count by the number
+sampled, so the models keep the class ratio of the labels at any size. Only the two ratios count: they are divided by
+the smaller one, so that the ridge stays what it is for a sample. Without a cut all documents weigh 1. Only this sample
+reaches the driver, as sets of hashes; every document is scored, in Arrow batches.
 
-Defined results: null or empty text has no features; null labels and labels without a document are left out; with fewer
+Defined results: null or empty text has no features; null labels and labels without a document are left out; of several
+labels of a document the toxic one counts, then the one of highest quality; with fewer
 than two labelled documents of a class, the category's probability is its smoothed frequency (0 without any labels);
 documents repeat as they come; an empty table gives no rows; extra columns are ignored.
 """
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 SAMPLE = 3000
@@ -61,20 +65,21 @@ def feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Linear:
     """A ridge logistic regression over chosen hashed features and the chain's earlier probabilities."""
 
-    def __init__(self, sets: list[np.ndarray], before: np.ndarray, y: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.chosen, self.weights, self.chain = np.zeros(0, np.uint32), np.zeros(0), np.zeros(before.shape[1])
         n, positive = len(y), int(y.sum())
-        self.bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else -50.0
+        weighed, whole = float(weight @ y), float(weight.sum())
+        self.bias = float(np.log((weighed + 0.5) / (whole - weighed + 0.5))) if n else -50.0
         if min(positive, n - positive) < 2:
             return
         flat = np.concatenate(sets)
-        owner = np.repeat(y, [len(s) for s in sets])
+        share = weighed / whole
+        off = weight * (y - share)
         names, at = np.unique(flat, return_inverse=True)
         total = np.bincount(at, minlength=len(names)).astype(float)
-        hits = np.bincount(at, owner, minlength=len(names))
-        expected = total * positive / n
-        spread = expected * (1 - positive / n) * np.maximum(1 - total / n, 1e-3) + 0.5
-        telling = np.where(total >= 3, np.abs(hits - expected) / np.sqrt(spread), 0)
+        excess = np.bincount(at, np.repeat(off, [len(s) for s in sets]), minlength=len(names))
+        spread = total * np.mean(off**2) * np.maximum(1 - total / n, 1e-3) + 0.5
+        telling = np.where(total >= 3, np.abs(excess) / np.sqrt(spread), 0)
         pick = np.argsort(-telling, kind="stable")[:FEATURES]
         self.chosen = np.sort(names[pick[telling[pick] > 2]])
         x = np.hstack([self.matrix(sets), before, np.ones((n, 1))])
@@ -84,8 +89,8 @@ class Linear:
         w[-1] = self.bias
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (p - y) + ridge * w
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), slope)
+            slope = x.T @ (weight * (p - y)) + ridge * w
+            step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(ridge), slope)
             w -= step / max(1.0, np.abs(step).max() / 4)
             if np.abs(step).max() < 1e-3:
                 break
@@ -103,35 +108,39 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+def fit_chain(sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """One model a category; earlier probabilities are out-of-fold during training."""
     before, models = np.zeros((len(sets), 0)), []
     fold = np.arange(len(sets)) % folds
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        models.append(Linear(sets, before, y))
+        models.append(Linear(sets, before, y, weight))
         held_out = np.zeros(len(sets))
         for f in range(folds):
             own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
             if len(own):
-                held_out[own] = Linear([sets[i] for i in rest], before[rest], y[rest]).predict([sets[i] for i in own], before[own])
+                held_out[own] = Linear([sets[i] for i in rest], before[rest], y[rest], weight[rest]).predict([sets[i] for i in own], before[own])
         before = np.column_stack([before, held_out])
     return models
 
 
-def training(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """(feature sets, labels by category) of the bounded sample, in the order of the hash."""
+def training(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(feature sets, labels by category, weights) of the bounded sample, in the order of the hash."""
     order = F.xxhash64("doc_id")
-    usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
-    rows = [r for toxic in (0, 1) for r in usable.where((F.col("toxic") == 1) if toxic else (F.col("toxic") != 1)).orderBy(order, "doc_id", "quality").limit(sample).collect()]
-    known = {r["doc_id"]: (int(r["quality"] == 0), int(r["toxic"] == 1)) for r in rows}
+    usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.struct((F.col("toxic") == 1).alias("toxic"), "quality").alias("label"))
+    judged = cut(usable.groupBy("doc_id").agg(F.max("label").alias("label")).select("doc_id", "label.*"))
+    count = {r["toxic"]: r["count"] for r in judged.groupBy("toxic").count().collect()}
+    rows = {c: judged.where(F.col("toxic") if c else ~F.col("toxic")).orderBy(order, "doc_id").limit(sample).collect() for c in sorted(count)}
+    known = {r["doc_id"]: (int(r["quality"] == 0), int(c)) for c in rows for r in rows[c]}
+    stands_for = {int(c): count[c] / max(1, len(rows[c])) for c in rows}
     # At most 2 * sample ids: this bound is what makes the broadcast safe.
     ids = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
     texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     found = {r["doc_id"]: np.frombuffer(r["f"], "<u4") for r in texts.mapInArrow(feature_sets, "doc_id long, f binary").collect()}
     kept = sorted((d for d in known if d in found), key=lambda d: (zlib.crc32(str(d).encode()), d))
     y = np.array([(*known[d], known[d][0] & known[d][1]) for d in kept]).reshape(len(kept), len(CATEGORIES))
-    return [found[d] for d in kept], y
+    weight = np.array([stands_for[known[d][1]] for d in kept]) / min(stands_for.values(), default=1.0)
+    return [found[d] for d in kept], y, weight
 
 
 class WordHits(dict):
@@ -175,10 +184,10 @@ def scorer(models: list[Linear]):  # noqa: ANN201
 
 def scored(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(carried, p_low_quality, p_toxic, p_severe, rejected): a row of docs, as a struct, with its probabilities."""
-    sets, y = training(docs if labelled_docs is None else labelled_docs, labels, sample)
+    sets, y, weight = training(docs if labelled_docs is None else labelled_docs, labels, sample)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("carried"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"carried {rows.schema['carried'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
-    return rows.mapInArrow(scorer(fit_chain(sets, y)), schema).withColumn("rejected", F.col("p_toxic") >= threshold)
+    return rows.mapInArrow(scorer(fit_chain(sets, y, weight)), schema).withColumn("rejected", F.col("p_toxic") >= threshold)
 
 
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

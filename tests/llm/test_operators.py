@@ -307,3 +307,12 @@ def test_toxicity_edge_cases(spark, small):
     assert got.count() == len(ROWS) and got.where("carried.key = 'clash'").count() == len(ROWS)
     assert toxicity.scored(small, labels.limit(0)).where("rejected").count() == 0
     assert toxicity.scored(small.limit(0), labels).count() == 0
+
+
+def test_toxicity_decides_alike_below_and_above_the_sample(spark):
+    # A tenth is toxic. "hint" is in every toxic text and a third of the others (odds 1:3), "slur" in half of the toxic ones.
+    rows = [(i, ("hint slur" if i % 20 == 0 else "hint") if i % 10 == 0 else "hint" if i % 3 == 0 else "plain", int(i % 10 == 0)) for i in range(1200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    for sample in (10_000, 90):
+        got = {r.text: r.rejected for r in toxicity.scored(docs, labels, sample=sample).select("carried.text", "rejected").distinct().collect()}
+        assert got == {"hint slur": True, "hint": False, "plain": False}

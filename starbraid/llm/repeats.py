@@ -18,9 +18,12 @@ third of all documents is one row a partition. A bucket of more than HOT differe
 first LENGTH bytes of its suffixes (a tree interval of that depth never spans two of those), again with one row for
 each partition and equal prefix.
 
-Defined results: null or short text loses nothing; rows equal in id and text are judged alike, as one; rows that share
-an id but not the text share their removed positions; null ids come before all others; an empty table gives no rows;
-extra columns are ignored.
+Documents are told apart by (doc, tie). tie is a hash of the text, so rows that share an id but not the text are
+documents of their own, in the order of that hash. Rows without an id are each a document: their tie is made of the
+text's hash and the row's number, so they are spread over the tasks, and one row of equal ones stays.
+
+Defined results: null or short text loses nothing; rows equal in id and text are judged alike, as one; null ids come
+before all others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,40 +108,41 @@ def packed(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 32) | stop.astype(np.int64)
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
-    docs, parts, size = [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    docs, ties, parts, size = [], [], [], 0
+    for doc, text, tie in zip(*(batch.column(i).to_pylist() for i in range(3))):
         raw = text.encode("utf-8", "surrogatepass")
         docs.append(doc)
+        ties.append(tie)
         parts.append(raw)
         size += len(raw)
         if size >= CHUNK:
-            yield docs, parts
-            docs, parts, size = [], [], 0
+            yield docs, ties, parts
+            docs, ties, parts, size = [], [], [], 0
     if docs:
-        yield docs, parts
+        yield docs, ties, parts
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, doc, span, copy) of the stretches: the earliest of each (h, c) here, and the other ones as copies."""
+    """(doc, text, tie) -> (h, c, doc, tie, span, copy) of the stretches: the earliest of each (h, c) here, and the other ones as copies."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        h, c, doc, span = (np.concatenate([x[i] for x in held]) for i in range(4))
-        order = np.lexsort((span, doc, c, h))
-        h, c, doc, span = h[order], c[order], doc[order], span[order]
+        h, c, doc, tie, span = (np.concatenate([x[i] for x in held]) for i in range(5))
+        order = np.lexsort((span, tie, doc, c, h))
+        h, c, doc, tie, span = h[order], c[order], doc[order], tie[order], span[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, int)
-        again = ~new & ((doc != doc[first]) | (span != span[first]))
+        again = ~new & ((doc != doc[first]) | (tie != tie[first]) | (span != span[first]))
         use = new | again
         # A copy needs its document only; it is dealt out by that.
-        key = np.where(again, (mixed(doc.view(np.uint64) * _C[0])).view(np.int64), h)
-        return pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, np.where(again, 0, c), doc, span, again)], names=["h", "c", "doc", "span", "copy"])
+        key = np.where(again, mixed((doc ^ tie).view(np.uint64) * _C[0]).view(np.int64), h)
+        return pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, np.where(again, 0, c), doc, tie, span, again)], names=["h", "c", "doc", "tie", "span", "copy"])
 
     for batch in batches:
-        for docs, parts in chunks(batch):
+        for docs, ties, parts in chunks(batch):
             text, start, stop, h, c = stretches(parts)
-            held.append((h, c, np.array(docs, np.int64)[text], packed(start, stop)))
+            held.append((h, c, np.array(docs, np.int64)[text], np.array(ties, np.int64)[text], packed(start, stop)))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield flush()
                 held.clear()
@@ -147,27 +151,28 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by (h, c, doc, span): copies (h null) and, where a gram has different stretches, those (with h)."""
+    """Stretches sorted by (h, c, doc, tie, span): copies (h null) and, where a gram has different stretches, those (with h)."""
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, c, doc, span, copy = cols
+        h, c, doc, tie, span, copy = cols
         real = ~copy
-        out = [(doc[copy], span[copy], np.zeros(copy.sum(), np.int64), np.zeros(copy.sum(), bool))]
-        h, c, doc, span = h[real], c[real], doc[real], span[real]
+        out = [(doc[copy], tie[copy], span[copy], np.zeros(copy.sum(), np.int64), np.zeros(copy.sum(), bool))]
+        h, c, doc, tie, span = h[real], c[real], doc[real], tie[real], span[real]
         if len(h):
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
             first = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
-            again = ~new_c & ((doc != doc[first]) | (span != span[first]))
+            again = ~new_c & ((doc != doc[first]) | (tie != tie[first]) | (span != span[first]))
             kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
             opened = new_c & (np.repeat(kinds, np.diff(np.flatnonzero(new_h), append=len(h))) > 1)
-            out += [(doc[again], span[again], np.zeros(again.sum(), np.int64), np.zeros(again.sum(), bool)), (doc[opened], span[opened], h[opened], np.ones(opened.sum(), bool))]
-        doc, span, h, is_open = (np.concatenate([o[i] for o in out]) for i in range(4))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(span), pa.array(h, mask=~is_open)], names=["doc", "span", "h"])
+            for rows, zero in ((again, True), (opened, False)):
+                out.append((doc[rows], tie[rows], span[rows], np.zeros(rows.sum(), np.int64) if zero else h[rows], np.full(rows.sum(), not zero)))
+        doc, tie, span, h, is_open = (np.concatenate([o[i] for o in out]) for i in range(5))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(span), pa.array(h, mask=~is_open)], names=["doc", "tie", "span", "h"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
         if not len(cols[0]):
@@ -181,38 +186,38 @@ def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, opens of span, h, hot) -> bucket rows (bucket, doc, start, windows, bytes) and copies (bucket null)."""
-    seen: dict[bytes, tuple[int, int]] = {}
+    """(doc, tie, text, opens of span, h, hot) -> bucket rows (bucket, doc, tie, start, windows, bytes) and copies (bucket null)."""
+    seen: dict[bytes, tuple[int, int, int]] = {}
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
 
         def put(*row) -> None:  # noqa: ANN002, B023
             for c, x in zip(out, row):  # noqa: B023
                 c.append(x)
 
-        for doc, text, opens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for doc, tie, text, opens in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = text.encode("utf-8", "surrogatepass")
             for o in opens:
                 start, stop = o["span"] >> 32, o["span"] & 0xFFFFFFFF
                 if stop > len(raw):
                     continue
                 if not o["hot"]:
-                    put(o["h"], doc, start, stop - start - LENGTH + 1, raw[start:stop])
+                    put(o["h"], doc, tie, start, stop - start - LENGTH + 1, raw[start:stop])
                     continue
                 again: list[int] = []
                 for s in range(start, stop - LENGTH + 1):
                     prefix = xxhash.xxh3_128_digest(raw[s : s + LENGTH])
                     at = seen.get(prefix)
-                    if at is not None and at < (doc, s):
+                    if at is not None and at < (doc, tie, s):
                         again.append(s)
-                    elif at != (doc, s):
+                    elif at != (doc, tie, s):
                         if len(seen) >= HELD // 4:
                             seen.clear()
-                        seen[prefix] = (doc, s)
-                        put(int.from_bytes(prefix[:8], "little", signed=True), doc, s, 1, raw[s:stop])
+                        seen[prefix] = (doc, tie, s)
+                        put(int.from_bytes(prefix[:8], "little", signed=True), doc, tie, s, 1, raw[s:stop])
                 for a, b in joined((s, s + LENGTH) for s in again):
-                    put(None, doc, a, b - a - LENGTH + 1, b"")
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "doc", "start", "windows", "bytes"])
+                    put(None, doc, tie, a, b - a - LENGTH + 1, b"")
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "doc", "tie", "start", "windows", "bytes"])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -273,37 +278,38 @@ def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows sorted by bucket -> (doc, span) of what every occurrence of a maximal repeat but its earliest covers.
+    """Bucket rows sorted by bucket -> (doc, tie, span) of what every occurrence of a maximal repeat but its earliest covers.
 
     An occurrence lies in nested intervals; the longest repeat in which it is not the earliest says all about it, and
     what the occurrences of one document cover is joined, so a bucket gives about a row a stretch."""
 
-    def solve(bucket: list[tuple]) -> list[tuple[int, int]]:
+    def solve(bucket: list[tuple]) -> list[tuple[int, int, int]]:
         if bucket[0][0] is None:
-            return [(doc, start << 32 | start + windows - 1 + LENGTH) for _, doc, start, windows, _ in bucket]
-        ends: dict[tuple[int, int], int] = {}
+            return [(*doc, start << 32 | start + windows - 1 + LENGTH) for _, doc, start, windows, _ in bucket]
+        ends: dict[tuple[tuple[int, int], int], int] = {}
         for size, places in maximal_repeats([b[1:] for b in bucket]):
             first = min(places)
             for p in places:
                 if p != first and ends.get(p, 0) < p[1] + size:
                     ends[p] = p[1] + size
-        by_doc: dict[int, list[tuple[int, int]]] = {}
+        by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for (doc, start), stop in sorted(ends.items()):
             by_doc.setdefault(doc, []).append((start, stop))
-        return [(doc, a << 32 | b) for doc, spans in by_doc.items() for a, b in joined(spans)]
+        return [(*doc, a << 32 | b) for doc, spans in by_doc.items() for a, b in joined(spans)]
 
     held: list[tuple] = []
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        out: list[tuple[int, int, int]] = []
+        for bucket, doc, tie, *rest in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            row = (bucket, (doc, tie), *rest)
             if held and (row[0] != held[0][0] or row[0] is None and len(held) >= 10_000):
                 out += solve(held)
                 held = []
             held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["doc", "span"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["doc", "tie", "span"])
     if held:
         out = solve(held)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["doc", "span"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["doc", "tie", "span"])
 
 
 def merged(spans: list[int] | None, size: int) -> list[tuple[int, int]]:
@@ -331,23 +337,32 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], sha], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def told_apart(flat: DataFrame) -> DataFrame:
+    """flat with doc and tie, a document's identity. Rows without an id are written once, so that their numbers hold."""
+    hashed = F.xxhash64("text")
+    named = flat.where("doc_id IS NOT NULL").withColumns({"doc": F.col("doc_id").cast("long"), "tie": hashed})
+    upper = F.shiftleft(F.shiftright(hashed, 32), 32)
+    number = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFFFFFF))
+    nameless = cut(flat.where("doc_id IS NULL").withColumns({"doc": F.lit(NULL_ID), "tie": upper.bitwiseOR(number)}))
+    return named.unionByName(nameless)
+
+
 def with_spans(docs: DataFrame, hot: int = HOT, carry: Column | None = None) -> DataFrame:
     """(doc_id, text, spans array<long>[, carried]): each text with the packed byte spans that go."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     also = [] if carry is None else ["carried"]
-    flat = text_of(docs, *([] if carry is None else [carry.alias("carried")]))
-    rows = flat.select(key, "text").mapInArrow(anchored, "h long, c long, doc long, span long, copy boolean")
-    found = cut(rows.repartition("h").sortWithinPartitions("h", "c", "doc", "span").mapInArrow(sorted_out, "doc long, span long, h long"))
+    flat = told_apart(text_of(docs, *([] if carry is None else [carry.alias("carried")])))
+    rows = flat.select("doc", "text", "tie").mapInArrow(anchored, "h long, c long, doc long, tie long, span long, copy boolean")
+    found = cut(rows.repartition("h").sortWithinPartitions("h", "c", "doc", "tie", "span").mapInArrow(sorted_out, "doc long, tie long, span long, h long"))
     opens = found.where("h IS NOT NULL")
     busy = opens.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("hot"))
-    asked = opens.join(busy, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("span", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("opens"))
+    asked = opens.join(busy, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("span", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("opens"))
     # Both joins below read one exchange of the texts.
-    texts = flat.select("doc_id", key, "text", *also).repartition("doc")
-    buckets = texts.join(asked, "doc").select("doc", "text", "opens").mapInArrow(contexts, "bucket long, doc long, start long, windows int, bytes binary")
+    texts = flat.select("doc_id", "doc", "tie", "text", *also).repartition("doc", "tie")
+    buckets = texts.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "opens").mapInArrow(contexts, "bucket long, doc long, tie long, start long, windows int, bytes binary")
     # Copies carry no bucket: they are dealt out by their document.
-    dealt = buckets.repartition(F.coalesce("bucket", F.xxhash64("doc"))).sortWithinPartitions("bucket")
-    spans = found.where("h IS NULL").select("doc", "span").union(dealt.mapInArrow(scanned, "doc long, span long"))
-    return texts.join(spans.groupBy("doc").agg(F.collect_list("span").alias("spans")), "doc", "left").select("doc_id", "text", "spans", *also)
+    dealt = buckets.repartition(F.coalesce("bucket", F.xxhash64("doc", "tie"))).sortWithinPartitions("bucket")
+    spans = found.where("h IS NULL").select("doc", "tie", "span").union(dealt.mapInArrow(scanned, "doc long, tie long, span long"))
+    return texts.join(spans.groupBy("doc", "tie").agg(F.collect_list("span").alias("spans")), ["doc", "tie"], "left").select("doc_id", "text", "spans", *also)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -316,3 +316,13 @@ def test_toxicity_decides_alike_below_and_above_the_sample(spark):
     for sample in (10_000, 90):
         got = {r.text: r.rejected for r in toxicity.scored(docs, labels, sample=sample).select("carried.text", "rejected").distinct().collect()}
         assert got == {"hint slur": True, "hint": False, "plain": False}
+
+
+def test_repeats_of_rows_without_ids_or_with_shared_ids(spark):
+    head, other = "h" + LONG[:300], "o" + LONG[700:1000]
+    shared = LONG[400:600]
+    # Two equal null rows, one with text of its own at their places, one that repeats a passage; two texts of id 3.
+    rows = [(None, head), (None, head), (None, other), (None, "x" * 40 + shared), (3, shared + " a first"), (3, LONG[2000:2300]), (4, LONG[2000:2300])]
+    for hot in (4000, 1):
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), hot).mapInArrow(repeats.digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect())
+        assert got == sorted([(0, 301, 0), (0, 301, 301), (0, 301, 0), (0, 240, 0), (3, 208, 200), (3, 300, 0), (4, 300, 300)])

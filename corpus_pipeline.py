@@ -37,12 +37,11 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is masked in place; documents stay."""
-    found = secrets.scan(docs).where(F.size("span_list") > 0).select(F.col("doc_id").alias("found_id"), "span_list").dropDuplicates(["found_id"])
-    joined = docs.join(found, F.col("doc_id") == F.col("found_id"), "left")
-    text = F.when(F.col("span_list").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("span_list"), MASK))
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Every span found is masked in place; documents stay. Rows go through the scan whole, so spans stay with their text."""
+    found = secrets.scan(docs, carry=F.struct(*docs.columns))
+    whole = F.col("carried")["text"]
+    out = found.select("carried", F.when(F.size("span_list") > 0, secrets.masked(whole, F.col("span_list"), MASK)).otherwise(whole).alias("text"))
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

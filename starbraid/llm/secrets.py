@@ -140,8 +140,8 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bases.append([dict(zip(("start", "kind", "stop"), x)) for x in base])
             tokens.append([dict(zip(("start", "stop", "encoding", "length_class", "step", "inside"), x)) for x in found])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(bases, span), pa.array(tokens, token)],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens"],
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(bases, span), pa.array(tokens, token), *batch.columns[2:]],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens", *batch.schema.names[2:]],
         )
 
 
@@ -156,10 +156,12 @@ def thresholds(scanned: DataFrame, q: float = Q) -> dict[tuple[int, int], int]:
     return {(r["encoding"], r["length_class"]): r["step"] for r in rows}
 
 
-def scan(docs: DataFrame, q: float = Q) -> DataFrame:
-    """One row per row of docs: counts, digest of the base spans and all spans, the method's included."""
-    texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut(texts.mapInArrow(scan_batches, SCAN_SCHEMA))
+def scan(docs: DataFrame, q: float = Q, carry: Column | None = None) -> DataFrame:
+    """One row per row of docs: counts, digest of the base spans and all spans, the method's included[, carried]."""
+    also = [] if carry is None else ["carried"]
+    texts = text_of(docs, *([] if carry is None else [carry.alias("carried")])).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+    more_schema = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in also)
+    scanned = cut(texts.mapInArrow(scan_batches, SCAN_SCHEMA + more_schema))
     rejected = thresholds(scanned, q)
 
     def random(t: Column) -> Column:
@@ -173,7 +175,7 @@ def scan(docs: DataFrame, q: float = Q) -> DataFrame:
     named = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), s["kind"] + 1), s["start"], s["stop"]))
     return scanned.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(named, ",").alias("spans"),
-        F.size(more).cast("long").alias("n_random"), F.size("tokens").cast("long").alias("n_tested"), spans.alias("span_list"),
+        F.size(more).cast("long").alias("n_random"), F.size("tokens").cast("long").alias("n_tested"), spans.alias("span_list"), *also,
     )
 
 

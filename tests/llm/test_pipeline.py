@@ -54,3 +54,12 @@ def test_stages_take_awkward_rows(spark):
 
 def test_run_gives_pieces(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_secrets_are_masked_in_rows_without_ids_or_with_shared_ids(spark):
+    secret, clean = "password = hunter22hunter", "a long clean text that holds no secret at all"
+    rows = [(None, f"one {secret} end"), (None, None), (5, f"{secret} first"), (5, clean), (5, f"{clean} {secret}")]
+    docs = spark.createDataFrame([(d, t, "x", len(t or "")) for d, t in rows], "doc_id long, text string, carried string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, SF)
+    want = [(None, "one [secret] end"), (None, None), (5, "[secret] first"), (5, clean), (5, f"{clean} [secret]")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(d, t, "x", None if t is None else len(t)) for d, t in want], key=str)

@@ -17,93 +17,94 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, text_of
+from .common import chunks_of, cut, gulps, remembered, spelled, text_of
 
 CAPACITY = 2048
 END_ID = 1
-#: Chunks and words whose ids a worker remembers: at most about 200 MB, kept from task to task.
-REMEMBERED = 400_000
-WORDS = 600_000
+#: Words whose ids a worker remembers: at most about 100 MB, kept from task to task.
+REMEMBERED = 500_000
 #: Pieces of one length in a bucket, about.
 BUCKET = 20_000
 
-#: Letters whose lower case and normal form are the same everywhere, then punctuation that is never part of a word.
-PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)")
+#: Letters whose lower case and normal form are the same everywhere, then punctuation that the vocabulary always parts
+#: from them: all of ASCII but the apostrophe (contractions) and "<" (special tokens).
+PLAIN = r"^(?P<word>[A-Za-zß-öø-ÿÀ-ÖØ-Þ]*)(?P<mark>[!-&(-/:;=-@\[-`{-~]*)$"
 
 ORACLE_SQL = None  # tokenizer ids and a packing search; tests hold exactness and padding
 
 
-class WordIds(dict):
+class WordIds:
     """Chunk of text without blanks -> its ids as little-endian bytes.
 
-    The vocabulary's pre-tokenizer never joins text across a blank, so a text's ids are its chunks' ids in turn. A chunk
-    of plain letters and the punctuation after it are two words to it: their ids are looked up one by one, so that a word
-    meets the merges once whatever its case and punctuation. All other chunks go through the whole tokenizer.
+    The vocabulary's pre-tokenizer never joins text across white space, so a text's ids are its chunks' ids in turn. A
+    chunk of plain letters and the punctuation after it are two words to it: a word meets the merges once, whatever its
+    case and punctuation. New words are encoded together, joined by blanks; each ends at its one id of an end of word.
+    All other chunks go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        # The byte-level alphabet shows byte b of a UTF-8 letter as one character.
-        shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
-        hidden = [b for b in range(256) if b not in shown]
-        shown |= {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
-
-    def whole(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))]).tobytes()
-        return ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        if plain := PLAIN.fullmatch(chunk):
-            ids = self.word(plain[1].lower())
-            if plain[2]:
-                ids += self.whole(plain[2]) if plain[2] not in self else self[plain[2]]
-        else:
-            ids = self.whole(chunk)
-        if len(chunk) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > REMEMBERED:
+            self.words = {"": b""}
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(some, (4 * cut).tolist(), strict=True):
+                self.words[word] = raw[at:stop]
+                at = stop
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.words]
+        if new:
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words, new = {"": b""}, [w for w in words if w]
+            self.learn(new)
+        return list(map(self.words.__getitem__, words))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, how many each text has). A chunk is a word and a mark, or odd and whole."""
         for blank in "\n\t\r":
-            if blank in text:
-                text = text.replace(blank, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
-
-
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+            texts = pc.replace_substring(texts, blank, " ")
+        distinct, at, sizes = chunks_of(texts)
+        plain = pc.extract_regex(distinct, PLAIN)
+        is_odd = pc.is_null(plain).to_numpy(zero_copy_only=False)
+        words, marks = (pc.fill_null(pc.struct_field(plain, i), "").dictionary_encode() for i in (0, 1))
+        lower = pc.utf8_lower(words.dictionary).dictionary_encode()
+        values = self.of_words([*lower.dictionary.to_pylist(), *marks.dictionary.to_pylist()])
+        word = lower.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64)
+        mark = marks.indices.to_numpy().astype(np.int64) + len(lower.dictionary)
+        odd = np.flatnonzero(is_odd)
+        word[odd] = len(values) + np.arange(len(odd))
+        mark[odd] = len(values) + len(odd)
+        for lo in range(0, len(odd), 1024):
+            for e in self.tokenizer.encode_batch_fast(distinct.take(pa.array(odd[lo : lo + 1024])).to_pylist(), add_special_tokens=False):
+                values.append(np.array(e.ids, "<u4").tobytes())
+        values.append(b"")
+        return spelled(values, "<u4", np.column_stack([word[at], mark[at]]).ravel(), 2 * sizes)
+
+
+word_ids = remembered(WordIds)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -114,19 +115,23 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = words.ids(text) + end
-                total = len(raw) // 4
-                for at in range(0, total, capacity):
-                    part = raw[4 * at : 4 * (at + capacity)]
-                    for c, x in zip(cols, (doc, at, len(part) // 4, zlib.crc32(part), total, part)):
-                        c.append(x)
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
-            if with_ids:
-                flat = pa.array(np.frombuffer(b"".join(cols[5]), "<i4"))
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32)), flat))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+            docs_left = iter(batch.column(0).to_pylist())
+            for texts in gulps(batch.column(1)):
+                ids, n = words.ids(texts)
+                raw, stop = ids.tobytes(), 0
+                cols: list[list] = [[], [], [], [], [], []]
+                for size, doc in zip(n.tolist(), docs_left):
+                    own = raw[4 * stop : 4 * (stop + size)] + end
+                    stop += size
+                    for first in range(0, size + 1, capacity):
+                        part = own[4 * first : 4 * (first + capacity)]
+                        for c, x in zip(cols, (doc, first, len(part) // 4, zlib.crc32(part), size + 1, part)):
+                            c.append(x)
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+                if with_ids:
+                    flat = pa.array(np.frombuffer(b"".join(cols[5]), "<i4"))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32)), flat))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(encode, schema)

@@ -71,6 +71,23 @@ def test_battery_keeps_random_tokens_and_rejects_structure():
     assert all(f[2] > 100 for f in flat)
 
 
+def test_reported_tokens_are_mostly_random(spark):
+    """Planted tokens without a keyword among names and structured tokens: most are found, few others are reported."""
+    import random
+
+    rng = random.Random(11)
+    words = "release notes docs user guide api server config build test alpha beta index page model data train final report invoice".split()
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    slugs = ["-".join(pick(4)) + f"-{rng.randint(1, 2024)}" for _ in range(400)] + ["".join(w.title() for w in pick(5)) + str(rng.randint(1, 99)) for _ in range(400)]
+    structured = [f"{'Ab1' * 8}{i % 90 + 10}xY" for i in range(300)] + ["".join(w.title() + str(rng.randint(0, 9)) for w in pick(5)) for _ in range(60)]
+    planted = ["".join(rng.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(40)) for _ in range(200)] + ["".join(rng.choice(secrets.ALPHABETS["base32"]) for _ in range(32)) for _ in range(200)]
+    kinds = [(t, 0) for t in slugs + structured if len(t) >= 20] + [(t, 1) for t in planted]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(kinds)], "doc_id long, text string")
+    got = [r.doc_id for r in secrets.scan(df).where("n_random > 0").collect()]
+    hits = sum(kinds[d][1] for d in got)
+    assert hits >= 0.85 * len(planted) and hits >= 0.85 * len(got), (hits, len(got))
+
+
 def test_masking_leaves_other_text(spark):
     df = spark.createDataFrame([("abcdefghij", [(1, 0, 3), (2, 2, 4), (8, 1, 10)])], "text string, s array<struct<start:int,kind:int,stop:int>>")
     assert df.select(secrets.masked(F.col("text"), F.col("s"), "*").alias("m")).first().m == "a*efgh*"
@@ -183,29 +200,72 @@ def test_shards_are_even_and_slots_gapless(spark, small, docs, tmp_path):
     assert max(load) - min(load) <= 0.02 * sum(load) / 8 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     by = {(d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts(docs)}
     assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == by
-    sharding.save_map(spark, held, 2, str(tmp_path))
-    assert sharding.load_map(spark, 2, str(tmp_path)) == held
     for df in (small, small.limit(0)):
-        s = sharding.slotted(df)
-        w = sharding.slot_weights(s)
-        assert sharding.place(s, sharding.rebalance(sharding.first_map(8192, 40), w, 40), w).count() == df.count()
-
-
-def brute_topk(vectors, asked, k):
+        rows = sharding.sharded(df, str(tmp_path / f"awkward{df.count()}")).collect()
+        assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == sorted((str(d), len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts(df))
+        own = {}
+        for r in rows:
+            own.setdefault(r.shard, []).append(r.slot)
+        assert all(0 <= s < 40 and sorted(n) == list(range(len(n))) for s, n in own.items())
+
+
+def test_shard_map_is_stored_loaded_and_edited(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.sharded(docs.where("doc_id % 3 > 0"), path, 8, 512).collect()
+    assert {r.map_version for r in first} == {2}
+    one, two = sharding.load_map(spark, path, 1)[1], sharding.load_map(spark, path)[1]
+    assert one == sharding.first_map(512, 8) and len(two) == 512
+    grown = sharding.sharded(docs, path, 8, 512).collect()
+    version, three = sharding.load_map(spark, path)
+    assert version == 3 == grown[0].map_version and sharding.load_map(spark, path, 2)[1] == two
+    moved = {s for s in range(512) if two[s] != three[s]}
+    before, after = ({(r.doc_id, r.text_crc32): r.shard for r in x} for x in (first, grown))
+    slot = {(r.doc_id, r.text_crc32): r.virtual_slot for r in grown}
+    assert 0 < len(moved) < 300 and all((before[k] != after[k]) == (slot[k] in moved) for k in before)
+    assert {r.map_version for r in sharding.sharded(docs, path, 8, 512).collect()} == {3}
+
+
+def brute_topk(rows, k=20):
+    """Over collected rows: components and scores stop at the ends of a long."""
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    v = {r.vec_id: [hold(int((64 * float(x)) // 1)) for x in r.embedding] for r in rows if r.vec_id is not None and r.embedding and all(x is not None and abs(x) < float("inf") for x in r.embedding)}
     out = []
-    for q in asked:
-        s = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), x) for x, v in vectors.items() if x != q))[:k]
-        out += [(q, i + 1, x, -n) for i, (n, x) in enumerate(s)]
+    for q in v:
+        if q % 20 == 0:
+            s = sorted((-hold(sum(a * b for a, b in zip(v[q], w))), x) for x, w in v.items() if x != q)[:k]
+            out += [(q, i + 1, x, -n) for i, (n, x) in enumerate(s)]
     return sorted(out)
 
 
+def is_query():
+    return F.col("vec_id") % 20 == 0
+
+
 def test_topk_is_exact(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    tight = spark.createDataFrame([(i, [float(10 * (i % 4) + (i % 7) / 8), float(i % 4 == j) * 9]) for i in range(200) for j in (0,)] + [(500 + i, [1.0, 2.0]) for i in range(60)] + [(900, None), (901, [1.0, None]), (902, [float("nan"), 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    for rows, size in ((df, 16384), (tight, 64), (tight.limit(0), 64)):
-        vectors = {r.vec_id: [int((64 * float(x)) // 1) for x in r.embedding] for r in rows.collect() if r.vec_id is not None and r.embedding and all(x is not None and x == x for x in r.embedding)}
-        got = topk.search(rows, F.col("vec_id") % 20 == 0, pivots=8, block=size, group=16)
-        assert sorted(tuple(r) for r in got.collect()) == brute_topk(vectors, [q for q in vectors if q % 20 == 0], 20)
+    tight = [(i, [float(10 * (i % 4) + (i % 7) / 8), float(i % 4 == 0) * 9]) for i in range(200)] + [(500 + i, [1.0, 2.0]) for i in range(60)]
+    tight += [(900, None), (901, [1.0, None]), (902, [float("nan"), 1.0]), (903, [float("-inf"), 1.0]), (904, []), (None, [1.0, 1.0]), (920, [1.0])]
+    zeros = [(i, [1.0 + i % 7, 0.5]) for i in range(100)] + [(220, [-3.0, -1.0]), (240, [0.0, 0.0]), (241, [0.0, 0.0])]
+    huge = [(i, [float(i * 7 % 5 - 2) * (1e30 if i % 9 == 0 else 1), float(i % 3 - 1)]) for i in range(200)] + [(300, [-1e38, 3.0])]
+    for rows in (df, *(spark.createDataFrame(x, "vec_id long, embedding array<float>") for x in (tight, zeros, huge))):
+        got = topk.search(rows.withColumns({"cell": F.lit("clash"), "v": F.lit("clash"), "g": F.lit(1)}), is_query(), block=64, group=16)
+        assert sorted(tuple(r) for r in got.collect()) == brute_topk(rows.collect())
+        assert topk.search(rows.limit(0), is_query()).count() == 0
+
+
+def test_topk_replicates_only_what_bounds_admit(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 48))
+    m = centres[rng.integers(0, 30, 3000)] / np.sqrt(48) + rng.normal(size=(3000, 48)) * 0.012
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    _, units = topk.replicated(df, is_query(), block=256, group=16)
+    sides = {r.is_query: r["count"] for r in units.groupBy("is_query").count().collect()}
+    groups, blocks = units.select("g", "gp").distinct().count(), units.select("b", "bp").distinct().count()
+    assert groups >= 8 and blocks >= 8
+    assert sides[False] < 0.35 * groups * 3000 and sides[True] < 0.35 * blocks * 150
+    assert sorted(tuple(r) for r in topk.search(df, is_query(), block=256, group=16).collect()) == brute_topk(df.collect())
 
 
 def brute_repeats(pairs, length=100):

@@ -3,18 +3,22 @@
 Every record hashes into one of a fixed number of virtual slots. Bytes are summed by slot, and a small versioned map
 says which shard holds which slot. Rebalancing edits that map and nothing else: records keep their slots, so only the
 records of moved slots travel. Version 1 deals the slots out in turn; version 2 is version 1 edited until the shards'
-bytes are as near equal as moving and swapping slots can make them.
+bytes are as near equal as moving and swapping slots can make them. Both versions are stored; an edit starts from the
+latest stored version, and records are placed by the version that is read back.
 
-Defined results: null text counts as empty (size 16, CRC of no bytes); a null doc_id hashes by the text instead; rows
+Defined results: null text counts as empty (size 16, CRC of no bytes); records hash by id and text, so rows without an id or with a shared one are spread; rows
 that are equal in every column take neighbouring positions; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import shared_dir, text_of
 
 SLOTS = 8192
 SHARDS = 40
@@ -28,7 +32,8 @@ ORACLE_SQL = None  # the map is a balancing search; tests hold the laws of the r
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot) of every row; no shuffle."""
     text = F.col("text")
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    # By id and text: a null or repeated id does not gather its rows in one slot.
+    key = F.xxhash64("doc_id", text)
     return text_of(docs).select(
         "doc_id",
         (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
@@ -95,14 +100,26 @@ def rebalance(held: list[int], weights: dict[int, tuple[int, int]], shards: int)
 
 def save_map(spark: SparkSession, held: list[int], version: int, path: str) -> None:
     """Store one version of the map as (version, virtual_slot, shard); older versions stay readable."""
-    spark.range(len(held)).select(
-        F.col("id").cast("int").alias("virtual_slot"), F.element_at(F.lit(held), (F.col("id") + 1).cast("int")).alias("shard")
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    spark.createDataFrame(list(enumerate(held)), "virtual_slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, the shard of each slot) of one version, or of the latest; at most one row a slot."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("version")).first()[0] if version is None else version
+    return last, [r["shard"] for r in rows.where(F.col("version") == last).orderBy("virtual_slot").collect()]
 
 
-def load_map(spark: SparkSession, version: int, path: str) -> list[int]:
-    rows = spark.read.parquet(f"{path}/version={version}").collect()
-    return [r["shard"] for r in sorted(rows, key=lambda r: r["virtual_slot"])]
+def edited(spark: SparkSession, path: str, weights: dict[int, tuple[int, int]], shards: int) -> int:
+    """Rebalance the latest stored version by the slots' bytes and store the result as the next one; its version.
+
+    A map that is even enough stays as it is, without a new version."""
+    version, held = load_map(spark, path)
+    after = rebalance(held, weights, shards)
+    if after == held:
+        return version
+    save_map(spark, after, version + 1, path)
+    return version + 1
 
 
 def place(sized: DataFrame, held: list[int], weights: dict[int, tuple[int, int]]) -> DataFrame:
@@ -121,11 +138,20 @@ def place(sized: DataFrame, held: list[int], weights: dict[int, tuple[int, int]]
     )
 
 
-def op6_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    sized = slotted(spark.read.parquet(f"{sf_dir}/documents.parquet"), slots)
+def sharded(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Every record with its shard by the latest map stored at path; the map is made (version 1) or edited first."""
+    spark = docs.sparkSession
+    sized = slotted(docs, slots)
     weights = slot_weights(sized)
-    held = rebalance(first_map(slots, shards), weights, shards)
-    return place(sized, held, weights).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-        "virtual_slot", F.lit(2).alias("map_version"),
-    )
+    try:
+        load_map(spark, path)
+    except AnalysisException:  # no map yet
+        save_map(spark, first_map(slots, shards), 1, path)
+    version, held = load_map(spark, path, edited(spark, path, weights, shards))
+    return place(sized, held, weights).withColumn("map_version", F.lit(version))
+
+
+def op6_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    placed = sharded(docs, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}", shards, slots)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

@@ -8,11 +8,13 @@ stand. The fingerprint is the minima of SKETCH hash functions over the names of
 fingerprints is the share of equal minima, an estimate of the phrase sets' Jaccard similarity.
 
 The next document (for the edited text) comes with the range its predecessor is in: documents are dealt to ranges of
-doc_id, and the first document of each range is copied to the range before (the very first to the last). Ranges stream;
-none is held whole.
+(doc_id, hash of the text), as many as the rows ask for, and the first document of each range is copied to the range
+before (the very first to the last). Spark's range partitioning of the keys alone gives the bounds; a row finds its
+range in two steps of about the square root of their number. Ranges stream; none is held whole, and an id that many
+documents share is spread over ranges by their texts.
 
 Defined results: null text is empty; an empty text has the empty fingerprint, which is like itself only; documents are
-ordered by doc_id (null first), then text, so repeated rows follow each other; a lone document is its own next; an empty
+ordered by doc_id (null first), then a hash of the text, so repeated rows follow each other; a lone document is its own next; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -24,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 LEVELS = 3
 SKETCH = 64
-#: Documents of a range, about, and ranges at most (the driver holds one boundary for each).
-RANGE, RANGES = 3000, 2000
+#: Documents of a range, about (the driver holds one bound for each).
+RANGE = 20_000
 #: Characters that are parsed together.
 CHUNK = 1 << 20
 
@@ -121,7 +123,7 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, s
     run: list[tuple[int, str]] = []
     place, closed, size = None, False, 0
     for batch in batches:
-        for r, copy, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for r, copy, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
             if r != place:
                 place, closed = r, False
             if copy:
@@ -150,33 +152,43 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def range_of(key: Column, bounds: list[tuple[int | None, int]]) -> Column:
+    """The number of bounds (id, tie; sorted, null ids first) up to the key: a coarse step, then one inside its stride."""
+    if not bounds:
+        return F.lit(0)
+    stride = math.isqrt(len(bounds)) + 1
+    entry = "array<struct<id:bigint,tie:bigint>>"
+    coarse = F.lit([b[0] for b in bounds[::stride]]).cast("array<bigint>"), F.lit([b[1] for b in bounds[::stride]])
+    fine = [bounds[i : i + stride] for i in range(0, len(bounds), stride)]
+    ids, ties = F.array(*[F.lit([b[0] for b in f]).cast("array<bigint>") for f in fine]), F.array(*[F.lit([b[1] for b in f]) for f in fine])
+    upto = lambda i, t: F.size(F.filter(F.arrays_zip(i.alias("id"), t.alias("tie")).cast(entry), lambda b: b <= key))
+    first = upto(*coarse)
+    at = F.greatest(first, F.lit(1))
+    return F.when(first == 0, 0).otherwise((first - 1) * stride + upto(F.element_at(ids, at), F.element_at(ties, at)))
+
+
 def with_next(docs: DataFrame, rows_a_range: int = RANGE) -> DataFrame:
-    """(range, copy, doc_id, text), each range sorted and closed by a copy of the document after its last."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    ranges = max(1, min(RANGES, math.ceil(n / rows_a_range)))
-    bounds: list[int] = []
-    if ranges > 1:
-        marks = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("p")).first()["p"]
-        bounds = sorted(set(marks or []))
-    place = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    # One row a range: the ids its first document may have (null ids come first of all).
-    first = {r["range"]: None if r["nulls"] else r["least"] for r in ids.select(place.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()}
-    order = sorted(first)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("range"))
+    """(range, copy, doc_id, tie, text), each range sorted and closed by a copy of the document after its last."""
+    flat = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    keys = flat.select("doc_id", "tie")
+    ranges = max(1, math.ceil(keys.count() / rows_a_range))
+    key = F.struct(F.col("doc_id").alias("id"), "tie")
+    lows = keys.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low")).collect()
+    # One row a range: the key of its first document. Spark never splits equal keys.
+    order = sorted(((r["low"]["id"], r["low"]["tie"]) for r in lows), key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+    n = max(1, len(order))
+    placed = flat.withColumn("range", range_of(key, order[1:]))
     if not order:
-        return texts.select("range", F.lit(0).alias("copy"), "doc_id", "text")
-    size = order[-1] + 1
-    at = F.col("range") + 1
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(F.lit([first.get(r) if first.get(r) is not None else None for r in range(size)]).cast("array<bigint>"), at))
-    back = F.element_at(F.lit([before.get(r, 0) for r in range(size)]), at)
-    homes = F.array_compact(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.when(is_first, F.struct(back.alias("r"), F.lit(1).alias("copy")))))
+        return placed.select("range", F.lit(0).alias("copy"), "doc_id", "tie", "text")
+    starts = F.broadcast(docs.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(order)], "range int, first_id long, first_tie long"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    homes = F.array_compact(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.when(is_first, F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("r"), F.lit(1).alias("copy")))))
     return (
-        texts.select(F.explode(homes).alias("h"), "doc_id", "text")
-        .select(F.col("h.r").alias("range"), "h.copy", "doc_id", "text")
+        placed.join(starts, "range")
+        .select(F.explode(homes).alias("h"), "doc_id", "tie", "text")
+        .select(F.col("h.r").alias("range"), "h.copy", "doc_id", "tie", "text")
         .repartition("range")
-        .sortWithinPartitions("range", "copy", F.col("doc_id").asc_nulls_first(), "text")
+        .sortWithinPartitions("range", "copy", F.col("doc_id").asc_nulls_first(), "tie")
     )
 
 

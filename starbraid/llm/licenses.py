@@ -68,7 +68,7 @@ def votes(docs: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame,
     positions = spark.createDataFrame(table, "template int, label string, at int, w string, v string").select(
         "template", "label", "at", "w", "v", F.xxhash64("w", "v").alias("gram")
     )
-    known = [r["gram"] for r in positions.select("gram").distinct().collect()]
+    known = [r["gram"] for r in positions.select("gram").distinct().collect()]  # bounded by the templates
     pair = lambda ws, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1))
 
     def of(ws: Column) -> Column:
@@ -107,8 +107,9 @@ def spans(hits: DataFrame, positions: DataFrame, key: list[str]) -> tuple[DataFr
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str]] = TEMPLATES, cover: float = COVER) -> DataFrame:
     """One row per row of docs (doc_id, text): word count, exact places of the base phrases, labels and score."""
     every = base + templates
-    # Rows are told apart by a content key; equal rows have equal hits, so they share one set of spans.
-    keyed = text_of(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    # Rows are told apart by id and a 256-bit digest of the text; equal rows have equal hits, so they share one set of
+    # spans. Only rows with hits travel by it, dealt out by the digest, so a hot id is spread.
+    keyed = text_of(docs).select("doc_id", "text", F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest")).alias("key"))
     hits, positions = votes(keyed, every)
     length = {t: len(p.split()) - K + 1 for t, (_, p) in enumerate(every)}
     need = reduce(lambda c, t: c.when(F.col("template") == t, F.lit(length[t])), range(1, len(every)), F.when(F.col("template") == 0, F.lit(length[0])))

@@ -15,7 +15,7 @@ the smaller one, so that the ridge stays what it is for a sample. Without a cut
 reaches the driver, as sets of hashes; every document is scored, in Arrow batches.
 
 Defined results: null or empty text has no features; null labels and labels without a document are left out; of several
-labels of a document the toxic one counts, then the one of highest quality; with fewer
+labels of a document the toxic one counts, then the one of highest quality, and of several texts the smallest; with fewer
 than two labelled documents of a class, the category's probability is its smoothed frequency (0 without any labels);
 documents repeat as they come; an empty table gives no rows; extra columns are ignored.
 """
@@ -135,7 +135,9 @@ def training(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     stands_for = {int(c): count[c] / max(1, len(rows[c])) for c in rows}
     # At most 2 * sample ids: this bound is what makes the broadcast safe.
     ids = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
-    texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    # Of texts that share an id the smallest counts, so that the fit can be repeated.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     found = {r["doc_id"]: np.frombuffer(r["f"], "<u4") for r in texts.mapInArrow(feature_sets, "doc_id long, f binary").collect()}
     kept = sorted((d for d in known if d in found), key=lambda d: (zlib.crc32(str(d).encode()), d))
     y = np.array([(*known[d], known[d][0] & known[d][1]) for d in kept]).reshape(len(kept), len(CATEGORIES))

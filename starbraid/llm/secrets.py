@@ -4,9 +4,18 @@ The battery looks at every token of 20 or more characters that mixes letters and
 (hexadecimal, base 32 or base 64), maps it to symbol numbers and runs three tests of the hypothesis "symbols are drawn
 uniformly and independently": chi-squared uniformity over as many equal slices of the alphabet as the length supports,
 a runs test about the middle of the alphabet, and lag-1 serial correlation. The smallest of the three p-values, times
-three, is the token's p-value. Over the whole corpus, Benjamini-Hochberg at level Q, separately for each encoding and
-length class (a short token's tests have little power, so it competes only with its like), rejects the tokens that are
-structured; what is not rejected passes for random and is reported as a span "random".
+three, is the token's p-value. Two controls follow, over the whole corpus and separately for each encoding and length
+class (a short token's tests have little power, so it competes only with its like):
+    * Benjamini-Hochberg at level Q rejects the tokens that are structured; they are out.
+    * What is left is reported only while the estimated share of structured tokens among the reported stays at most
+      REPORTED. Random tokens' p-values are uniform, so the tokens with p-values above half, twice, estimate the random
+      ones (Storey); tokens with p-values of t or more number N(t), of which about (1 - t) times that estimate are
+      random. The threshold t is the least at which the rest of N(t) is at most REPORTED of it. A class whose tokens are
+      nearly all random keeps all that the first control left; one with many structured tokens keeps the upper end only.
+Words and numbers put together ("release-notes-2024-docs", "ModelTrainIndex7") are no symbols of an encoding: tokens
+whose parts between "-", "_", "/" and "+" are all letters with a short number behind or numbers are not candidates, nor
+are capitalised words in a row, nor tokens of one letter case with fewer than four digits that are not hexadecimal or
+base 32.
 
 P-values are kept as steps of a logarithmic grid, so the corpus-wide step needs only one count for each (encoding,
 length class, step): a few thousand rows whatever the corpus.
@@ -28,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-Q = 0.05
+#: Level of the control on structured tokens, and the largest estimated share of them among the reported.
+Q, REPORTED = 0.05, 0.1
 MIN_TOKEN = 20
 STEPS, STEP = 240, 0.05
 LENGTH_CLASSES = (24, 32, 48, 64, 128)
@@ -38,6 +48,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: What joins the parts of a name, a part (letters, then a short number; or a number), and capitalised words in a row.
+JOINTS = re.compile(r"[-_/+]")
+PART = re.compile(r"[A-Za-z]*[0-9]{0,4}|[0-9]{1,8}")
+TITLED = re.compile(r"(?:[A-Z][a-z]{2,}){2,}[0-9]{0,4}")
 
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -55,13 +69,21 @@ ORACLE_SQL = None  # code-point spans and a test battery; tests hold it against
 
 
 def encoding_of(token: str) -> str | None:
-    """The narrowest alphabet that holds a token of letters and digits; None for plain words and plain numbers."""
+    """The narrowest alphabet that holds a token of letters and digits; None for plain words, plain numbers and the two
+    put together."""
     letters = any(c.isalpha() for c in token)
     if not letters or not any(c.isdigit() for c in token):
         return None
+    parts = JOINTS.split(token)
+    if len(parts) > 1 and all(map(PART.fullmatch, parts)) or TITLED.fullmatch(token):
+        return None
     if set(token) <= INDEX["hex"].keys() or set(token.lower()) <= INDEX["hex"].keys() and token.isupper():
         return "hex"
-    return "base32" if set(token) <= INDEX["base32"].keys() else "base64"
+    if set(token) <= INDEX["base32"].keys():
+        return "base32"
+    if (token == token.lower() or token == token.upper()) and sum(c.isdigit() for c in token) < 4:
+        return None
+    return "base64"
 
 
 def chi_squared_tail(x: float, df: int) -> float:
@@ -145,15 +167,23 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def thresholds(scanned: DataFrame, q: float = Q) -> dict[tuple[int, int], int]:
-    """Benjamini-Hochberg by (encoding, length class): the lowest step that is rejected. At most 18 entries."""
+def thresholds(scanned: DataFrame, q: float = Q, reported: float = REPORTED) -> dict[tuple[int, int], int]:
+    """By (encoding, length class), the first step that is not reported. At most 18 entries.
+
+    Step s holds p-values from 10 ** (-STEP * (s + 1)) to 10 ** (-STEP * s)."""
     counts = scanned.select(F.explode("tokens").alias("t")).groupBy("t.encoding", "t.length_class", "t.step").agg(F.count(F.lit(1)).alias("n"))
     stratum = Window.partitionBy("encoding", "length_class")
-    so_far = F.sum("n").over(stratum.orderBy(F.desc("step")))
-    edge = F.pow(F.lit(10.0), -STEP * F.col("step"))
-    held = counts.select("encoding", "length_class", "step", (edge <= q * so_far / F.sum("n").over(stratum)).alias("reject"))
-    rows = held.where("reject").groupBy("encoding", "length_class").agg(F.min("step").alias("step")).collect()
-    return {(r["encoding"], r["length_class"]): r["step"] for r in rows}
+    total = F.sum("n").over(stratum)
+    structured = F.pow(F.lit(10.0), -STEP * F.col("step")) <= q * F.sum("n").over(stratum.orderBy(F.desc("step"))) / total
+    half = int(-math.log10(0.5) / STEP)
+    above = 10.0 ** (-STEP * half)
+    # Random tokens in all, estimated from the p-values above half (never more than there are tokens).
+    random = F.least(F.sum(F.when(F.col("step") < half, F.col("n")).otherwise(0)).over(stratum) / (1 - above), total)
+    held = F.sum("n").over(stratum.orderBy("step"))
+    least = F.pow(F.lit(10.0), -STEP * (F.col("step") + 1))
+    fits = (held - random * (1 - least) <= reported * held) & ~structured
+    rows = counts.select("encoding", "length_class", "step", fits.alias("fits")).groupBy("encoding", "length_class").agg(F.max(F.when(F.col("fits"), F.col("step") + 1)).alias("step")).collect()
+    return {(r["encoding"], r["length_class"]): r["step"] or 0 for r in rows}
 
 
 def scan(docs: DataFrame, q: float = Q, carry: Column | None = None) -> DataFrame:
@@ -162,11 +192,11 @@ def scan(docs: DataFrame, q: float = Q, carry: Column | None = None) -> DataFram
     texts = text_of(docs, *([] if carry is None else [carry.alias("carried")])).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
     more_schema = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in also)
     scanned = cut(texts.mapInArrow(scan_batches, SCAN_SCHEMA + more_schema))
-    rejected = thresholds(scanned, q)
+    limits = thresholds(scanned, q)
 
     def random(t: Column) -> Column:
-        step = F.lit(STEPS + 1)
-        for (encoding, length_class), first in rejected.items():
+        step = F.lit(0)
+        for (encoding, length_class), first in limits.items():
             step = F.when((t["encoding"] == encoding) & (t["length_class"] == length_class), F.lit(first)).otherwise(step)
         return t["step"] < step
 

@@ -6,11 +6,14 @@ on full shingle sets, and connected components by alternating large-star and sma
 3. In each bucket (equal band key) every member is paired with the smallest member: as many pairs as members, however
    large the bucket. Pairs pass the signature test, then the exact test on full sets; components of these links follow.
 4. Only links between different components can still change the result. In the buckets that hold more than one
-   component, all pairs across components are tested, in blocks of BLOCK members against BLOCK members, each pair in the
-   first bucket that it shares: by signature, then by sets. Only links leave the task; they are checked on full sets and
-   joined to the components.
-So the only links that can be missed are those of documents that share no bucket: at similarity 0.75 that is
-(1 - 0.75 ** ROWS) ** BANDS, about five in a million.
+   component, all pairs across components are tested, in blocks of about BLOCK members, each pair in the first bucket
+   that it shares: by signature, then by sets. A component of BLOCK members or more has blocks of its own, which never
+   meet each other; smaller ones share blocks. Only links leave the task; they are checked on full sets and joined to
+   the components.
+So the only links that can be missed are those of documents that share no bucket or differ in more minima than chance
+allows: at similarity 0.75 about (1 - 0.75 ** ROWS) ** BANDS and a normal tail, five in a million each; far fewer above.
+The exact way (exact=True) is the same job with other buckets: a set of n shingles is in one bucket for each of its
+n - ceil(0.75 n) + 1 smallest shingle hashes, of which two sets of similarity 0.75 share at least one; no signature test.
 
 Defined results: null or blank text has no shingles and is linked with nothing; one to four words are one shingle; rows
 without an id are linked with nothing (component null, kept); rows that share an id are one document whose texts both
@@ -20,6 +23,7 @@ count; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -91,19 +95,26 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(s: np.ndarray) -> np.ndarray:
+    """The least hashes of a sorted set, one of which every set of enough similarity shares."""
+    return s[: len(s) - (PERCENT * len(s) + 99) // 100 + 1].view(np.int64) if len(s) else s.view(np.int64)
+
+
+def sketch(batches: Iterator[pa.RecordBatch], exact: bool = False) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, k1, k2, sig, bands): k1, k2 name the set; sig holds the low byte of each minimum."""
     for batch in batches:
-        n, k1, k2, sig = [], [], [], np.zeros((len(batch), BANDS * ROWS), np.uint32)
+        n, k1, k2, sig, heads = [], [], [], np.zeros((len(batch), BANDS * ROWS), np.uint32), []
         for i, text in enumerate(batch.column(1).to_pylist()):
             s = shingles(text)
             n.append(len(s))
             k1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             k2.append(int(mixed(s * _ODD[0] + _ODD[1]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            if len(s):
+            if len(s) and not exact:
                 sig[i] = minima(s)
-        keys = band_keys(sig)
-        at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
+            if exact:
+                heads.append(prefix(s))
+        keys = np.concatenate([*heads, np.zeros(0, np.int64)]) if exact else band_keys(sig)
+        at = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32) if exact else np.arange(len(n) + 1, dtype=np.int32) * BANDS)
         low = (sig & np.uint32(0xFF)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))],
@@ -128,7 +139,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array((x == y).mean(axis=1) >= SIGNATURE)).select(["a", "b"])
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def across(batches: Iterator[pa.RecordBatch], signature: float = SIGNATURE) -> Iterator[pa.RecordBatch]:
     """Rows (band, i, j, side, id, root, sig, bands, short) sorted by (band, i, j) -> links across components.
 
     side 0 is block i, side 1 block j (none where i = j). A pair is tested in the first band that it shares: signature,
@@ -152,7 +163,7 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             roots = np.array([top(g[5]) for g in right])
             at = np.flatnonzero((roots != top(root)) & (np.arange(len(ids)) > k if right is left else ids != me))
             like = (sigs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-            at, like = at[like >= SIGNATURE], like[like >= SIGNATURE]
+            at, like = at[like >= signature], like[like >= signature]
             if len(at):
                 first = bands[at, (bands[at] == np.array(own_bands)).argmax(axis=1)] == band
                 at, like = at[first], like[first]
@@ -181,7 +192,7 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= PERCENT * union, on full sets."""
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -197,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = (e.select("a", "b").union(e.select("b", "a")).toDF("u", "v")) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        root = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below can split a hub with very many neighbours.
+        root = cut(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         out = near.join(root, "u")
         if large:
             return out.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -214,37 +226,58 @@ def components(edges: DataFrame) -> DataFrame:
     return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def across_blocks(named: DataFrame, block: int) -> DataFrame:
+    """(band, i, j, side, id, root) of the bucket members (band, id, root) for every pair of blocks that holds two roots.
+
+    A block is (root, part) for a root of `block` members or more in the bucket, and (-1, part) where smaller roots are
+    put together by hash. Blocks of one large root never meet, so a bucket of one component and a few others costs its
+    members once a block of the others. By counts only: no task holds a bucket."""
+    sizes = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") >= block
+    shape = sizes.groupBy("band").agg(
+        F.count(F.lit(1)).alias("roots"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / block).cast("int").alias("shared"),
+        F.collect_list(F.when(large, F.struct("root", F.ceil(F.col("n") / block).cast("int").alias("parts")))).alias("large"),
+    )
+    rows = named.join(cut(shape.where("roots > 1").drop("roots")), "band")
+    own = F.get(F.filter("large", lambda r: r["root"] == F.col("root")), F.lit(0))
+    key = lambda root, part: F.struct(root.cast("long").alias("root"), part.cast("int").alias("part"))
+    mine = F.when(own.isNull(), key(F.lit(-1), F.pmod(F.xxhash64("root"), F.greatest("shared", F.lit(1))))).otherwise(key(F.col("root"), F.pmod(F.xxhash64("id", "band"), own["parts"])))
+    parts = lambda root, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda p: key(root, p))
+    others = F.concat(parts(F.lit(-1), F.col("shared")), F.flatten(F.transform(F.filter("large", lambda r: r["root"] != F.col("root")), lambda r: parts(r["root"], r["parts"]))))
+    cells = F.transform(others, lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
+    return rows.withColumn("mine", mine).select("band", "id", "root", F.inline(cells)).select("band", "i", "j", "side", "id", "root")
+
+
+def classes(docs: DataFrame, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, kept)."""
     texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = cut(texts.mapInArrow(sketch, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
+    held = cut(texts.mapInArrow(partial(sketch, exact=exact), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
     live = held.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    same = live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first"))
+    # Written, so that the join can split a set that very many documents share.
+    same = cut(live.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first")))
     member = cut(live.select("doc_id", "k1", "k2", "n_shingles").join(same, ["k1", "k2", "n_shingles"]).select("doc_id", F.col("first").alias("id")).distinct())
     reps = live.join(member.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last")
-    buckets = cut(banded.join(hubs.select("band", "hub", "n"), "band"))
+    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
+    buckets = cut(banded.join(hubs.select("band", "hub"), "band"))
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sigs = cut(reps.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands"))
     sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, s array<long>, short binary"))
 
     sig = sigs.select("id", "sig")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long")
+    if not exact:
+        first = first.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long")
     copies = member.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    starred = cut(exact(first, sets))
+    starred = cut(confirmed(first, sets))
     roots = components(starred)
 
-    named = buckets.join(roots.toDF("id", "root"), "id", "left").select("band", "n", "id", F.coalesce("root", "id").alias("root"))
-    mixed_bands = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_rows = named.join(mixed_bands, "band", "left_semi").join(sigs, "id").join(sets.select("id", "short"), "id")
-    last = F.floor((F.col("n") - 1) / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", "band"), last + 1).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(mine <= o, 0).otherwise(1).alias("side")))
-    dealt = open_rows.select("band", "id", "root", "sig", "bands", "short", F.inline(cells)).select("band", "i", "j", "side", "id", "root", "sig", "bands", "short")
-    rest = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(across, "a long, b long")
-    late = cut(exact(rest.distinct(), sets))
+    named = buckets.join(roots.toDF("id", "root"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    cells = across_blocks(named, block).join(sigs, "id").join(sets.select("id", "short"), "id")
+    # Exact buckets are of no fixed number: there a pair is tested in each that it shares.
+    dealt = cells.select("band", "i", "j", "side", "id", "root", "sig", F.array("band").alias("bands") if exact else F.col("bands"), "short")
+    rest = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(partial(across, signature=0.0 if exact else SIGNATURE), "a long, b long")
+    late = cut(confirmed(rest.distinct(), sets))
     # The links of both steps, and those of equal sets, make the components.
     all_roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late).union(copies))
     return held.join(all_roots.toDF("doc_id", "root"), "doc_id", "left").select(

@@ -156,11 +156,18 @@ def test_near_duplicates_match_all_pairs(spark, small, docs):
                 if n and 100 * n >= 75 * len(sets[a] | sets[b]):
                     x, y = top(a), top(b)
                     parent[max(x, y)] = min(x, y)
-        for block in (512, 4):
-            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(df, block).collect() if r.doc_id is not None}
+        for block, exact in ((512, False), (4, False), (4, True)):
+            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(df, block, exact).collect() if r.doc_id is not None}
             assert got == {d: (len(sets[d]), top(d), top(d) == d) for d in ids}
 
 
+def test_a_large_component_meets_others_once_a_block(spark):
+    """One component of 5,000 members and three others in a bucket: each member goes to the block of the others only."""
+    rows = [(1, i, 0) for i in range(5000)] + [(1, 6000 + i, 6000 + i) for i in range(3)] + [(2, i, 0) for i in range(40)]
+    cells = neardup.across_blocks(spark.createDataFrame(rows, "band long, id long, root long"), 100)
+    assert cells.where("root = 0").count() == 5000 and cells.where("root > 0").count() == 3 * (1 + 50) and cells.where("band = 2").count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     assert {tuple(r) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(61)}
@@ -296,6 +303,23 @@ def test_repeats_match_every_window(spark, small, docs):
             assert all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
 
 
+def test_leaves_do_not_depend_on_batches():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(20), 0, rng.randrange(3)) for _ in range(300))
+    table = pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in zip(*rows)), pa.array([False] * len(rows))], names=["h", "c", "doc", "tie", "span", "copy"])
+    of = lambda size: sorted((tuple(r.values()) for b in repeats.sorted_out(iter([table.slice(i, size) for i in range(0, len(rows), size)])) for r in b.to_pylist()), key=str)
+    whole = of(300)
+    assert all(of(n) == whole for n in (1, 2, 3, 7, 50))
+    firsts = {(h, c): min(r[2:] for r in rows if r[:2] == (h, c)) for h, c in {r[:2] for r in rows}}
+    assert sorted((h, *f) for (h, c), f in firsts.items() if sum(k[0] == h for k in firsts) > 1) == sorted((r[3], *r[:3]) for r in whole if r[3] is not None)
+    assert sum(r[3] is None for r in whole) == sum(r[2:] != firsts[r[:2]] for r in rows)
+
+
 def test_maximal_repeats_have_all_occurrences():
     a, b, c = b"A" + b"xy" * 60 + b"1", b"B" + b"xy" * 60 + b"2", b"B" + b"xy" * 60 + b"3"
     found = {(n, tuple(sorted(p))) for n, p in repeats.maximal_repeats([(d, 0, len(t) - 99, t) for d, t in enumerate((a, b, c))])}

@@ -6,7 +6,7 @@ Which suffixes are sorted. Every LENGTH-byte window holds LENGTH - GRAM + 1 byte
 its anchor. Equal windows have equal anchors at equal places, so a window can repeat only if its anchor's gram does.
 Each anchor owns the stretch of consecutive windows that it is the anchor of. Stretches are brought together by gram:
     * a gram that occurs once owns no repeat, and its suffixes are dropped;
-    * stretches with equal content are copies: all but the earliest go whole;
+    * stretches with equal content are one leaf of the gram's tree with several occurrences: all but the earliest go;
     * different stretches of one gram may agree in part: the suffixes of their windows make a bucket.
 In each bucket the suffixes are sorted, the common prefixes of neighbours computed, and a stack scan lists the intervals
 of the common-prefix tree of depth LENGTH or more. An interval whose occurrences are preceded by different bytes (or lie
@@ -151,38 +151,39 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by (h, c, doc, tie, span): copies (h null) and, where a gram has different stretches, those (with h)."""
+    """Stretches sorted by (h, c, doc, tie, span): copies (h null) and, where a gram has different stretches, those (with h).
 
-    def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, c, doc, tie, span, copy = cols
-        real = ~copy
+    Equal stretches are one leaf of the gram's tree, whose occurrences but the earliest go; a gram with several leaves is
+    open for the interval scan. Only the earliest row of the last leaf is kept from batch to batch, so a gram may have
+    any number of stretches."""
+    last: list | None = None  # h, c, doc, tie, span of the open leaf's earliest row
+    several = False  # whether its gram has shown several leaves (then that row has gone out)
+    for batch in batches:
+        h, c, doc, tie, span, copy = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         out = [(doc[copy], tie[copy], span[copy], np.zeros(copy.sum(), np.int64), np.zeros(copy.sum(), bool))]
-        h, c, doc, tie, span = h[real], c[real], doc[real], tie[real], span[real]
+        real = ~copy
+        h, c, doc, tie, span = (x[real] for x in (h, c, doc, tie, span))
         if len(h):
+            if last is not None:
+                h, c, doc, tie, span = (np.concatenate([[a], x]) for a, x in zip(last, (h, c, doc, tie, span)))
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
             first = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
             again = ~new_c & ((doc != doc[first]) | (tie != tie[first]) | (span != span[first]))
-            kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
-            opened = new_c & (np.repeat(kinds, np.diff(np.flatnonzero(new_h), append=len(h))) > 1)
-            for rows, zero in ((again, True), (opened, False)):
-                out.append((doc[rows], tie[rows], span[rows], np.zeros(rows.sum(), np.int64) if zero else h[rows], np.full(rows.sum(), not zero)))
+            grams = np.flatnonzero(new_h)
+            leaves = np.add.reduceat(new_c.astype(np.int64), grams)
+            if several:
+                leaves[0] += 1
+            opened = new_c & (np.repeat(leaves, np.diff(grams, append=len(h))) > 1)
+            at = int(first[-1])
+            last = [x[at] for x in (h, c, doc, tie, span)]
+            if several and len(h):
+                opened[0] = False
+            several = bool(leaves[-1] > 1)
+            for rows, is_copy in ((again, True), (opened, False)):
+                out.append((doc[rows], tie[rows], span[rows], np.zeros(rows.sum(), np.int64) if is_copy else h[rows], np.full(rows.sum(), not is_copy)))
         doc, tie, span, h, is_open = (np.concatenate([o[i] for o in out]) for i in range(5))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(span), pa.array(h, mask=~is_open)], names=["doc", "tie", "span", "h"])
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        edge = int(np.searchsorted(cols[0], cols[0][-1]))
-        held = [x[edge:] for x in cols]
-        if edge:
-            yield solve([x[:edge] for x in cols])
-    if held is not None:
-        yield solve(held)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(span), pa.array(h, mask=~is_open)], names=["doc", "tie", "span", "h"])
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +355,8 @@ def with_spans(docs: DataFrame, hot: int = HOT, carry: Column | None = None) ->
     rows = flat.select("doc", "text", "tie").mapInArrow(anchored, "h long, c long, doc long, tie long, span long, copy boolean")
     found = cut(rows.repartition("h").sortWithinPartitions("h", "c", "doc", "tie", "span").mapInArrow(sorted_out, "doc long, tie long, span long, h long"))
     opens = found.where("h IS NOT NULL")
-    busy = opens.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("hot"))
+    # Written, so that the join can split a gram with very many stretches.
+    busy = cut(opens.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("hot")))
     asked = opens.join(busy, "h", "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("span", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("opens"))
     # Both joins below read one exchange of the texts.
     texts = flat.select("doc_id", "doc", "tie", "text", *also).repartition("doc", "tie")

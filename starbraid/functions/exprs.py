@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 UNKNOWN = -1
@@ -103,3 +105,27 @@ def prior(w: WindowSpec) -> WindowSpec:
 
 def running(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], value: str, n: str, shares: list[float], blocks: int = 1024) -> DataFrame:
+    """(*by, q): exact quantiles with linear interpolation, from rows (*by, value, n) of distinct values and their counts.
+
+    Groups may be of any size: values are numbered inside blocks that keep their order (equal slices of the group's range),
+    and the blocks' starts come from a table of at most `blocks` rows a group. NULL values are left out."""
+    rows = counts.where(F.col(value).isNotNull())
+    span = rows.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.sum(n).alias("all_"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    slice_ = F.floor(F.try_divide(F.col(value) - F.col("lo_"), F.col("hi_") - F.col("lo_")) * (blocks - 1))
+    cut = rows.alias("r").join(span.alias("s"), same).select(*[F.col(f"r.{c}").alias(c) for c in by], value, F.col(n).alias("n_"), "all_", F.coalesce(slice_, F.lit(0)).cast("int").alias("block_"))
+    sizes = cut.groupBy(*by, "block_").agg(F.sum("n_").alias("size_"))
+    starts = sizes.withColumn("start_", F.sum("size_").over(running(Window.partitionBy(*by).orderBy("block_"))) - F.col("size_")).drop("size_")
+    here = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "block_"]])
+    both = cut.alias("c").join(starts.alias("t"), here).select(*[F.col(f"c.{c}").alias(c) for c in [*by, "block_"]], value, "n_", "all_", "start_")
+    upto = F.col("start_") + F.sum("n_").over(running(Window.partitionBy(*by, "block_").orderBy(value)))
+    placed = both.withColumn("upto_", upto).withColumn("from_", F.col("upto_") - F.col("n_"))
+    at = [F.lit(p) * (F.col("all_") - 1) for p in shares]
+    inside = lambda r: (F.col("from_") <= r) & (r < F.col("upto_"))
+    picked = [x for i, r in enumerate(at) for x in (F.max(F.when(inside(F.floor(r)), F.col(value))).alias(f"a{i}_"), F.max(F.when(inside(F.ceil(r)), F.col(value))).alias(f"b{i}_"))]
+    out = placed.groupBy(*by).agg(F.max("all_").alias("all_"), *picked)
+    q = [F.col(f"a{i}_") + (F.col(f"b{i}_") - F.col(f"a{i}_")) * (r - F.floor(r)) for i, r in enumerate(at)]
+    return out.select(*by, F.array(*q).alias("q"))

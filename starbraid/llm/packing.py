@@ -35,7 +35,7 @@ END_ID = 1
 #: Words whose ids a worker remembers: at most about 100 MB, kept from task to task.
 REMEMBERED = 500_000
 #: Pieces of one length in a bucket, about.
-BUCKET = 20_000
+BUCKET = 1000
 
 #: Letters whose lower case and normal form are the same everywhere, then punctuation that the vocabulary always parts
 #: from them: all of ASCII but the apostrophe (contractions) and "<" (special tokens).
@@ -204,8 +204,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> Da
     rows = layout(plan(counts, capacity))
     if not rows:
         return held.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    buckets = max(1, math.ceil(max(counts.values()) / bucket))
-    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")
+    # As many buckets for each length as its pieces ask for; one entry a length.
+    buckets = [math.ceil(counts.get(n, 1) / bucket) for n in range(1, capacity + 1)]
+    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(F.lit(buckets), F.col("length"))).cast("int")
     numbered = held.withColumn("bucket_", spread).withColumn(
         "in_bucket_", F.row_number().over(Window.partitionBy("length", "bucket_").orderBy("doc_id", "start", "ids_crc32"))
     )

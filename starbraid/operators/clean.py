@@ -17,17 +17,19 @@ def judged(rows: DataFrame, rules: list[tuple[str, Column]], name: str = "reject
     return rows.withColumn(name, reason)
 
 
-def trip_rules(ceiling_days: float, ceiling_distance: float, ceiling_passengers: int) -> list[tuple[str, Column]]:
-    """The eight ordered reasons of the trip gate."""
+def trip_rules(ceiling_seconds: int, ceiling_distance: float, ceiling_passengers: int) -> list[tuple[str, Column]]:
+    """The eight ordered reasons of the trip gate. A distance of 0 passes, a missing one does not; a missing amount or
+    passenger count passes."""
     c = F.col
+    seconds = F.expr("timestampdiff(SECOND, pickup_ts, dropoff_ts)")
     return [
         ("missing_timestamp", c("pickup_ts").isNull() | c("dropoff_ts").isNull()),
-        ("dropoff_before_pickup", c("dropoff_ts") < c("pickup_ts")),
-        ("too_long", c("days") > ceiling_days),
-        ("no_distance", c("distance") <= 0),
+        ("no_duration", seconds <= 0),
+        ("too_long", seconds > ceiling_seconds),
+        ("no_distance", c("distance").isNull() | (c("distance") < 0)),
         ("too_far", c("distance") > ceiling_distance),
         ("negative_amount", (c("fare") < 0) | (c("total") < 0)),
-        ("too_many_passengers", c("passengers") > ceiling_passengers),
+        ("implausible_passengers", (c("passengers") < 0) | (c("passengers") > ceiling_passengers)),
         ("unknown_zone", c("pickup_zone").isNull() | c("dropoff_zone").isNull()),
     ]
 
@@ -38,7 +40,7 @@ def derived(trips: DataFrame, lo: str, hi: str, airports: list[int]) -> DataFram
     return trips.withColumns({
         "duration_seconds": seconds, "is_outside_declared_window": (F.col("pickup_ts") < F.lit(lo).cast("timestamp_ntz")) | (F.col("pickup_ts") >= F.lit(hi).cast("timestamp_ntz")),
         "avg_speed": F.when(seconds > 0, E.rounded(F.col("distance") * 3600.0 / seconds, 8)),
-        "is_airport_trip": F.col("pickup_zone").isin(airports) | F.col("dropoff_zone").isin(airports), "has_tip": F.col("tip") > 0,
+        "is_airport_trip": F.col("pickup_zone").isin(airports) | F.col("dropoff_zone").isin(airports), "has_tip": F.coalesce("tip", F.lit(0)) > 0, "has_toll": F.coalesce("tolls", F.lit(0)) > 0,
     })
 
 

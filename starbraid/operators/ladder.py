@@ -69,16 +69,20 @@ def repeats(results: DataFrame) -> DataFrame:
 
 
 def paired(results: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """rung_b minus rung_a within each seed: mean, spread, sign agreement and the better rung."""
+    """rung_b minus rung_a within each seed: mean, spread, sign agreement, the better rung or a tie, and the seeds'
+    differences in the seeds' order. A difference of 0 agrees with nothing."""
     spark = results.sparkSession
     wanted = spark.createDataFrame(pairs, "rung_a string, rung_b string")
     a, b = results.select("variant", "seed", F.col("rung").alias("rung_a"), F.col("mae").alias("mae_a")), results.select("variant", "seed", F.col("rung").alias("rung_b"), F.col("mae").alias("mae_b"))
+    same = F.when(F.col("m") > 0, F.col("up")).when(F.col("m") < 0, F.col("down")).otherwise(0)
     diffs = a.join(F.broadcast(wanted), "rung_a").join(b, ["variant", "seed", "rung_b"]).withColumn("d", F.col("mae_b") - F.col("mae_a"))
     return diffs.groupBy("variant", "rung_a", "rung_b").agg(
         F.count(F.lit(1)).alias("n_repeats"), E.mean("d", 6).alias("m"), F.stddev_samp("d").alias("s"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seed", F.col("d").cast("decimal(18,4)").cast("string").alias("d")))), lambda x: x["d"]).alias("by_seed"),
     ).select(
         "variant", "rung_a", "rung_b", "n_repeats", E.rounded(F.col("m")).alias("mean_diff_mae"), E.rounded(F.col("s"), 4).alias("sd_diff_mae"), E.rounded(F.col("lo")).alias("min_diff"), E.rounded(F.col("hi")).alias("max_diff"), E.rounded(F.try_divide("m", "s"), 3).alias("mean_over_sd"),
-        F.when(F.col("m") > 0, F.col("up")).when(F.col("m") < 0, F.col("down")).otherwise(0).alias("n_same_direction"), (F.greatest("up", "down") == F.col("n_repeats")).alias("direction_consistent"), F.when(F.col("m") > 0, F.col("rung_a")).when(F.col("m") < 0, F.col("rung_b")).alias("better_rung"),
+        same.alias("n_same_direction"), (same == F.col("n_repeats")).alias("direction_consistent"), F.when(F.col("m") > 0, F.col("rung_a")).when(F.col("m") < 0, F.col("rung_b")).otherwise("tie").alias("better_rung"),
+        F.array_join("by_seed", ";").alias("per_seed_diffs"),
     )
 
 

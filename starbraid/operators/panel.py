@@ -18,8 +18,9 @@ def chained_index(prices: DataFrame, cell: list[str], category: str, base: int,
     """Chained matched-model index by category, bridging up to `gap` months, next to the naive mean index.
 
     base is a month_index. A month with fewer than `least` matched cells breaks the chain; only the segment that holds
-    the base month is published.
+    the base month is published. Prices of 0 or less are left out first, so they neither report nor break a lag.
     """
+    prices = prices.where("price > 0")
     own = Window.partitionBy(category, *cell).orderBy("m")
     steps = prices.withColumn("m", E.index_of_key("month_key")).withColumns({"prev": F.lag("price").over(own), "prev_m": F.lag("m").over(own)})
     matched = (F.col("prev") > 0) & (F.col("price") > 0) & (F.col("prev_m") >= F.col("m") - gap)
@@ -37,9 +38,10 @@ def chained_index(prices: DataFrame, cell: list[str], category: str, base: int,
     linked = level.withColumn("is_linked_to_base", F.coalesce(F.col("chain_segment") == at("chain_segment"), F.lit(False)))
     index = F.when(F.col("is_linked_to_base"), F.lit(100.0) * F.exp(F.col("log_level") - at("log_level")))
     naive = F.try_divide(F.lit(100.0) * F.col("mean_price"), at("mean_price"))
+    relative = F.when(F.col("is_linked_to_base") & ~F.col("is_chain_break"), F.exp("log_link"))
     return linked.select(
         category, "month_key", "matched_cells", "cells_reporting", "longest_bridge_months", "is_chain_break", "chain_segment", "is_linked_to_base",
-        E.rounded(F.when(~F.col("is_chain_break"), F.exp("log_link"))).alias("monthly_link_relative"), E.rounded(index, 3).alias("chained_index"),
+        E.rounded(relative).alias("monthly_link_relative"), E.rounded(F.lit(100.0) * (relative - 1), 4).alias("pct_change_since_prior_observation"), E.rounded(index, 3).alias("chained_index"),
         E.rounded(naive).alias("naive_mean_index"), E.rounded(F.col("mean_price")).alias("naive_mean_price"), E.rounded(naive - index, 3).alias("naive_minus_chained"),
     )
 
@@ -82,21 +84,22 @@ def structural_break(prices: DataFrame, cell: list[str], break_month: int, w: in
     )
 
 
-def dispersion(prices: DataFrame, zone: str, commodity: str, least: int = 3, lag: int = 12) -> DataFrame:
-    """Spread across the reporting units of zone x commodity x month. Thin cells stay and are flagged; the change
-    looks `lag` rows back, which is `lag` months only where no month is missing."""
-    stats = prices.groupBy(zone, commodity, "month_key").agg(
-        F.count(F.lit(1)).alias("reporting_markets"), E.mean("price").alias("mean"), F.median("price").alias("median"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+def dispersion(prices: DataFrame, zone: str, commodity: str, market: str, least: int = 3, lag: int = 12) -> DataFrame:
+    """Spread across the markets of zone x commodity x month: prices above 0 in known zones. A market counts once,
+    however many prices it reports. Thin cells stay and are flagged; the change looks `lag` rows back, which is `lag`
+    months only where no month is missing."""
+    stats = prices.where((F.col("price") > 0) & F.col(zone).isNotNull()).groupBy(zone, commodity, "month_key").agg(
+        F.count_distinct(market).alias("reporting_markets"), F.count(F.lit(1)).alias("prices"), E.mean("price").alias("mean"), F.median("price").alias("median"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
         F.sum(E.exact("price")).cast("double").alias("s"), F.sum((E.exact("price") * E.exact("price")).cast("decimal(38,8)")).cast("double").alias("q"),
     )
-    n = F.col("reporting_markets").cast("double")
+    n = F.col("prices").cast("double")
     sd = F.when(n > 1, F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0))))
     cv = E.rounded(F.try_divide(sd, F.col("mean")), 4)
     base = stats.withColumns({"sd": E.rounded(sd, 4), "cv": cv})
     w = Window.partitionBy(zone, commodity).orderBy("month_key")
     return base.select(
         zone, commodity, "month_key", "reporting_markets", E.rounded(F.col("mean")).alias("mean_price"), E.rounded(F.col("median")).alias("median_price"), F.col("sd").alias("sd_price"), "min_price", "max_price",
-        F.col("cv").alias("coefficient_of_variation"), E.rounded(F.try_divide(F.col("max_price"), F.col("min_price"))).alias("max_min_price_ratio"),
+        F.col("cv").alias("coefficient_of_variation"), E.rounded(F.try_divide(F.lit(100.0) * F.col("sd"), F.col("mean")), 3).alias("cv_pct"), E.rounded(F.try_divide(F.col("max_price"), F.col("min_price"))).alias("max_min_price_ratio"),
         (F.col("reporting_markets") >= least).alias("meets_market_threshold"), E.rounded(F.col("cv") - F.lag("cv", lag).over(w), 4).alias("cv_change_vs_12_rows_ago"),
     )
 
@@ -143,7 +146,8 @@ def national(panel: DataFrame) -> DataFrame:
     """Month-level spread, extremes, index, changes, rolling mean, rank correlations and variance shares."""
     ranked = geography(panel)
     first_month = Window.partitionBy("state").orderBy("month_key")
-    ranked = ranked.withColumns({"first_rank": F.first("price_rank").over(first_month), "first_key": F.min("month_key").over(Window.partitionBy())})
+    first_key = panel.agg(F.min("month_key").alias("first_key"))  # one row
+    ranked = ranked.withColumn("first_rank", F.first("price_rank").over(first_month)).join(F.broadcast(first_key))
     ranked = ranked.withColumn("first_rank", F.when(F.min("month_key").over(Window.partitionBy("state")) == F.col("first_key"), F.col("first_rank")))
     p, n = F.col("price"), F.count(F.lit(1)).cast("double")
     q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -166,17 +170,25 @@ def national(panel: DataFrame) -> DataFrame:
 
 
 def states(panel: DataFrame, share: float = 0.8) -> DataFrame:
-    """Per state the longest runs above and below the nation (gaps and islands) and a persistence class."""
-    rows = geography(panel).withColumns({"m": E.index_of_key("month_key"), "side": F.when(F.col("premium_national") > 0, "above").otherwise("below")})
+    """Per state the premium on the nation in percent, the spread of its rank, the longest runs above the mean and
+    at or below it (gaps and islands; 0 where none) and a persistence class."""
+    pct = E.rounded(F.try_divide(F.lit(100.0) * F.col("premium_national"), F.col("national_mean")))
+    rows = geography(panel).withColumns({"m": E.index_of_key("month_key"), "side": F.when(F.col("premium_national") > 0, "above").otherwise("below"), "pct": pct})
     island = F.col("m") - F.row_number().over(Window.partitionBy("state", "side").orderBy("m"))
     runs = rows.withColumn("island", island).groupBy("state", "side", "island").agg(F.count(F.lit(1)).alias("length"))
-    longest = runs.groupBy("state").agg(F.max(F.when(F.col("side") == "above", F.col("length"))).alias("longest_run_above"), F.max(F.when(F.col("side") == "below", F.col("length"))).alias("longest_run_below"))
+    longest = runs.groupBy("state").agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col("length"))), F.lit(0)).alias(f"longest_run_{s}") for s in ("above", "below")])
+    n, s, q = F.count(F.lit(1)).cast("double"), F.sum(E.exact("pct", 6)).cast("double"), F.sum(E.exact("pct", 6) * E.exact("pct", 6)).cast("double")
+    sr, qr = F.sum(E.exact("price_rank", 1)).cast("double"), F.sum(E.exact("price_rank", 1) * E.exact("price_rank", 1)).cast("double")
     stats = rows.groupBy("state", "zone").agg(
-        F.count(F.lit(1)).alias("months"), F.count_if(F.col("premium_national") > 0).alias("months_above"), E.rounded(E.mean("premium_national", 6)).alias("mean_premium"), E.rounded(F.min("premium_national")).alias("min_premium"), E.rounded(F.max("premium_national")).alias("max_premium"), E.rounded(E.mean("price_rank")).alias("mean_rank"),
+        F.count(F.lit(1)).alias("months"), F.count_if(F.col("premium_national") > 0).alias("months_above"), E.rounded(E.mean("price")).alias("mean_price"), E.rounded(E.mean("pct", 6), 5).alias("mean_premium_pct"), E.rounded(F.median("pct"), 5).alias("median_premium_pct"),
+        E.rounded(F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))), 4).alias("sd_premium"), F.min("pct").alias("min_premium_pct"), F.max("pct").alias("max_premium_pct"),
+        E.rounded(E.mean("price_rank")).alias("mean_rank"), E.rounded(F.sqrt(F.greatest((qr - sr * sr / n) / n, F.lit(0.0))), 4).alias("sd_rank"), F.min("price_rank").alias("highest_rank"), F.max("price_rank").alias("lowest_rank"),
     )
     above = F.col("months_above") / F.col("months")
-    kind = F.when(above >= share, "persistently above").when(above <= 1 - share, "persistently below").otherwise("mixed")
-    return stats.join(longest, "state").select("*", E.rounded(above).alias("share_above"), kind.alias("persistence"))
+    below = (F.col("months") - F.col("months_above")) / F.col("months")
+    kind = F.when(above >= share, "persistent premium").when(below >= share, "persistent discount").otherwise("no persistent position")
+    rank = F.rank().over(Window.orderBy(F.desc("mean_premium_pct")))  # one row a state
+    return stats.join(longest, "state").select(rank.alias("premium_rank"), "*", (F.col("months") - F.col("months_above")).alias("months_at_or_below"), E.rounded(above).alias("share_above"), kind.alias("persistence"))
 
 
 def zone_months(panel: DataFrame) -> DataFrame:

@@ -37,9 +37,10 @@ def corridors(trips: DataFrame, zones: DataFrame, excluded: list[int], k: int =
         E.rounded(E.mean("fare")).alias("mean_fare"), E.rounded(F.median("fare")).alias("median_fare"),
         E.rounded(E.mean("total", 6)).alias("mean_total_amount"), E.rounded(E.mean("distance")).alias("mean_distance"),
         E.rounded(E.mean("days")).alias("mean_days"), E.rounded(F.median(F.col("days").cast("double"))).alias("median_days"),
-        E.rounded(F.try_divide(F.lit(100.0) * E.total("tip", 6), E.total("fare"))).alias("tip_pct_of_fare"),
-        E.rounded(F.try_divide(E.total("distance"), E.total(F.when(F.col("days") > 0, F.col("days"))))).alias("implied_speed"),
+        E.rounded(F.lit(100.0) * E.mean(E.ratio(F.col("tip"), F.col("fare")), 12)).alias("mean_tip_pct_of_fare"),
     )
+    # Mean distance over mean duration of all eligible trips, as published means.
+    base = base.withColumn("implied_speed", E.rounded(F.try_divide("mean_distance", "mean_days")))
     shares = base.withColumn("pct_of_eligible_trips", E.percent(F.col("trip_count"), F.sum("trip_count").over(Window.partitionBy())))
     top = shares.withColumn("corridor_rank", F.rank().over(Window.orderBy(F.desc("trip_count")))).where(F.col("corridor_rank") <= k)
     a, b = zones.alias("a"), zones.alias("b")
@@ -54,47 +55,61 @@ def corridors(trips: DataFrame, zones: DataFrame, excluded: list[int], k: int =
 
 
 def congestion(trips: DataFrame, zones: DataFrame, ceiling: float) -> DataFrame:
-    """A3: speed by (borough, weekday), (borough, month) and (borough) in one grouping-sets pass."""
-    timed = trips.where(F.col("days") > 0).join(zones, F.col("pickup_zone") == F.col("zone_key"))
-    speed = F.col("distance") / F.col("days")
-    rows = timed.select("borough", E.iso_dow("pickup_ts").alias("dow"), F.month("pickup_ts").alias("month"), "distance", "days", F.when(speed <= ceiling, speed).alias("speed"), (speed > ceiling).alias("implausible"))
+    """A3: speed by (borough, weekday), (borough, month) and (borough) in one grouping-sets pass.
+
+    All trips count; those without a speed, or with one of 0 or less or above the ceiling, count as excluded and leave the
+    speeds. Quartiles are exact, by counts of distinct speeds: no task holds a borough's speeds."""
+    timed = trips.join(zones, F.col("pickup_zone") == F.col("zone_key"))
+    speed = F.when(F.col("days") > 0, F.col("distance") / F.col("days"))
+    fit = F.coalesce((speed > 0) & (speed <= ceiling), F.lit(False))
+    rows = timed.select("borough", E.iso_dow("pickup_ts").alias("dow"), F.month("pickup_ts").alias("month"), *[F.when(fit, c).alias(n) for c, n in ((F.col("distance"), "distance"), (F.col("days"), "days"), (speed, "speed"))])
     b, d, m = F.col("borough"), F.col("dow"), F.col("month")
-    quartiles = F.percentile("speed", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    level = (F.grouping("dow") * 2 + F.grouping("month")).alias("level")
     out = rows.groupingSets([[b, d], [b, m], [b]], b, d, m).agg(
-        (F.grouping("dow") * 2 + F.grouping("month")).alias("level"),
-        F.count(F.lit(1)).alias("trip_count"), F.count_if("implausible").alias("excluded_implausible_speed"),
-        E.rounded(E.mean("speed", 8)).alias("mean_speed"), quartiles.alias("q"),
-        E.rounded(F.try_divide(E.total(F.when(~F.col("implausible"), F.col("distance"))), E.total(F.when(~F.col("implausible"), F.col("days"))))).alias("weighted_speed"),
+        level, F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("speed").isNull()).alias("excluded_implausible_speed"),
+        E.rounded(E.mean("speed", 8)).alias("mean_speed"), E.rounded(E.mean("distance")).alias("mean_distance"), E.rounded(F.try_divide(E.total("distance"), E.total("days"))).alias("weighted_speed"),
     )
+    values = rows.where("speed IS NOT NULL").groupBy("borough", "dow", "month", "speed").agg(F.count(F.lit(1)).alias("n"))
+    values = values.groupingSets([[b, d, F.col("speed")], [b, m, F.col("speed")], [b, F.col("speed")]], b, d, m, F.col("speed")).agg(level, F.sum("n").alias("n"))
+    key = ["borough", "dow", "month", "level"]
+    q = E.exact_quantiles(values, key, "speed", "n", [0.25, 0.5, 0.75]).toDF(*[f"{c}_" for c in key], "q")
+    out = out.join(q, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]), "left")
     name = F.when(F.col("level") == 1, "borough_weekday").when(F.col("level") == 2, "borough_month").otherwise("borough")
     return out.select(
         name.alias("grouping_level"), "borough", "dow", F.when(m.isNotNull(), F.format_string("M%02d", m)).alias("month_label"), "trip_count", "excluded_implausible_speed", "mean_speed",
-        E.rounded(F.element_at("q", 1)).alias("p25_speed"), E.rounded(F.element_at("q", 2)).alias("median_speed"), E.rounded(F.element_at("q", 3)).alias("p75_speed"), "weighted_speed",
+        E.rounded(F.element_at("q", 1)).alias("p25_speed"), E.rounded(F.element_at("q", 2)).alias("median_speed"), E.rounded(F.element_at("q", 3)).alias("p75_speed"), "weighted_speed", "mean_distance",
     )
 
 
-def tipping(trips: DataFrame, zones: DataFrame, bounds: list[float], names: list[str], interpretable: list[str]) -> DataFrame:
-    """A4: payment x borough x distance band: conditional means, medians of ratios and the ratio of sums."""
+def tipping(trips: DataFrame, zones: DataFrame, bounds: list[float], names: list[str], interpretable: list[str], prearranged: list[str]) -> DataFrame:
+    """A4: payment x borough x distance band: conditional means, medians of ratios and the ratio of sums.
+
+    The share of the fare is missing where the fare is 0 only; negative fares count. The median is exact, by counts of
+    distinct shares."""
     rows = trips.join(zones, F.col("pickup_zone") == F.col("zone_key")).withColumn("distance_band", E.banded("distance", bounds, names))
-    tip_pct = F.when(F.col("fare") > 0, F.lit(100.0) * F.col("tip") / F.col("fare"))
+    tip_pct = E.ratio(F.lit(100.0) * F.col("tip"), F.col("fare"))
     tipped = F.col("tip") > 0
-    out = rows.withColumns({"tip_pct": tip_pct, "tipped": tipped}).groupBy("payment", "borough", "distance_band").agg(
-        F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("fare") <= 0).alias("zero_fare_trips"), F.count_if("tipped").alias("trips_with_recorded_tip"),
+    rows, key = rows.withColumns({"tip_pct": tip_pct, "tipped": tipped}), ["payment", "borough", "distance_band"]
+    out = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("fare") == 0).alias("zero_fare_trips"), F.count_if("tipped").alias("trips_with_recorded_tip"),
         E.rounded(E.mean("fare")).alias("mean_fare"), E.rounded(E.mean("tip", 6)).alias("mean_tip"),
-        E.rounded(E.mean("tip_pct", 8)).alias("mean_tip_pct"), E.rounded(F.median("tip_pct")).alias("median_tip_pct"),
+        E.rounded(E.mean("tip_pct", 8)).alias("mean_tip_pct"), F.count_if(F.col("rate").isin(prearranged)).alias("prearranged_trips"),
         E.rounded(E.mean(F.when(tipped, F.col("tip_pct")), 8)).alias("mean_tip_pct_given_tipped"),
         E.rounded(F.try_divide(F.lit(100.0) * E.total("tip", 6), E.total("fare"))).alias("aggregate_tip_pct_of_fare"),
     )
+    values = rows.groupBy(*key, "tip_pct").agg(F.count(F.lit(1)).alias("n"))
+    median = E.exact_quantiles(values, key, "tip_pct", "n", [0.5]).select(*[F.col(c).alias(f"{c}_") for c in key], E.rounded(F.element_at("q", 1)).alias("median_tip_pct"))
+    out = out.join(median, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]), "left").drop(*[f"{c}_" for c in key])
     order = reduce(lambda c, i: c.when(F.col("distance_band") == names[i], i + 1), range(len(names)), F.when(F.lit(False), 0))
     return out.withColumns({"is_interpretable": F.col("payment").isin(interpretable), "distance_band_order": order, "pct_trips_with_recorded_tip": E.percent(F.col("trips_with_recorded_tip"), F.col("trip_count"))})
 
 
 def concentration(trips: DataFrame, zones: DataFrame, share: float = 80.0) -> DataFrame:
-    """A5: zones by revenue with running shares; the row that crosses the share is still inside."""
+    """A5: zones by revenue with running shares; inside are the zones whose running share, rounded as published, is at
+    most the share: the row that crosses it is outside."""
     base = trips.groupBy("pickup_zone").agg(F.count(F.lit(1)).alias("trip_count"), F.sum(E.exact("total", 6)).alias("revenue"), E.total("distance").alias("total_distance"))
     order = Window.orderBy(F.desc("revenue"), "pickup_zone")
     everything, upto = Window.partitionBy(), E.running(order)
-    before = F.coalesce(F.sum("revenue").over(E.prior(order)), F.lit(0)).cast("double")
     whole = F.sum("revenue").over(everything).cast("double")
     ranked = base.select(
         "pickup_zone", "trip_count", F.row_number().over(order).alias("revenue_rank"), E.rounded(F.col("revenue").cast("double"), 4).alias("total_revenue"),
@@ -102,7 +117,7 @@ def concentration(trips: DataFrame, zones: DataFrame, share: float = 80.0) -> Da
         E.percent(F.col("revenue"), whole).alias("pct_of_revenue"), E.percent(F.sum("revenue").over(upto), whole).alias("cumulative_pct_revenue"),
         E.percent(F.sum("trip_count").over(upto), F.sum("trip_count").over(everything)).alias("cumulative_pct_trips"),
         E.percent(F.row_number().over(order), F.count(F.lit(1)).over(everything)).alias("cumulative_pct_zones"),
-        (F.lit(100.0) * before / whole < share).alias("within_top_share"),
+        (E.percent(F.sum("revenue").over(upto), whole) <= share).alias("within_top_share"),
     )
     return ranked.join(zones, F.col("pickup_zone") == F.col("zone_key")).drop("zone_key", "pickup_zone")
 
@@ -133,11 +148,13 @@ def missingness(rows: DataFrame, fields: list[str], by: list[str], least: int) -
     n_missing = reduce(lambda a, b: a + b, [F.col(f).isNull().cast("int") for f in fields])
     everything = Window.partitionBy()
     label = [F.lit(None).cast("string").alias(c) for c in by]
-    rates = [E.percent(F.count_if(F.col(f).isNull()), F.count(F.lit(1))).alias(f"{f}_missing_pct") for f in fields]
+    every = reduce(lambda a, b: a & b, [F.col(f).isNull() for f in fields])
+    rates = [E.percent(F.count_if(x), F.count(F.lit(1))).alias(f"{n}_missing_pct") for n, x in [*((f, F.col(f).isNull()) for f in fields), ("all", every)]]
+    rated = [f"{f}_missing_pct" for f in [*fields, "all"]]
     patterns = rows.groupBy(missing_pattern(fields).alias("missingness_pattern"), n_missing.alias("fields_missing")).agg(F.count(F.lit(1)).alias("trip_count"))
-    one = patterns.select(F.lit("pattern").alias("record_type"), *label, "missingness_pattern", "fields_missing", "trip_count", *[F.lit(None).cast("double").alias(f"{f}_missing_pct") for f in fields])
+    one = patterns.select(F.lit("pattern").alias("record_type"), *label, "missingness_pattern", "fields_missing", "trip_count", *[F.lit(None).cast("double").alias(c) for c in rated])
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("trip_count"), *rates).where(F.col("trip_count") >= least)
-    two = groups.select(F.lit("group").alias("record_type"), *[F.col(c).cast("string").alias(c) for c in by], F.lit(None).cast("string").alias("missingness_pattern"), F.lit(None).cast("int").alias("fields_missing"), "trip_count", *[f"{f}_missing_pct" for f in fields])
+    two = groups.select(F.lit("group").alias("record_type"), *[F.col(c).cast("string").alias(c) for c in by], F.lit(None).cast("string").alias("missingness_pattern"), F.lit(None).cast("int").alias("fields_missing"), "trip_count", *rated)
     share = lambda df: df.withColumn("pct_of_trips", E.percent(F.col("trip_count"), F.sum("trip_count").over(everything)))
     return share(one).unionByName(share(two))
 

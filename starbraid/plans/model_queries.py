@@ -173,10 +173,11 @@ def m17(spark, sf):
     return L.repeats(results(spark, sf))
 
 
-@query("m18_paired", f"""WITH {ERR_SQL}, d AS (SELECT a.variant, a.rung AS rung_a, b.rung AS rung_b, b.mae - a.mae AS d FROM rs a JOIN rs b USING (variant, seed) WHERE (a.rung, b.rung) IN (('V0', 'V1'), ('V0', 'V2'), ('V1', 'V3'))),
-g AS (SELECT variant, rung_a, rung_b, count(*) AS n, {mean('d', 6)} AS m, stddev_samp(d) AS s, min(d) AS lo, max(d) AS hi, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM d GROUP BY ALL)
+@query("m18_paired", f"""WITH {ERR_SQL}, d AS (SELECT a.variant, seed, a.rung AS rung_a, b.rung AS rung_b, b.mae - a.mae AS d FROM rs a JOIN rs b USING (variant, seed) WHERE (a.rung, b.rung) IN (('V0', 'V1'), ('V0', 'V2'), ('V1', 'V3'))),
+g AS (SELECT variant, rung_a, rung_b, count(*) AS n, {mean('d', 6)} AS m, stddev_samp(d) AS s, min(d) AS lo, max(d) AS hi, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down,
+  string_agg(CAST(CAST(d AS DECIMAL(18,4)) AS VARCHAR), ';' ORDER BY seed) AS per_seed_diffs FROM d GROUP BY ALL)
 SELECT variant, rung_a, rung_b, n AS n_repeats, round(m, 6) AS mean_diff_mae, round(s, 4) AS sd_diff_mae, round(lo, 6) AS min_diff, round(hi, 6) AS max_diff, round(m / s, 3) AS mean_over_sd, CASE WHEN m > 0 THEN up WHEN m < 0 THEN down ELSE 0 END AS n_same_direction,
-  greatest(up, down) = n AS direction_consistent, CASE WHEN m > 0 THEN rung_a WHEN m < 0 THEN rung_b END AS better_rung FROM g""")
+  CASE WHEN m > 0 THEN up WHEN m < 0 THEN down ELSE 0 END = n AS direction_consistent, CASE WHEN m > 0 THEN rung_a WHEN m < 0 THEN rung_b ELSE 'tie' END AS better_rung, per_seed_diffs FROM g""")
 def m18(spark, sf):
     return L.paired(results(spark, sf), [("V0", "V1"), ("V0", "V2"), ("V1", "V3")])
 

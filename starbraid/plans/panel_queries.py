@@ -15,7 +15,7 @@ RUN = "ROWS UNBOUNDED PRECEDING"
 
 
 @query("a6_chained_index", f"""
-WITH {MARKET_SQL}, s AS (SELECT *, {M} AS m, lag(price) OVER w AS prev, lag({M}) OVER w AS prev_m FROM market WINDOW w AS (PARTITION BY category, state, commodity ORDER BY month_key)),
+WITH {MARKET_SQL}, s AS (SELECT *, {M} AS m, lag(price) OVER w AS prev, lag({M}) OVER w AS prev_m FROM market WHERE price > 0 WINDOW w AS (PARTITION BY category, state, commodity ORDER BY month_key)),
 x AS (SELECT *, coalesce(prev > 0 AND price > 0 AND prev_m >= m - 3, false) AS matched FROM s),
 g AS (SELECT category, m, month_key, count(*) FILTER (matched) AS matched_cells, count(*) AS cells_reporting, max(CASE WHEN matched THEN m - prev_m END) AS longest_bridge_months,
   {mean('CASE WHEN matched THEN ln(price / prev) END', 12)} AS log_link, {mean('price')} AS mean_price FROM x GROUP BY ALL),
@@ -24,7 +24,7 @@ l AS (SELECT *, CAST(sum(CAST(CASE WHEN brk THEN 0 ELSE log_link END AS DECIMAL(
 c AS (SELECT *, max(CASE WHEN m = {BASE} THEN seg END) OVER (PARTITION BY category) AS bseg, max(CASE WHEN m = {BASE} THEN lev END) OVER (PARTITION BY category) AS blev, max(CASE WHEN m = {BASE} THEN mean_price END) OVER (PARTITION BY category) AS bmean FROM l),
 d AS (SELECT *, coalesce(seg = bseg, false) AS linked, CASE WHEN coalesce(seg = bseg, false) THEN 100.0::DOUBLE * exp(lev - blev) END AS idx, 100.0::DOUBLE * mean_price / bmean AS naive FROM c)
 SELECT category, month_key, matched_cells, cells_reporting, longest_bridge_months, brk AS is_chain_break, CAST(seg AS BIGINT) AS chain_segment, linked AS is_linked_to_base,
-  round(CASE WHEN NOT brk THEN exp(log_link) END, 6) AS monthly_link_relative, round(idx, 3) AS chained_index, round(naive, 6) AS naive_mean_index, round(mean_price, 6) AS naive_mean_price, round(naive - idx, 3) AS naive_minus_chained FROM d""")
+  round(CASE WHEN linked AND NOT brk THEN exp(log_link) END, 6) AS monthly_link_relative, round(CASE WHEN linked AND NOT brk THEN 100.0::DOUBLE * (exp(log_link) - 1) END, 4) AS pct_change_since_prior_observation, round(idx, 3) AS chained_index, round(naive, 6) AS naive_mean_index, round(mean_price, 6) AS naive_mean_price, round(naive - idx, 3) AS naive_minus_chained FROM d""")
 def a6(spark, sf):
     return P.chained_index(market_prices(spark, sf), ["state", "commodity"], "category", BASE)
 
@@ -47,13 +47,13 @@ def a7(spark, sf):
 
 
 @query("a8_price_dispersion", f"""
-WITH {MARKET_SQL}, g AS (SELECT zone, commodity, month_key, count(*) AS n, {mean('price')} AS mean, median(price) AS med, min(price) AS lo, max(price) AS hi,
-  CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS s, CAST(sum(CAST(CAST(price AS DECIMAL(38,4)) * CAST(price AS DECIMAL(38,4)) AS DECIMAL(38,8))) AS DOUBLE) AS q FROM market GROUP BY ALL),
+WITH {MARKET_SQL}, g AS (SELECT zone, commodity, month_key, count(DISTINCT state) AS k, count(*) AS n, {mean('price')} AS mean, median(price) AS med, min(price) AS lo, max(price) AS hi,
+  CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS s, CAST(sum(CAST(CAST(price AS DECIMAL(38,4)) * CAST(price AS DECIMAL(38,4)) AS DECIMAL(38,8))) AS DOUBLE) AS q FROM market WHERE price > 0 AND zone IS NOT NULL GROUP BY ALL),
 d AS (SELECT *, CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) END AS sd FROM g), c AS (SELECT *, round(sd / mean, 4) AS cv FROM d)
-SELECT zone, commodity, month_key, n AS reporting_markets, round(mean, 6) AS mean_price, round(med, 6) AS median_price, round(sd, 4) AS sd_price, lo AS min_price, hi AS max_price, cv AS coefficient_of_variation,
-  round(hi / lo, 6) AS max_min_price_ratio, n >= 3 AS meets_market_threshold, round(cv - lag(cv, 12) OVER (PARTITION BY zone, commodity ORDER BY month_key), 4) AS cv_change_vs_12_rows_ago FROM c""")
+SELECT zone, commodity, month_key, k AS reporting_markets, round(mean, 6) AS mean_price, round(med, 6) AS median_price, round(sd, 4) AS sd_price, lo AS min_price, hi AS max_price, cv AS coefficient_of_variation, round(100.0::DOUBLE * round(sd, 4) / mean, 3) AS cv_pct,
+  round(hi / lo, 6) AS max_min_price_ratio, k >= 3 AS meets_market_threshold, round(cv - lag(cv, 12) OVER (PARTITION BY zone, commodity ORDER BY month_key), 4) AS cv_change_vs_12_rows_ago FROM c""")
 def a8(spark, sf):
-    return P.dispersion(market_prices(spark, sf), "zone", "commodity")
+    return P.dispersion(market_prices(spark, sf), "zone", "commodity", "state")
 
 
 CH = "SELECT *, {M} AS m, lag(price) OVER w AS p, lag({M}) OVER w AS pm FROM {t} WINDOW w AS (PARTITION BY {c} ORDER BY month_key)"
@@ -110,11 +110,13 @@ def a12b(spark, sf):
 
 
 @query("a12c_states", f"""
-WITH {GEO_SQL}, s AS (SELECT *, {M} AS m, CASE WHEN premium_national > 0 THEN 'above' ELSE 'below' END AS side FROM geo),
+WITH {GEO_SQL}, s AS (SELECT *, {M} AS m, CASE WHEN premium_national > 0 THEN 'above' ELSE 'below' END AS side, round(100.0::DOUBLE * premium_national / national_mean, 6) AS pct FROM geo),
 i AS (SELECT *, m - row_number() OVER (PARTITION BY state, side ORDER BY m) AS island FROM s), r AS (SELECT state, side, island, count(*) AS n FROM i GROUP BY ALL),
-l AS (SELECT state, max(n) FILTER (side = 'above') AS longest_run_above, max(n) FILTER (side = 'below') AS longest_run_below FROM r GROUP BY state),
-t AS (SELECT state, zone, count(*) AS months, count(*) FILTER (premium_national > 0) AS months_above, round({mean('premium_national', 6)}, 6) AS mean_premium, round(min(premium_national), 6) AS min_premium, round(max(premium_national), 6) AS max_premium, round({mean('price_rank')}, 6) AS mean_rank FROM s GROUP BY ALL)
-SELECT *, round(months_above / months, 6) AS share_above, CASE WHEN months_above / months >= 0.8 THEN 'persistently above' WHEN months_above / months <= 1 - 0.8 THEN 'persistently below' ELSE 'mixed' END AS persistence FROM t JOIN l USING (state)""")
+l AS (SELECT state, coalesce(max(n) FILTER (side = 'above'), 0) AS longest_run_above, coalesce(max(n) FILTER (side = 'below'), 0) AS longest_run_below FROM r GROUP BY state),
+t AS (SELECT state, zone, count(*) AS months, count(*) FILTER (premium_national > 0) AS months_above, round({mean('price')}, 6) AS mean_price, round({mean('pct', 6)}, 5) AS mean_premium_pct, round(median(pct), 5) AS median_premium_pct, round(stddev_samp(pct), 4) AS sd_premium,
+  min(pct) AS min_premium_pct, max(pct) AS max_premium_pct, round({mean('price_rank')}, 6) AS mean_rank, round(stddev_pop(price_rank), 4) AS sd_rank, min(price_rank) AS highest_rank, max(price_rank) AS lowest_rank FROM s GROUP BY ALL)
+SELECT CAST(rank() OVER (ORDER BY mean_premium_pct DESC) AS INTEGER) AS premium_rank, *, months - months_above AS months_at_or_below, round(months_above / months, 6) AS share_above,
+  CASE WHEN months_above / months >= 0.8 THEN 'persistent premium' WHEN (months - months_above) / months >= 0.8 THEN 'persistent discount' ELSE 'no persistent position' END AS persistence FROM t JOIN l USING (state)""")
 def a12c(spark, sf):
     return P.states(price_panel(spark, sf))
 

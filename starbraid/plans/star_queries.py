@@ -18,13 +18,15 @@ from .tables import PANEL_SQL, TRIPS_SQL, price_panel, table, trips, zones
 from .trip_queries import mean, tot
 
 LO, HI = "1996-01-01", "2000-01-01"
-REASON = """CASE WHEN pickup_ts IS NULL OR dropoff_ts IS NULL THEN 'missing_timestamp' WHEN dropoff_ts < pickup_ts THEN 'dropoff_before_pickup' WHEN days > 900 THEN 'too_long' WHEN distance <= 0 THEN 'no_distance'
-  WHEN distance > 45 THEN 'too_far' WHEN fare < 0 OR total < 0 THEN 'negative_amount' WHEN passengers > 6 THEN 'too_many_passengers' WHEN pickup_zone IS NULL OR dropoff_zone IS NULL THEN 'unknown_zone' END"""
+MOST_SECONDS = 900 * 86400
+REASON = f"""CASE WHEN pickup_ts IS NULL OR dropoff_ts IS NULL THEN 'missing_timestamp' WHEN date_diff('second', pickup_ts, dropoff_ts) <= 0 THEN 'no_duration'
+  WHEN date_diff('second', pickup_ts, dropoff_ts) > {MOST_SECONDS} THEN 'too_long' WHEN distance IS NULL OR distance < 0 THEN 'no_distance'
+  WHEN distance > 45 THEN 'too_far' WHEN fare < 0 OR total < 0 THEN 'negative_amount' WHEN passengers < 0 OR passengers > 6 THEN 'implausible_passengers' WHEN pickup_zone IS NULL OR dropoff_zone IS NULL THEN 'unknown_zone' END"""
 GATED_SQL = f"{TRIPS_SQL}, judged AS (SELECT *, {REASON} AS reject_reason, pickup_ts < TIMESTAMP '{LO}' OR pickup_ts >= TIMESTAMP '{HI}' AS outside FROM trip)"
 
 
 def gated(spark, sf):
-    rows = C.judged(trips(spark, sf), C.trip_rules(900, 45, 6))
+    rows = C.judged(trips(spark, sf), C.trip_rules(MOST_SECONDS, 45, 6))
     return rows.withColumn("outside", (F.col("pickup_ts") < F.lit(LO).cast("timestamp_ntz")) | (F.col("pickup_ts") >= F.lit(HI).cast("timestamp_ntz")))
 
 
@@ -37,12 +39,14 @@ def c1(spark, sf):
 @query("c2_c3_derived_and_id", f"""WITH {TRIPS_SQL}, t AS (SELECT *, date_diff('second', pickup_ts, dropoff_ts) AS sec FROM trip)
 SELECT md5(concat_ws('|', order_key, line_no, strftime(pickup_ts, '%Y%m%d'), strftime(dropoff_ts, '%Y%m%d'), CAST(distance AS DECIMAL(18,4)), CAST(fare AS DECIMAL(18,4)), payment, vendor, rate)) AS trip_id, order_key, line_no,
   CAST(sec AS BIGINT) AS duration_seconds, pickup_ts < TIMESTAMP '{LO}' OR pickup_ts >= TIMESTAMP '{HI}' AS is_outside_declared_window, CASE WHEN sec > 0 THEN round(distance * 3600.0::DOUBLE / sec, 8) END AS avg_speed,
-  pickup_zone IN (3, 9) OR dropoff_zone IN (3, 9) AS is_airport_trip, tip > 0 AS has_tip FROM t""")
+  pickup_zone IN (3, 9) OR dropoff_zone IN (3, 9) AS is_airport_trip, tip > 0 AS has_tip,
+  CASE WHEN order_key % 3 = 0 THEN false ELSE order_key % 2 > 0 END AS has_toll FROM t""")
 def c2(spark, sf):
     c = F.col
-    rows = C.derived(trips(spark, sf), LO, HI, [3, 9])
+    tolls = F.when(c("order_key") % 3 == 0, F.lit(None)).otherwise(c("order_key") % 2)
+    rows = C.derived(trips(spark, sf).withColumn("tolls", tolls), LO, HI, [3, 9])
     key = C.content_id([c("order_key"), c("line_no"), F.date_format("pickup_ts", "yyyyMMdd"), F.date_format("dropoff_ts", "yyyyMMdd"), E.exact("distance"), E.exact("fare"), c("payment"), c("vendor"), c("rate")])
-    return rows.select(key.alias("trip_id"), "order_key", "line_no", "duration_seconds", "is_outside_declared_window", "avg_speed", "is_airport_trip", "has_tip")
+    return rows.select(key.alias("trip_id"), "order_key", "line_no", "duration_seconds", "is_outside_declared_window", "avg_speed", "is_airport_trip", "has_tip", "has_toll")
 
 
 @query("c5_reject_sample", f"WITH {GATED_SQL} SELECT order_key, line_no, part_key, reject_reason FROM judged WHERE reject_reason IS NOT NULL ORDER BY order_key, line_no, part_key LIMIT 200")

@@ -35,24 +35,23 @@ def a1(spark, sf):
 WITH {TRIPS_SQL}, e AS (SELECT * FROM trip WHERE pickup_zone NOT IN (0, 7) AND dropoff_zone NOT IN (0, 7)),
 b AS (SELECT pickup_zone, dropoff_zone, count(*) AS trip_count, round({mean('fare')}, 6) AS mean_fare, round(median(fare), 6) AS median_fare,
   round({mean('total', 6)}, 6) AS mean_total_amount, round({mean('distance')}, 6) AS mean_distance, round({mean('days')}, 6) AS mean_days,
-  round(median(days::DOUBLE), 6) AS median_days, round(100.0::DOUBLE * {tot('tip', 6)} / {tot('fare')}, 6) AS tip_pct_of_fare,
-  round({tot('distance')} / {tot('CASE WHEN days > 0 THEN days END')}, 6) AS implied_speed FROM e GROUP BY ALL),
+  round(median(days::DOUBLE), 6) AS median_days, round(100.0::DOUBLE * {mean('tip / nullif(fare, 0)', 12)}, 6) AS mean_tip_pct_of_fare FROM e GROUP BY ALL),
 r AS (SELECT *, round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (), 6) AS pct_of_eligible_trips, CAST(rank() OVER (ORDER BY trip_count DESC) AS INTEGER) AS corridor_rank FROM b)
 SELECT corridor_rank, p.zone AS pickup_name, p.borough AS pickup_borough, d.zone AS dropoff_name, d.borough AS dropoff_borough, pickup_zone = dropoff_zone AS is_intra_zone,
-  trip_count, mean_fare, median_fare, mean_total_amount, mean_distance, mean_days, median_days, tip_pct_of_fare, implied_speed, pct_of_eligible_trips
+  trip_count, mean_fare, median_fare, mean_total_amount, mean_distance, mean_days, median_days, mean_tip_pct_of_fare, round(mean_distance / nullif(mean_days, 0), 6) AS implied_speed, pct_of_eligible_trips
 FROM r JOIN zone p ON pickup_zone = p.zone_key JOIN zone d ON dropoff_zone = d.zone_key WHERE corridor_rank <= 25""")
 def a2(spark, sf):
     return A.corridors(trips(spark, sf), zones(spark, sf), [0, 7])
 
 
 @query("a3_congestion", f"""
-WITH {TRIPS_SQL}, t AS (SELECT borough, CAST(isodow(pickup_ts) AS INTEGER) AS dow, CAST(month(pickup_ts) AS INTEGER) AS month, distance, days, distance / days AS s
-  FROM trip JOIN zone ON pickup_zone = zone_key WHERE days > 0),
-u AS (SELECT *, CASE WHEN s <= 5 THEN s END AS speed, s > 5 AS bad FROM t)
+WITH {TRIPS_SQL}, t AS (SELECT borough, CAST(isodow(pickup_ts) AS INTEGER) AS dow, CAST(month(pickup_ts) AS INTEGER) AS month, distance, days, CASE WHEN days > 0 THEN distance / days END AS s
+  FROM trip JOIN zone ON pickup_zone = zone_key),
+u AS (SELECT *, CASE WHEN s > 0 AND s <= 5 THEN s END AS speed, s IS NULL OR s <= 0 OR s > 5 AS bad FROM t)
 SELECT CASE WHEN grouping(dow) = 0 THEN 'borough_weekday' WHEN grouping(month) = 0 THEN 'borough_month' ELSE 'borough' END AS grouping_level,
   borough, dow, CASE WHEN month IS NOT NULL THEN printf('M%02d', month) END AS month_label, count(*) AS trip_count, count(*) FILTER (bad) AS excluded_implausible_speed,
   round({mean('speed', 8)}, 6) AS mean_speed, round(quantile_cont(speed, 0.25), 6) AS p25_speed, round(quantile_cont(speed, 0.5), 6) AS median_speed, round(quantile_cont(speed, 0.75), 6) AS p75_speed,
-  round({tot('CASE WHEN NOT bad THEN distance END')} / nullif({tot('CASE WHEN NOT bad THEN days END')}, 0), 6) AS weighted_speed
+  round({tot('CASE WHEN NOT bad THEN distance END')} / nullif({tot('CASE WHEN NOT bad THEN days END')}, 0), 6) AS weighted_speed, round({mean('CASE WHEN NOT bad THEN distance END')}, 6) AS mean_distance
 FROM u GROUP BY GROUPING SETS ((borough, dow), (borough, month), (borough))""")
 def a3(spark, sf):
     return A.congestion(trips(spark, sf), zones(spark, sf), 5.0)
@@ -60,24 +59,23 @@ def a3(spark, sf):
 
 @query("a4_tipping", f"""
 WITH {TRIPS_SQL}, t AS (SELECT payment, borough, CASE WHEN distance <= 10 THEN 'to 10' WHEN distance <= 25 THEN 'to 25' WHEN distance <= 40 THEN 'to 40' ELSE 'over 40' END AS distance_band,
-  fare, tip, tip > 0 AS tipped, CASE WHEN fare > 0 THEN 100.0::DOUBLE * tip / fare END AS tip_pct FROM trip JOIN zone ON pickup_zone = zone_key)
-SELECT payment, borough, distance_band, count(*) AS trip_count, count(*) FILTER (fare <= 0) AS zero_fare_trips, count(*) FILTER (tipped) AS trips_with_recorded_tip,
+  fare, tip, rate, tip > 0 AS tipped, 100.0::DOUBLE * tip / nullif(fare, 0) AS tip_pct FROM trip JOIN zone ON pickup_zone = zone_key)
+SELECT payment, borough, distance_band, count(*) AS trip_count, count(*) FILTER (fare = 0) AS zero_fare_trips, count(*) FILTER (rate IN ('F')) AS prearranged_trips, count(*) FILTER (tipped) AS trips_with_recorded_tip,
   round({mean('fare')}, 6) AS mean_fare, round({mean('tip', 6)}, 6) AS mean_tip, round({mean('tip_pct', 8)}, 6) AS mean_tip_pct, round(median(tip_pct), 6) AS median_tip_pct,
   round({mean('CASE WHEN tipped THEN tip_pct END', 8)}, 6) AS mean_tip_pct_given_tipped, round(100.0::DOUBLE * {tot('tip', 6)} / {tot('fare')}, 6) AS aggregate_tip_pct_of_fare,
   payment IN ('1-URGENT', '2-HIGH') AS is_interpretable, CASE distance_band WHEN 'to 10' THEN 1 WHEN 'to 25' THEN 2 WHEN 'to 40' THEN 3 ELSE 4 END AS distance_band_order,
   round(100.0::DOUBLE * count(*) FILTER (tipped) / count(*), 6) AS pct_trips_with_recorded_tip FROM t GROUP BY payment, borough, distance_band""")
 def a4(spark, sf):
-    return A.tipping(trips(spark, sf), zones(spark, sf), [10, 25, 40], ["to 10", "to 25", "to 40", "over 40"], ["1-URGENT", "2-HIGH"])
+    return A.tipping(trips(spark, sf), zones(spark, sf), [10, 25, 40], ["to 10", "to 25", "to 40", "over 40"], ["1-URGENT", "2-HIGH"], ["F"])
 
 
 @query("a5_revenue_concentration", f"""
 WITH {TRIPS_SQL}, b AS (SELECT pickup_zone, count(*) AS trip_count, sum(CAST(total AS DECIMAL(18,6))) AS revenue, {tot('distance')} AS total_distance FROM trip GROUP BY ALL),
 w AS (SELECT *, row_number() OVER o AS rn, CAST(sum(revenue) OVER () AS DOUBLE) AS whole, CAST(sum(revenue) OVER (ORDER BY revenue DESC, pickup_zone ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto,
-  CAST(coalesce(sum(revenue) OVER (ORDER BY revenue DESC, pickup_zone ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before,
   sum(trip_count) OVER (ORDER BY revenue DESC, pickup_zone ROWS UNBOUNDED PRECEDING) AS trips_upto, sum(trip_count) OVER () AS trips_all, count(*) OVER () AS n FROM b WINDOW o AS (ORDER BY revenue DESC, pickup_zone))
 SELECT trip_count, CAST(rn AS INTEGER) AS revenue_rank, round(CAST(revenue AS DOUBLE), 4) AS total_revenue, round(CAST(revenue AS DOUBLE) / trip_count, 6) AS mean_revenue_per_trip, total_distance,
   round(100.0::DOUBLE * CAST(revenue AS DOUBLE) / whole, 6) AS pct_of_revenue, round(100.0::DOUBLE * upto / whole, 6) AS cumulative_pct_revenue,
-  round(100.0::DOUBLE * trips_upto / trips_all, 6) AS cumulative_pct_trips, round(100.0::DOUBLE * rn / n, 6) AS cumulative_pct_zones, 100.0::DOUBLE * before / whole < 80 AS within_top_share, zone, borough
+  round(100.0::DOUBLE * trips_upto / trips_all, 6) AS cumulative_pct_trips, round(100.0::DOUBLE * rn / n, 6) AS cumulative_pct_zones, round(100.0::DOUBLE * upto / whole, 6) <= 80 AS within_top_share, zone, borough
 FROM w JOIN zone ON pickup_zone = zone_key""")
 def a5(spark, sf):
     return A.concentration(trips(spark, sf), zones(spark, sf))
@@ -121,8 +119,8 @@ LABELLED_SQL = "d AS (SELECT doc_id, lang, source, quality, CASE WHEN doc_id % 5
 
 @query("a11_missingness", f"""
 WITH {LABELLED_SQL}, p AS (SELECT 'pattern' AS record_type, NULL::VARCHAR AS source, NULL::VARCHAR AS lang, (CASE WHEN quality IS NULL THEN 'Q' ELSE '.' END) || (CASE WHEN toxic IS NULL THEN 'T' ELSE '.' END) AS missingness_pattern,
-  CAST((quality IS NULL)::INT + (toxic IS NULL)::INT AS INTEGER) AS fields_missing, count(*) AS trip_count, NULL::DOUBLE AS quality_missing_pct, NULL::DOUBLE AS toxic_missing_pct FROM d GROUP BY ALL),
-g AS (SELECT 'group', source, lang, NULL::VARCHAR, NULL::INTEGER, count(*) AS trip_count, round(100.0::DOUBLE * count(*) FILTER (quality IS NULL) / count(*), 6), round(100.0::DOUBLE * count(*) FILTER (toxic IS NULL) / count(*), 6)
+  CAST((quality IS NULL)::INT + (toxic IS NULL)::INT AS INTEGER) AS fields_missing, count(*) AS trip_count, NULL::DOUBLE AS quality_missing_pct, NULL::DOUBLE AS toxic_missing_pct, NULL::DOUBLE AS all_missing_pct FROM d GROUP BY ALL),
+g AS (SELECT 'group', source, lang, NULL::VARCHAR, NULL::INTEGER, count(*) AS trip_count, round(100.0::DOUBLE * count(*) FILTER (quality IS NULL) / count(*), 6), round(100.0::DOUBLE * count(*) FILTER (toxic IS NULL) / count(*), 6), round(100.0::DOUBLE * count(*) FILTER (quality IS NULL AND toxic IS NULL) / count(*), 6)
   FROM d GROUP BY source, lang HAVING count(*) >= 10)
 SELECT *, round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (), 6) AS pct_of_trips FROM p UNION ALL SELECT *, round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (), 6) FROM g""")
 def a11(spark, sf):

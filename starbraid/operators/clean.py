@@ -34,6 +34,19 @@ def trip_rules(ceiling_seconds: int, ceiling_distance: float, ceiling_passengers
     ]
 
 
+def market_rules() -> list[tuple[str, Column]]:
+    """The six ordered reasons of the market price gate, over (observation_date, market, commodity, price, state)."""
+    c = F.col
+    blank = lambda n: c(n).isNull() | (c(n) == "")
+    return [("unparsable_date", c("observation_date").isNull()), ("missing_market", blank("market")), ("missing_commodity", blank("commodity")), ("no_price", c("price").isNull()), ("price_not_positive", c("price") <= 0), ("unknown_state", c("state").isNull())]
+
+
+def fuel_rules(floor: float, ceiling: float) -> list[tuple[str, Column]]:
+    """The five ordered reasons of the fuel price gate, over (state, zone, price)."""
+    c = F.col
+    return [("unknown_state", c("state").isNull() | (c("state") == "")), ("state_without_zone", c("zone").isNull()), ("no_price", c("price").isNull()), ("below_floor", c("price") < floor), ("above_ceiling", c("price") > ceiling)]
+
+
 def derived(trips: DataFrame, lo: str, hi: str, airports: list[int]) -> DataFrame:
     """Duration, window flag, speed and the airport, tip and toll flags."""
     seconds = F.expr("timestampdiff(SECOND, pickup_ts, dropoff_ts)")

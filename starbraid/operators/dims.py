@@ -102,6 +102,35 @@ def resolved(fact: DataFrame, dim: DataFrame, on: list[tuple[str, str]], key: st
     return fact.join(d, cond, "left").withColumn(name, F.coalesce("k_", F.lit(E.UNKNOWN))).drop("k_", *[f"n_{i}" for i in range(len(on))])
 
 
+def current(dim: DataFrame) -> DataFrame:
+    """The current version of each member."""
+    return dim.where("is_current")
+
+
+def trip_fact(trips: DataFrame, dates: DataFrame, geography: DataFrame, vendors: DataFrame, payments: DataFrame, rates: DataFrame, flags: DataFrame) -> DataFrame:
+    """Eight key lookups over accepted trips; date and geography play two roles each, of geography only current
+    versions are met, and what does not resolve is Unknown. All dimensions are small; none is broadcast by hand."""
+    out = trips.withColumns({"pickup_day_": F.to_date("pickup_ts"), "dropoff_day_": F.to_date("dropoff_ts")})
+    geo = current(geography)
+    for role in ("pickup", "dropoff"):
+        out = resolved(out, dates, [(f"{role}_day_", "full_date")], "date_key", f"{role}_date_key")
+        out = resolved(out, geo, [(f"{role}_zone", "geo_code")], "geo_key", f"{role}_geo_key")
+    for dim, column, code, key in ((vendors, "vendor", "vendor_id", "vendor_key"), (payments, "payment", "payment_id", "payment_key"), (rates, "rate", "rate_id", "rate_key")):
+        out = resolved(out, dim, [(column, code)], key, key)
+    flag = ["stored", "is_airport_trip", "has_tip", "has_toll"]
+    return resolved(out, flags, [(c, c) for c in flag], "flag_key", "flag_key").withColumn("pickup_hour", F.hour("pickup_ts")).drop("pickup_day_", "dropoff_day_")
+
+
+def market_fact(prices: DataFrame, geography: DataFrame, commodities: DataFrame) -> DataFrame:
+    """Month x market x commodity x price type x unit: mean price and observations; unresolved keys are Unknown.
+
+    prices: (month_key, market, commodity, unit, price_type, price); a missing unit is 'unspecified'."""
+    rows = prices.withColumn("unit", F.coalesce("unit", F.lit("unspecified")))
+    rows = resolved(rows, current(geography), [("market", "geo_code")], "geo_key", "geo_key")
+    rows = resolved(rows, commodities, [("commodity", "commodity_name"), ("unit", "unit")], "commodity_key", "commodity_key")
+    return rows.groupBy("month_key", "geo_key", "commodity_key", "price_type", "unit").agg(E.rounded(E.mean("price"), 4).alias("mean_price"), F.count(F.lit(1)).alias("observation_count"))
+
+
 def daily_aggregate(fact: DataFrame) -> DataFrame:
     """Date x zone x mode: count, sums, mean and exact median."""
     return fact.groupBy("date_key", "pickup_zone", "mode_key").agg(

@@ -8,7 +8,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,33 +28,49 @@ def differences(a: DataFrame, b: DataFrame, key: list[str], value: str = "abs_er
     return a.withColumnRenamed(value, "ea").join(b.select(*key, F.col(value).alias("eb")), key).withColumn("d", F.col("eb") - F.col("ea"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) by inversion of a uniform number; beyond 8 the chance is 1e-6."""
-    out, total = F.lit(9), 0.0
-    steps = []
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append((k, total))
-    for k, t in reversed(steps):
-        out = F.when(u < t, F.lit(k)).otherwise(out)
-    return out
+P = 2**31 - 1
+#: Poisson(1) by inversion: a draw below the k-th bound weighs k; beyond 8 the chance is 1e-6.
+POISSON = [int(P * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
 
 
-def uniform(*cols: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+def row_number_of(*key: Column | str) -> Column:
+    """A number from the content of the key, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 7), 16, 10).cast("long")
+
+
+def draw(k, b, seed: int):  # noqa: ANN001, ANN201
+    """A number in [0, P) for row k and resample b: two squarings modulo a prime. Columns, arrays and integers alike."""
+    x = (k * 48271 + b * 69621 + seed * 16807 + 1) % P
+    x = (x * x + 40692 * x + b) % P
+    return (x * x + 40014 * x + k) % P
 
 
 def interval(draws: DataFrame, by: list[str], value: str) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return draws.groupBy(*by).agg(F.count(F.lit(1)).alias("resamples"), q.alias("q")).select(*by, "resamples", F.element_at("q", 1).alias("ci_low"), F.element_at("q", 2).alias("ci_high"))
+    return draws.groupBy(*by).agg(F.count(F.lit(1)).alias("resamples"), q.alias("q")).select(*by, "resamples", E.rounded(F.element_at("q", 1)).alias("ci_low"), E.rounded(F.element_at("q", 2)).alias("ci_high"))
 
 
 def paired_bootstrap(diffs: DataFrame, key: list[str], resamples: int, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean difference; Poisson weights, sums by resample before the shuffle."""
-    b = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")
-    drawn = diffs.select(*key, "d", b).withColumn("w", poisson_weight(uniform(*key, "b", F.lit(seed))))
-    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w").cast("double")).alias("m"))
-    return interval(means, [], "m").crossJoin(diffs.agg(F.avg("d").alias("mean_diff"), F.count(F.lit(1)).alias("n_pairs")))
+    """Percentile interval of the mean difference; Poisson weights.
+
+    Each partition adds its rows to one vector of resample sums (in whole millionths, so the order of the rows does not
+    matter): what travels is `resamples` rows a partition, not rows times resamples."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(1, resamples + 1, dtype=np.int64)[None, :]
+        s, w = np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
+        for batch in batches:
+            k, d = (batch.column(i).to_numpy() for i in (0, 1))
+            for lo in range(0, len(k), 64):
+                weight = np.searchsorted(POISSON, draw(k[lo : lo + 64, None], at, seed), side="right")
+                s += d[lo : lo + 64] @ weight
+                w += weight.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(s), pa.array(w)], names=["b", "s", "w"])
+
+    rows = diffs.select(row_number_of(*key).alias("k"), F.floor(F.col("d") * 1000000 + 0.5).cast("long").alias("d"))
+    drawn = rows.mapInArrow(sums, "b long, s long, w long").groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    means = drawn.where("w > 0").select(E.rounded(F.col("s") / F.col("w") / 1000000, 9).alias("m"))
+    return interval(means, [], "m").crossJoin(diffs.agg(E.mean("d", 6).alias("mean_diff"), F.count(F.lit(1)).alias("n_pairs")))  # one row each
 
 
 def clusters(diffs: DataFrame, by: list[str]) -> DataFrame:
@@ -61,11 +79,11 @@ def clusters(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cluster_bootstrap(stats: DataFrame, resamples: int, seed: int = 1) -> DataFrame:
-    """G clusters drawn with replacement from G, by hashed draws; only cluster rows are shuffled."""
+    """G clusters drawn with replacement from G; only cluster rows are shuffled, numbered in the order of their name."""
     g = stats.count()
     numbered = stats.withColumn("i", (F.row_number().over(Window.orderBy(*[c for c in stats.columns if c not in ("s", "n", "q")])) - 1).cast("long"))
-    draws = stats.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(max(g, 1)))).alias("draw")).withColumn("i", F.pmod(F.xxhash64("b", "draw", F.lit(seed)), F.lit(max(g, 1))))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("m"))
+    draws = stats.sparkSession.range(1, resamples + 1).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(g, 1)).cast("long"))).alias("k")).withColumn("i", draw(F.col("k"), F.col("b"), seed) % F.lit(max(g, 1)))
+    means = draws.join(numbered, "i").groupBy("b").agg(E.rounded(F.try_divide(F.sum(E.exact("s", 6)).cast("double"), F.sum("n").cast("double")), 9).alias("m"))
     return interval(means, [], "m").withColumn("n_clusters", F.lit(g))
 
 

@@ -20,6 +20,11 @@ def references(train: DataFrame, test: DataFrame, y: str, distance: str, time: s
     return out.withColumns({"pred_mean": E.rounded(F.col("pred_mean")), "pred_speed": E.rounded(F.try_divide(F.col(distance), F.col("speed")))}).drop("speed")
 
 
+def carried_forward(rows: DataFrame, unit: str, time: str, y: str) -> DataFrame:
+    """The last value carried forward: each row's prediction is its unit's value in the row before."""
+    return rows.withColumn("pred_carried", F.lag(y).over(Window.partitionBy(unit).orderBy(time)))
+
+
 def scores(rows: DataFrame, by: list[str], y: str, prediction: str) -> DataFrame:
     """MAE, and MAPE without the rows where y is zero."""
     err = F.abs(F.col(y) - F.col(prediction))
@@ -50,16 +55,25 @@ def rung(train: DataFrame, test: DataFrame, name: str, features: list[str], y: s
 
 
 def selected(rows: DataFrame, folds: DataFrame, features: list[str], y: str, candidates: list[dict[str, int]]) -> DataFrame:
-    """(candidate, mean CV MAE, folds): every candidate on every forward-chaining fold."""
+    """(candidate, mean CV MAE, folds, frozen tree count): every candidate on every forward-chaining fold.
+
+    A fold's best iteration is the number of trees with the least validation error; the frozen count is the mean of the
+    best iterations of the two largest folds. Only such summaries reach the driver."""
     plan = folds.groupBy("fold", "side").agg(F.collect_list("month_key").alias("m")).collect()  # months, not rows
     by = {(p["fold"], p["side"]): p["m"] for p in plan}
     parts = []
     for c in candidates:
         for k in sorted({f for f, _ in by}):
             train, test = rows.where(F.col("month_key").isin(by[k, "train"])), rows.where(F.col("month_key").isin(by[k, "validation"]))
-            got = fitted(train, features, y, 1, **c).transform(imputed(test, features)[0])
-            parts.append(got.agg(E.mean(F.abs(F.col(y) - F.col("prediction")), 6).alias("mae")).select(F.lit(str(c)).alias("candidate"), F.lit(k).alias("fold"), "mae"))
-    return reduce(DataFrame.unionByName, parts).groupBy("candidate").agg(F.avg("mae").alias("mean_cv_mae"), F.count(F.lit(1)).alias("n_folds_used"))
+            model = fitted(train, features, y, 1, **c)
+            ready = model.stages[0].transform(imputed(test, features)[0])
+            by_trees = model.stages[1].evaluateEachIteration(ready, "absolute")
+            best = min(range(len(by_trees)), key=lambda i: (by_trees[i], i))
+            parts.append((str(c), k, len(by[k, "train"]), float(by_trees[best]), best + 1))
+    folds_ = rows.sparkSession.createDataFrame(parts, "candidate string, fold int, months int, mae double, best_iteration int")
+    largest = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("months"), F.desc("fold"))) <= 2
+    out = folds_.withColumn("largest", largest).groupBy("candidate").agg(F.avg("mae").alias("mean_cv_mae"), F.count(F.lit(1)).alias("n_folds_used"), F.round(F.avg(F.when(F.col("largest"), F.col("best_iteration")))).cast("int").alias("frozen_trees"))
+    return out.withColumn("is_best", F.row_number().over(Window.orderBy("mean_cv_mae", "candidate")) == 1)
 
 
 def repeats(results: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """A declarative quality gate. All row-level rules of a table are one aggregate over one scan; keys and parents add one each.
 
 A rule is a dict: id, name, layer, type, table, column, severity ('FAIL' or 'WARN'), params. Types: row_count, null_rate,
-range, domain, expression, unique, duplicates, referential_integrity. params may hold a row predicate for all types but
-expression and referential_integrity.
+range, domain, expression, unique, duplicates, referential_integrity. params may hold a row predicate (scope), under
+`predicate` or `where`, for all types but expression and referential_integrity; a domain rule has its values under
+`allowed` or names a set of them under `allowed_from`.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ class QualityGateError(Exception):
     """The gate is blocked: at least one rule has status FAIL."""
 
 
+def scope(rule: dict) -> str | None:
+    """Q9: the rows that a rule looks at."""
+    p = rule.get("params", {})
+    return None if rule["type"] == "expression" else p.get("where", p.get("predicate"))
+
+
 def failing(rule: dict) -> Column:
     """Q2, Q4, Q5, Q6: where a row fails. NULL never fails a range, a domain or an expression."""
     p, c = rule.get("params", {}), F.col(rule["column"]) if rule.get("column") else None
@@ -41,7 +49,7 @@ def row_rules(table: DataFrame, rules: list[dict]) -> dict[str, tuple[int, int,
     aggs = []
     for i, r in enumerate(rules):
         p = r.get("params", {})
-        inside = F.expr(p["where"]) if "where" in p and r["type"] != "expression" else F.lit(True)
+        inside = F.expr(scope(r)) if scope(r) else F.lit(True)
         aggs.append(F.count_if(inside).alias(f"n{i}"))
         aggs.append((F.lit(0) if r["type"] == "row_count" else F.count_if(inside & failing(r))).alias(f"f{i}"))
     got, out = table.agg(*aggs).first(), {}
@@ -56,7 +64,7 @@ def row_rules(table: DataFrame, rules: list[dict]) -> dict[str, tuple[int, int,
 def key_rule(table: DataFrame, rule: dict) -> tuple[int, int, int | None]:
     """Q7, Q8: surplus rows, the sum of (n - 1) over the keys."""
     p = rule["params"]
-    rows = table.where(p["where"]) if "where" in p else table
+    rows = table.where(scope(rule)) if scope(rule) else table
     got = rows.groupBy(*p["columns"]).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("f")).first()
     return got["n"], got["f"], None
 
@@ -82,13 +90,16 @@ def status(rule: dict, checked: int, failed: int, unknown: int | None) -> str:
         return "WARN" if failed else "PASS"
     if failed:
         return bad
-    if unknown and 100.0 * unknown / max(checked, 1) > p.get("max_unknown_pct", 100):
+    if unknown and 100.0 * unknown / max(checked, 1) > p.get("max_unknown_pct", 0):
         return "WARN"
     return "PASS"
 
 
-def run(spark: SparkSession, rules: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
-    """Q1-Q12: one report row a rule. A rule whose table is absent is SKIP; one that cannot run has its severity."""
+def run(spark: SparkSession, rules: list[dict], tables: dict[str, DataFrame], named: dict[str, list] | None = None) -> DataFrame:
+    """Q1-Q12: one report row a rule. A rule whose table is absent is SKIP; one that cannot be analysed has its severity;
+    a failure of the cluster is raised. named: sets of values for domain rules (Q5)."""
+    sets = named or {}
+    rules = [r | {"params": r["params"] | {"allowed": sets[r["params"]["allowed_from"]]}} if "allowed_from" in r.get("params", {}) else r for r in rules]
     found: dict[str, tuple[int, int, int | None] | str] = {}
     for name in dict.fromkeys(r["table"] for r in rules):
         own = [r for r in rules if r["table"] == name]
@@ -98,11 +109,11 @@ def run(spark: SparkSession, rules: list[dict], tables: dict[str, DataFrame]) ->
         fused = [r for r in own if r["type"] in ROW_LEVEL]
         try:
             found |= row_rules(tables[name], fused) if fused else {}
-        except Exception:  # noqa: BLE001  one rule that cannot run must not hide the others
+        except AnalysisException:  # one rule that cannot run must not hide the others
             for r in fused:
                 try:
                     found |= row_rules(tables[name], [r])
-                except Exception as e:  # noqa: BLE001
+                except AnalysisException as e:
                     found[r["id"]] = f"{r['severity']}: {type(e).__name__}"
         for r in own:
             if r["type"] in ROW_LEVEL:
@@ -112,7 +123,7 @@ def run(spark: SparkSession, rules: list[dict], tables: dict[str, DataFrame]) ->
                     found[r["id"]] = parent_rule(tables[name], tables[r["params"]["parent"]], r) if r["params"]["parent"] in tables else "SKIP"
                 else:
                     found[r["id"]] = key_rule(tables[name], r)
-            except Exception as e:  # noqa: BLE001
+            except AnalysisException as e:
                 found[r["id"]] = f"{r['severity']}: {type(e).__name__}"
     rows = []
     for r in rules:

@@ -122,9 +122,10 @@ def concentration(trips: DataFrame, zones: DataFrame, share: float = 80.0) -> Da
     return ranked.join(zones, F.col("pickup_zone") == F.col("zone_key")).drop("zone_key", "pickup_zone")
 
 
-def grain(facts: dict[str, tuple[DataFrame, str, str | None, str | None]]) -> DataFrame:
+def grain(facts: dict[str, tuple[DataFrame, str, str | None, str | None]], sizes: DataFrame | None = None) -> DataFrame:
     """A10: per fact (date column, geography column or None, other key or None) rows and distinct members, relative to
-    the coarsest fact. Facts that are absent (None) are left out."""
+    the coarsest fact. Facts that are absent (None) are left out. sizes: the inventory (relation, bytes), whose bytes
+    and bytes a row are joined on."""
     none = F.lit(None).cast("long")
     parts = [
         df.agg(
@@ -135,6 +136,8 @@ def grain(facts: dict[str, tuple[DataFrame, str, str | None, str | None]]) -> Da
         if df is not None
     ]
     out = reduce(DataFrame.unionByName, parts)
+    if sizes is not None:
+        out = out.join(sizes.select(F.col("relation").alias("fact_table"), "bytes"), "fact_table", "left").withColumn("bytes_per_row", E.rounded(E.ratio(F.col("bytes"), F.col("row_count")), 2))
     return out.withColumn("rows_vs_coarsest_fact", E.rounded(E.ratio(F.col("row_count"), F.min("row_count").over(Window.partitionBy()))))
 
 

@@ -101,7 +101,8 @@ def m10(spark, sf):
 
 @query("m11_selection")
 def m11(spark, sf):
-    rows = M.prior_mean(targets(spark, sf), "state", "month_key", "price", "pit").cache()
+    """Two candidates on two folds: every fold fits a model, see the README."""
+    rows = M.prior_mean(targets(spark, sf), "state", "month_key", "price", "pit")
     months = [r["month_key"] for r in rows.select("month_key").distinct().collect()]
     return L.selected(rows, M.folds(spark, months, 60, 10), ["price", "pit"], "target", [{"trees": 5, "depth": 2}, {"trees": 5, "depth": 3}])
 
@@ -118,6 +119,13 @@ def m12(spark, sf):
     return L.scores(long, ["reference"], "days", "p")
 
 
+@query("m12b_carried_forward", f"""WITH {PANEL_SQL}, p AS (SELECT price, lag(price) OVER (PARTITION BY state ORDER BY month_key) AS p, month_key FROM panel)
+SELECT 'carried forward' AS reference, count(*) AS n, round({mean('abs(price - p)', 6)}, 6) AS mae, round(100.0::DOUBLE * {mean('CASE WHEN price <> 0 THEN abs(price - p) / abs(price) END', 9)}, 6) AS mape FROM p WHERE month_key >= {TEST} AND p IS NOT NULL""")
+def m12b(spark, sf):
+    rows = L.carried_forward(price_panel(spark, sf), "state", "month_key", "price").where((F.col("month_key") >= TEST) & F.col("pred_carried").isNotNull())
+    return L.scores(rows.withColumn("reference", F.lit("carried forward")), ["reference"], "price", "pred_carried")
+
+
 @query("m14_m16_rungs")
 def m14(spark, sf):
     """Two rungs on the panel task, their error frames by seed."""
@@ -137,6 +145,21 @@ def m15(spark, sf):
     return rows.join(zones(spark, sf), F.col("pickup_zone") == F.col("zone_key")).select("order_key", "line_no", "borough", E.iso_dow("pickup_ts").alias("dow"), "distance", "days")
 
 
+@query("m15b_gated_pull", f"""WITH {TRIPS_SQL}, w AS (SELECT day(ts) AS day_of_month, round(max(value), 6) AS hi, round(min(value), 6) AS lo FROM events WHERE day(ts) <> 7 GROUP BY ALL)
+SELECT order_key, line_no, borough, CAST(isodow(pickup_ts) AS INTEGER) AS dow, isodow(pickup_ts) >= 6 AS is_weekend, CAST(year(pickup_ts) AS INTEGER) AS year, CAST(month(pickup_ts) AS INTEGER) AS month, hi, lo, distance, days FROM trip JOIN zone ON pickup_zone = zone_key LEFT JOIN w ON day(pickup_ts) = day_of_month
+WHERE pickup_ts >= TIMESTAMP '1998-01-01' AND pickup_ts < TIMESTAMP '1998-07-01' AND ('0x' || substr(md5(CAST(order_key AS VARCHAR)), 1, 8))::BIGINT % 17 = 3 AND days BETWEEN 1 AND 900 AND distance <= 45""")
+def m15b(spark, sf):
+    """The gated pull: accepted trips with their zone, calendar columns and the weather of the day, where there is any."""
+    from .tables import zones
+
+    c = F.col
+    rows = trips(spark, sf).where((c("pickup_ts") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (c("pickup_ts") < F.lit("1998-07-01").cast("timestamp_ntz")) & c("days").between(1, 900) & (c("distance") <= 45))
+    rows = rows.where(M.bucket_of(F.md5(c("order_key").cast("string"))) == 3).join(zones(spark, sf), c("pickup_zone") == c("zone_key"))
+    weather = table(spark, sf, "events").where(F.dayofmonth("ts") != 7).groupBy(F.dayofmonth("ts").alias("day_of_month")).agg(E.rounded(F.max("value")).alias("hi"), E.rounded(F.min("value")).alias("lo"))
+    out = rows.join(weather, F.dayofmonth("pickup_ts") == c("day_of_month"), "left")
+    return out.select("order_key", "line_no", "borough", E.iso_dow("pickup_ts").alias("dow"), (E.iso_dow("pickup_ts") >= 6).alias("is_weekend"), F.year("pickup_ts").alias("year"), F.month("pickup_ts").alias("month"), "hi", "lo", "distance", "days")
+
+
 # Error frames that need no fitting, so that the statistics over them have an oracle: four rungs of simple predictors,
 # five "seeds" by content bucket.
 ERR_SQL = f"""{TARGET_SQL}, ft AS (SELECT *, round({D.format('price', 4, W3)} / nullif(CAST(count(price) OVER ({W3}) AS DOUBLE), 0), 6) AS pit, round({D.format('price', 4, 'PARTITION BY zone, month_key')} / count(*) OVER (PARTITION BY zone, month_key), 6) AS zm,
@@ -204,14 +227,38 @@ def diffs(spark, sf, a="V0", b="V1"):
 DIFF_SQL = f"{ERR_SQL}, df AS (SELECT a.state, a.zone, a.month_key, b.abs_error - a.abs_error AS d FROM er a JOIN er b USING (state, month_key) WHERE a.rung = 'V0' AND b.rung = 'V1')"
 
 
-@query("m20_paired_bootstrap")
+RESAMPLES = 10_000
+
+
+def draw_sql(k: str, b: str, seed: int = 1) -> tuple[str, str, str]:
+    """The three steps of inference.draw as SQL over a column x."""
+    return (f"({k} * 48271 + {b} * 69621 + {seed * 16807 + 1}) % {I.P}", f"(x * x + 40692 * x + {b}) % {I.P}", f"(x * x + 40014 * x + {k}) % {I.P}")
+
+
+D1, D2, D3 = draw_sql("k", "b")
+WEIGHT = "CASE " + " ".join(f"WHEN x < {t} THEN {i}" for i, t in enumerate(I.POISSON)) + " ELSE 9 END"
+
+
+@query("m20_paired_bootstrap", f"""WITH {DIFF_SQL}, r AS (SELECT ('0x' || substr(md5(concat_ws('|', state, zone, month_key)), 1, 7))::BIGINT AS k, CAST(floor(d * 1000000 + 0.5) AS BIGINT) AS d FROM df),
+x1 AS (SELECT k, d, b, {D1} AS x FROM r, (SELECT CAST(unnest(range(1, {RESAMPLES} + 1)) AS BIGINT) AS b)), x2 AS (SELECT k, d, b, {D2} AS x FROM x1), x3 AS (SELECT k, d, b, {D3} AS x FROM x2), w AS (SELECT b, d, {WEIGHT} AS w FROM x3),
+m AS (SELECT round(CAST(sum(w * d) AS DOUBLE) / sum(w) / 1000000, 9) AS m FROM w GROUP BY b HAVING sum(w) > 0)
+SELECT count(*) AS resamples, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, (SELECT {mean('d', 6)} FROM df) AS mean_diff, (SELECT count(*) FROM df) AS n_pairs FROM m""")
 def m20(spark, sf):
-    return I.paired_bootstrap(diffs(spark, sf), KEY, 500)
+    return I.paired_bootstrap(diffs(spark, sf), KEY, RESAMPLES)
+
+
+def cluster_sql(c: str) -> str:
+    return f"""SELECT count(*) AS resamples, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, any_value(g) AS n_clusters, '{c}' AS cluster FROM (
+SELECT b, any_value(g) AS g, round(CAST(sum(CAST(s AS DECIMAL(18,6))) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 9) AS m FROM (SELECT b, g, {D3} % g AS i FROM (SELECT b, g, k, {D2} AS x FROM (SELECT b, g, k, {D1} AS x FROM
+(SELECT CAST(unnest(range(1, {RESAMPLES} + 1)) AS BIGINT) AS b), (SELECT count(*) AS g, CAST(unnest(range(1, count(*) + 1)) AS BIGINT) AS k FROM cs_{c})))) JOIN cs_{c} USING (i) GROUP BY b)"""
+
+
+CLUSTER_ROWS = ", ".join(f"cs_{c} AS (SELECT row_number() OVER (ORDER BY {c}) - 1 AS i, {tot('d', 6)} AS s, count(*) AS n FROM df GROUP BY {c})" for c in ("state", "month_key"))
 
 
-@query("m21_cluster_bootstrap")
+@query("m21_cluster_bootstrap", f"WITH {DIFF_SQL}, {CLUSTER_ROWS} {cluster_sql('state')} UNION ALL {cluster_sql('month_key')}")
 def m21(spark, sf):
-    parts = [I.cluster_bootstrap(I.clusters(diffs(spark, sf), [c]), 500).withColumn("cluster", F.lit(c)) for c in ("state", "month_key")]
+    parts = [I.cluster_bootstrap(I.clusters(diffs(spark, sf), [c]), RESAMPLES).withColumn("cluster", F.lit(c)) for c in ("state", "month_key")]
     return parts[0].unionByName(parts[1])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import trip_analyses as A
+from ..sources.io import inventory
 from .registry import query
 from .tables import TRIPS_SQL, market_prices, price_panel, table, trips, zones, MARKET_SQL, PANEL_SQL
 
@@ -99,6 +100,14 @@ def a10(spark, sf):
     })
 
 
+@query("a10c_grain_bytes")
+def a10c(spark, sf):
+    """The comparison with bytes and bytes a row of the stored facts; sizes come from the file listing."""
+    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    facts = {"lineitem": (line.withColumn("d", F.to_date("l_shipdate")), "d", "l_suppkey", "l_partkey"), "orders": (orders.withColumn("d", F.to_date("o_orderdate")), "d", "o_custkey", "o_orderpriority")}
+    return A.grain(facts, inventory(spark, {t: f"{sf}/{t}.parquet" for t in facts}))
+
+
 @query("a10b_national_month", f"""
 WITH {PANEL_SQL} SELECT 'line items' AS fact, strftime(l_shipdate, '%Y-%m') AS year_month, count(*) AS n, round({tot('l_extendedprice')}, 4) AS value FROM lineitem GROUP BY ALL
 UNION ALL SELECT 'price panel', printf('%04d-%02d', month_key // 10000, month_key // 100 % 100), count(*), round({mean('price')}, 4) FROM panel GROUP BY ALL""")

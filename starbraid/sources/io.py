@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session sets one of its own, once; on a cluster that is an error, since a folder of one
+    machine is not seen by the others."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def parquet_union(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files of drifting schema, united by name, with the file each row came from."""
     return spark.read.option("mergeSchema", True).parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
@@ -40,7 +56,9 @@ def columnar_json(spark: SparkSession, path: str, body: str, time: str) -> DataF
     """An object of parallel arrays as rows; None where the optional source is absent."""
     try:
         raw = spark.read.json(path, multiLine=True)
-    except Exception:  # noqa: BLE001  an optional source
+    except AnalysisException:  # an optional source: no such path, or nothing readable in it
+        return None
+    if body not in raw.columns:
         return None
     names = [f.name for f in raw.schema[body].dataType]
     return raw.select(F.explode(F.arrays_zip(*[F.col(f"{body}.{n}").alias(n) for n in names])).alias("r")).select(F.col(f"r.{time}").cast("date").alias("observation_date"), *[F.col(f"r.{n}").cast("double").alias(n) for n in names if n != time])
@@ -77,16 +95,36 @@ def schema_drift(spark: SparkSession, files: dict[str, list[str]], contract: lis
     return spark.createDataFrame(rows, "file string, missing array<string>, unexpected array<string>, column_count int")
 
 
-def panel_profile(rows: DataFrame, month: str, unit: str) -> DataFrame:
-    """Units by month, whether the panel is balanced and its first and last month."""
+def panel_profile(rows: DataFrame, month: str, unit: str, lists: list[str] | None = None, subset: Column | None = None) -> DataFrame:
+    """Units by month, whether the panel is balanced, its first and last month, the sorted distinct values of the
+    columns in `lists` (dimension members, few) and the months of a subset of the rows."""
+    more = [F.array_sort(F.collect_set(c)).alias(f"{c}_list") for c in lists or []]
+    if subset is not None:
+        own = F.when(subset, F.col(month))
+        more += [F.min(own).alias("subset_first_month"), F.max(own).alias("subset_last_month"), F.count_distinct(own).alias("subset_months")]
+    out = _panel_months(rows, month, unit)
+    return out.join(F.broadcast(rows.agg(*more))) if more else out  # one row each
+
+
+def _panel_months(rows: DataFrame, month: str, unit: str) -> DataFrame:
     months = rows.groupBy(month).agg(F.count_distinct(unit).alias("n"))
     return months.agg(F.min("n").alias("min_units"), F.max("n").alias("max_units"), (F.min("n") < F.max("n")).alias("panel_is_unbalanced"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), F.count(F.lit(1)).alias("months"))
 
 
+#: Content of larger files does not fit a row; they have no digest.
+DIGESTED = 1 << 30
+
+
 def provenance(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Name, bytes and SHA-256 of each file."""
+    """Name, bytes, SHA-256 and rows of each Parquet file. Files above DIGESTED bytes have a NULL digest (their
+    content is never read: the filter on length reaches the source)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    digest = files.where(F.col("length") <= DIGESTED).select("path", F.sha2("content", 256).alias("sha256"))
+    base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(p).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("row_count")) for p in paths])
+    rows = rows.select(base(F.col("f")).alias("filename"), "row_count")
+    held = files.select("path", "length").join(digest, "path", "left").select(base(F.col("path")).alias("filename"), F.col("length").alias("bytes"), "sha256")
+    return held.join(rows, "filename", "left").select("filename", "bytes", "sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
 def write_dataset(df: DataFrame, path: str) -> None:

@@ -11,18 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_dir  # noqa: F401  read by the operators
+
 #: Characters of the texts whose chunks are looked up together.
 GULP = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; driver and executors must share it, so there is no default."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: a lineage cut that survives lost executors.
 

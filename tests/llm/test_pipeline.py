@@ -45,11 +45,57 @@ def test_stages_on_the_driver_rows(spark):
 
 def test_stages_take_awkward_rows(spark):
     docs = spark.createDataFrame([(d, t, *["clash"] * 4, 5, *["clash"] * 4) for d, t in ROWS], SCHEMA)
-    for rows in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, rows, SF)
-            assert out.count() >= 0
-            assert name == "packing" or out.columns == rows.columns
+    f = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    out = {n: stage(spark, docs, SF) for n, stage in corpus_pipeline.STAGES}
+    for name, df in out.items():
+        if name != "packing":
+            assert df.columns == docs.columns and df.where("doc = 'clash' AND id = 5 AND carried = 'clash'").count() == df.count()
+        assert f[name](spark, docs.limit(0), SF).count() == 0
+
+    # Some rows go whole, none changes; rows without text are clean.
+    kept = plain(out["toxicity"])
+    assert all(kept.count(r) <= ROWS.count(r) for r in kept) and {(2, None), (3, ""), (4, "Short one"), (13, "p q")} <= set(kept)
+
+    # Equal texts and near copies under other ids go; repeated rows, null ids and rows without words stay.
+    sets = shingle_sets([(d, t or "") for d, t in ROWS if d is not None])
+    alike = lambda a, b: bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    gone = {d for d in sets if any(k < d and alike(k, d) for k in sets)}
+    assert 5 in gone and plain(out["near_dedup"]) == sorted((r for r in ROWS if r[0] not in gone), key=str)
+
+    # What is left of each text, incomplete characters dropped.
+    ends, texts = brute_kept([(d, t or "") for d, t in ROWS]), plain(out["repeats"])
+    assert texts == sorted(((d, ends[d, t or ""]) for d, t in ROWS), key=str)
+
+    secret = re.compile(r"[0-9a-f]{24}|AKIA[A-Z0-9]{16}")
+    masked = {7: 'key [secret]" [secret] idiot', 11: "[secret]"}  # 500 times "a" is a hexadecimal run
+    got = plain(out["secrets"])
+    assert not any(secret.search(t or "") for _, t in got)
+    assert got == sorted(((d, masked.get(d, t)) for d, t in ROWS), key=str)
+
+    pieces = out["packing"].collect()
+    assert len(pieces) >= len(ROWS) and sum(r.length for r in pieces) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens * sum(d == r.doc_id for d, _ in ROWS) for r in pieces}.values())
+
+
+def brute_kept(pairs, length=100):
+    """(doc, text) -> the text without what occurs earlier, by comparing all windows; null ids come first."""
+    seen, out = set(), {}
+    for d, t in sorted(set(pairs), key=lambda x: (x[0] is not None, x[0] or 0)):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            w = raw[i : i + length]
+            if w in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(w)
+        out[d, t] = bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_columns_named_like_the_stages_own(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdef12345 x", "keep", 7)], "doc_id long, text string, span_list string, found_id long")
+    got = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, SF).first()
+    assert tuple(got) == (1, "[secret] x", "keep", 7)
 
 
 def test_run_gives_pieces(spark):

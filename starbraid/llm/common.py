@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.io import shared_dir  # noqa: F401  read by the operators
 
 #: Characters of the texts whose chunks are looked up together.
-GULP = 8 << 20
+GULP = 4 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:

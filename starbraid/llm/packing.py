@@ -32,8 +32,8 @@ from .common import chunks_of, cut, gulps, remembered, spelled, text_of
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a worker remembers: at most about 100 MB, kept from task to task.
-REMEMBERED = 500_000
+#: Words whose ids a task remembers: at most about 80 MB, dropped at its end (the worker goes on to other work).
+REMEMBERED = 400_000
 #: Pieces of one length in a bucket, about.
 BUCKET = 1000
 
@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     flat = pa.array(np.frombuffer(b"".join(cols[5]), "<i4"))
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[2])]).astype(np.int32)), flat))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+        words.words = {"": b""}
 
     texts = text_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(encode, schema)

@@ -39,7 +39,7 @@ FEATURES = 400
 FOLDS = 3
 RIDGE = 0.3
 THRESHOLD = 0.4
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 WORD = re.compile(r"[^\W\d_]+")
 ORACLE_SQL = None  # fitted models; tests hold held-out accuracy

@@ -100,7 +100,8 @@ def rebalance(held: list[int], weights: dict[int, tuple[int, int]], shards: int)
 
 def save_map(spark: SparkSession, held: list[int], version: int, path: str) -> None:
     """Store one version of the map as (version, virtual_slot, shard); older versions stay readable."""
-    spark.createDataFrame(list(enumerate(held)), "virtual_slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows = spark.range(len(held)).select(F.col("id").cast("int").alias("virtual_slot"), F.element_at(F.lit(held), (F.col("id") + 1).cast("int")).alias("shard"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, gulps, text_of
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 SAMPLE = 3000
@@ -41,6 +41,9 @@ RIDGE = 0.3
 THRESHOLD = 0.4
 REMEMBERED = 150_000
 
+#: Characters of a long text whose words are listed at once.
+STRETCH = 1 << 20
+
 WORD = re.compile(r"[^\W\d_]+")
 ORACLE_SQL = None  # fitted models; tests hold held-out accuracy
 
@@ -50,13 +53,28 @@ def features_of(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) for n in names)
 
 
+def words_of(text: str) -> set[str]:
+    """The distinct lower-case words of a whole text; a long text is listed stretch by stretch, each ending at a blank."""
+    text = text.lower()
+    out: set[str] = set()
+    lo = 0
+    while len(text) - lo > STRETCH:
+        hi = text.rfind(" ", lo, lo + STRETCH)
+        if hi <= lo:
+            break
+        out.update(WORD.findall(text, lo, hi))
+        lo = hi
+    out.update(WORD.findall(text, lo))
+    return out
+
+
 def feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, f): the distinct feature hashes as little-endian bytes."""
     for batch in batches:
         found = []
         for text in batch.column(1).to_pylist():
             own: set[int] = set()
-            for w in set(WORD.findall(text.lower())):
+            for w in words_of(text):
                 own.update(features_of(w))
             found.append(np.array(sorted(own), "<u4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "f"])
@@ -168,9 +186,9 @@ def scorer(models: list[Linear]):  # noqa: ANN201
         hits_of = WordHits(used)
         for batch in batches:
             out: list[list[float]] = [[] for _ in weights]
-            for text in batch.column(1).to_pylist():
+            for text in (t for texts in gulps(batch.column(1)) for t in texts.to_pylist()):
                 own: set[int] = set()
-                for w in set(WORD.findall(text.lower())):
+                for w in words_of(text or ""):
                     if hit := hits_of[w]:
                         own.update(hit)
                 before: list[float] = []
@@ -179,7 +197,7 @@ def scorer(models: list[Linear]):  # noqa: ANN201
                     before.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
                 for c, p in zip(out, before):
                     c.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in out)], names=["carried", *(f"p_{c}" for c in CATEGORIES)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in out)], names=[*batch.schema.names, *(f"p_{c}" for c in CATEGORIES)])
 
     return score
 
@@ -187,9 +205,13 @@ def scorer(models: list[Linear]):  # noqa: ANN201
 def scored(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(carried, p_low_quality, p_toxic, p_severe, rejected): a row of docs, as a struct, with its probabilities."""
     sets, y, weight = training(docs if labelled_docs is None else labelled_docs, labels, sample)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("carried"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"carried {rows.schema['carried'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
-    return rows.mapInArrow(scorer(fit_chain(sets, y, weight)), schema).withColumn("rejected", F.col("p_toxic") >= threshold)
+    others = [c for c in docs.columns if c != "text"]
+    # The text travels once, beside the other columns.
+    rows = docs.select(F.struct(*others).alias("carried"), "text")
+    schema = f"carried {rows.schema['carried'].dataType.simpleString()}, text string, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
+    found = rows.mapInArrow(scorer(fit_chain(sets, y, weight)), schema)
+    whole = F.struct(*[F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
+    return found.select(whole.alias("carried"), *(f"p_{c}" for c in CATEGORIES), (F.col("p_toxic") >= threshold).alias("rejected"))
 
 
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

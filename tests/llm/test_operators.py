@@ -385,6 +385,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.8 and n.get((0, True), 0) / n[0, False] < 0.02
 
 
+def test_toxicity_words_of_long_texts(monkeypatch):
+    text = " ".join(f"Wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}, n{i}" for i in range(900)) + "x" * 300 + " End"
+    whole = set(toxicity.WORD.findall(text.lower()))
+    for stretch in (17, 64, 5000, 10**6):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        assert toxicity.words_of(text) == whole
+    assert toxicity.words_of("") == set()
+
+
 def test_toxicity_edge_cases(spark, small):
     labels = spark.createDataFrame([(7, 0, 1), (1, 1, 0), (4, None, 1), (None, 1, 1), (777, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.scored(small, labels)

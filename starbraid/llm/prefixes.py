@@ -2,7 +2,8 @@
 
 Every prefix of a piece (a match of the public pattern) has exactly one encoding, hence exactly one last token. A token may
 end a prefix if and only if merging the bytes of the token before it and its own gives just these two; so the last token of
-each prefix follows from those of shorter ones, in one pass and without running the merges over the piece. The table of
+each prefix follows from those of shorter ones, in one pass and without running the merges over the piece (an automaton of the
+tokens names those that end at each byte). The table of
 last tokens is the encoding of all prefixes at once: an append goes on from its end, an edit starts at the first changed
 byte and stops as soon as as many last tokens as the longest token has bytes agree with the old table again.
 
@@ -21,6 +22,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -68,7 +70,7 @@ class Splitter:
             held = set(map(ord, bytes(theirs.encode_ordinary(every)).decode()))
             odd |= held ^ set(map(ord, regex.findall(rf"\p{{{kind}}}", every)))
             inside = ranges(held)
-            exact = exact.replace(rf"[^\s\p{{L}}\p{{N}}]", f"[^\\s@L@N]").replace(rf"\p{{{kind}}}+", f"[{inside}]+").replace(f"@{kind}", inside)
+            exact = exact.replace(r"[^\s\p{L}\p{N}]", r"[^\s@L@N]").replace(rf"\p{{{kind}}}+", f"[{inside}]+").replace(f"@{kind}", inside)
         self.plain, self.exact = regex.compile(public_tokenizers.PATTERN), regex.compile(exact)
         self.odd = regex.compile(f"[{ranges(odd)}]") if odd else None
 
@@ -84,36 +86,71 @@ class Ranks:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.rank.values()) + 1
         self.token = [b""] * self.size
-        self.grow: dict[bytes, int] = {}
+        self.ends = ahocorasick.Automaton()
         for t, i in self.rank.items():
             self.token[i] = t
-            for n in range(1, len(t)):
-                self.grow.setdefault(t[:n], NONE)
-            self.grow[t] = i
+            self.ends.add_word(t.decode("latin-1"), (i, len(t)))
+        self.ends.make_automaton()
         self.longest = max(map(len, self.rank))
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.split = Splitter()
         self.follows: dict[int, bool] = {}
+        self.spines: dict[int, list[int] | None] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges themselves, for the bytes of two tokens."""
+    def merged(self, data: bytes, until: int = 1) -> list[bytes]:
+        """The merges themselves, for the bytes of a token or two, down to `until` parts."""
         parts, never = [data[i : i + 1] for i in range(len(data))], self.size
-        while len(parts) > 1:
+        while len(parts) > until:
             least, at = min((self.rank.get(a + b, never), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if least == never:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spine(self, token: int, side: int) -> list[int] | None:
+        """The pieces at the first (side 0) or last (1) byte of a token while it is merged, byte to token.
+
+        None where a part has a higher rank than the whole, so that ranks don't tell when a piece appears."""
+        key = token * 2 + side
+        if key not in self.spines:
+            data, out = self.token[token], [token]
+            if len(data) > 1:
+                parts = self.merged(data, 2)
+                ids = [self.rank[p] for p in parts]
+                below = [self.spine(i, side) for i in ids] if len(ids) == 2 and max(ids) < token else [None]
+                out = None if None in below else [*below[side], token]
+            self.spines[key] = out
+        return self.spines[key]
+
+    def parted(self, before: int, token: int) -> bool:
+        """Whether no merge crosses from one token into the next: each pair of pieces that meet at the border, in the
+        order of the ranks, must change on its left or right before its own merge is due (left ones first among equals)."""
+        a, b = self.spine(before, 1), self.spine(token, 0)
+        if a is None or b is None:
+            pair = [self.token[before], self.token[token]]
+            return self.merged(b"".join(pair)) == pair
+        i = j = 0
+        while True:
+            left, right = (x[k + 1] if k + 1 < len(x) else self.size for x, k in ((a, i), (b, j)))
+            due = self.rank.get(self.token[a[i]] + self.token[b[j]])
+            if due is not None and due < left and due <= right:
+                return False
+            if left == right == self.size:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
+
     def may_follow(self, before: int, token: int) -> bool:
         key = before * self.size + token
         known = self.follows.get(key)
         if known is None:
             if len(self.follows) >= PAIRS:
                 self.follows.clear()
-            pair = [self.token[token]] if before == START else [self.token[before], self.token[token]]
-            known = self.follows[key] = self.merged(b"".join(pair)) == pair
+            alone = self.token[token]
+            known = self.follows[key] = self.merged(alone) == [alone] if before == START else self.parted(before, token)
         return known
 
     def lasts(self, piece: bytes, old: bytes = b"", was: list[int] | None = None) -> tuple[list[int], int]:
@@ -121,24 +158,42 @@ class Ranks:
         was, n = was or [], len(piece)
         same = next((i for i, (a, b) in enumerate(zip(piece, old)) if a != b), min(n, len(old)))
         tail = next((i for i, (a, b) in enumerate(zip(reversed(piece[same:]), reversed(old[same:]))) if a != b), min(n, len(old)) - same)
-        last = [START, *was[:same], *[NONE] * (n - same)]
-        shift, agree, grow, follows, size, may = n - len(old), 0, self.grow, self.follows, self.size, self.may_follow
-        for j in range(max(0, same - self.longest + 1), n):
-            before = last[j]
-            if tail and j > n - tail:
-                agree = agree + 1 if before == was[j - shift - 1] else 0
-                if agree >= self.longest:
-                    return [*last[1 : j + 1], *was[j - shift :]], j - same
-            for stop in range(j + 1, n + 1):
-                token = grow.get(piece[j:stop])
-                if token is None:
-                    break
-                if token >= 0 and last[stop] == NONE:
-                    known = follows.get(before * size + token)
-                    if may(before, token) if known is None else known:
-                        last[stop] = token
+        last, shift, agree, done = [START, *was[:same], *[NONE] * (n - same)], n - len(old), 0, same
+        from_ = max(0, same - self.longest)
+        for end, (token, size) in self.ends.iter(piece[from_:].decode("latin-1")):
+            end += from_ + 1
+            if end > done + 1:  # place done + 1 is settled
+                done += 1
+                if tail and done > n - tail:
+                    agree = agree + 1 if last[done] == was[done - shift - 1] else 0
+                    if agree >= self.longest:
+                        return [*last[1 : done + 1], *was[done - shift :]], done - same
+            if last[end] == NONE and end - size >= from_ and self.may_follow(last[end - size], token):
+                last[end] = token
         return last[1:], n - same
 
+    def of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pieces as bytes, from one pass over all of them; a mark that no token holds parts the pieces."""
+        last, follows, size, may = [], self.follows, self.size, self.may_follow
+        for p in pieces:
+            last += [START, *[NONE] * len(p)]
+        for end, (token, n) in self.ends.iter("\u0100" + "\u0100".join(p.decode("latin-1") for p in pieces)):
+            if last[end] == NONE:
+                before = last[end - n]
+                known = follows.get(before * size + token)
+                if may(before, token) if known is None else known:
+                    last[end] = token
+        out, at, own, token, kind = [], len(last) - 1, [], self.token, self.kind
+        while at >= 0:
+            t = last[at]
+            if t == START:
+                out.append(np.array(own[::-1], kind).tobytes())
+                own, at = [], at - 1
+            else:
+                own.append(t)
+                at -= len(token[t])
+        return out[::-1]
+
     def walked(self, piece: bytes, last: list[int]) -> list[int]:
         """The ids of a piece, back from its end."""
         whole = self.rank.get(piece)
@@ -150,20 +205,19 @@ class Ranks:
             at -= len(self.token[out[-1]])
         return out[::-1]
 
-    def ids(self, piece: str) -> list[int]:
-        data = piece.encode()
-        whole = self.rank.get(data)
-        return [whole] if whole is not None else self.walked(data, self.lasts(data)[0])
-
-    def coded(self, chunk: str) -> bytes:
-        """The ids of a chunk as bytes; short chunks are remembered."""
-        out = self.chunks.get(chunk)
-        if out is None:
-            out = np.array([i for p in self.split.pattern(chunk).findall(chunk) for i in self.ids(p)], self.kind).tobytes()
-            if len(chunk) <= 64:
-                if len(self.chunks) >= CHUNKS:
-                    self.chunks.clear()
-                self.chunks[chunk] = out
+    def coded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks as bytes; short chunks are remembered."""
+        held, rank, kind = self.chunks, self.rank, self.kind
+        if len(held) + len(chunks) > CHUNKS:
+            held.clear()
+        split = {c: [p.encode() for p in self.split.pattern(c).findall(c)] for c in chunks if c not in held}
+        new = list({p for pieces in split.values() for p in pieces})
+        known = {p: np.array([rank[p]], kind).tobytes() for p in new if p in rank}
+        rest = [p for p in new if p not in known]
+        known.update(zip(rest, self.of_pieces(rest)))
+        own = {c: b"".join(map(known.__getitem__, pieces)) for c, pieces in split.items()}
+        out = [own[c] if c in own else held[c] for c in chunks]
+        held.update((c, x) for c, x in own.items() if len(c) <= 64)
         return out
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +229,10 @@ class Ranks:
         bare = found.take(pa.array(used >> 1))
         chunks = pc.if_else(pa.array(used & 1 == 1), bare, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), bare, pa.scalar("", pa.large_string())))
         loose = pc.match_substring_regex(chunks, LOOSE).to_numpy(zero_copy_only=False)
-        flat, n = spelled([b"" if z else self.coded(c) for c, z in zip(chunks.to_pylist(), loose.tolist())], self.kind, at, sizes)
+        tight = np.flatnonzero(~loose)
+        values = np.full(len(loose), b"", object)
+        values[tight] = np.array(self.coded(chunks.take(pa.array(tight)).to_pylist()), object)
+        flat, n = spelled(values.tolist(), self.kind, at, sizes)
         hit, ends = np.concatenate([[0], np.cumsum(loose[at])]), np.cumsum(sizes)
         whole = np.flatnonzero(hit[ends] > hit[ends - sizes])
         if not len(whole):
@@ -183,7 +240,7 @@ class Ranks:
         parts = np.split(flat, np.cumsum(n)[:-1])
         for i in whole.tolist():
             text = texts[i].as_py()
-            parts[i] = np.frombuffer(b"".join(map(self.coded, self.split.pattern(text).findall(text))), self.kind)
+            parts[i] = np.frombuffer(b"".join(self.coded(self.split.pattern(text).findall(text))), self.kind)
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 

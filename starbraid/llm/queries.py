@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, neardup, packing, repeats, secrets, sharding, topk, toxicity
+from . import bpe, fingerprints, licenses, neardup, packing, prefixes, repeats, search, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_battery": secrets.op1_randomness_battery,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_interval_tree": repeats.op8_interval_tree,
     "op9_distinct_words": bpe.op9_distinct_words,
     "op10_consistent_parsing": fingerprints.op10_consistent_parsing,
+    "op11_automaton_scan": search.op11_automaton_scan,
+    "op12_prefix_table": prefixes.op12_prefix_table,
 }
 
 #: Spans, maps, sketches and digests of byte ranges have no SQL form; tests hold these queries against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_voronoi_join": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_voronoi_join": topk.ORACLE_SQL, "op11_automaton_scan": search.ORACLE_SQL}

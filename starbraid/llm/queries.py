@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, licenses, neardup, packing, prefixes, repeats, search, secrets, sharding, topk, toxicity
+from . import bpe, fingerprints, licenses, neardup, packing, prefixes, repair, repeats, search, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_battery": secrets.op1_randomness_battery,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_consistent_parsing": fingerprints.op10_consistent_parsing,
     "op11_automaton_scan": search.op11_automaton_scan,
     "op12_prefix_table": prefixes.op12_prefix_table,
+    "op13_edit_lattice": repair.op13_edit_lattice,
 }
 
 #: Spans, maps, sketches and digests of byte ranges have no SQL form; tests hold these queries against brute force.

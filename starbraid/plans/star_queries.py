@@ -380,10 +380,18 @@ def s3(spark, sf):
     return S.csv_typed(spark, f"{path}/main", {"key": "int", "name": "string", "ratio": "double"}, ("key", "#")).drop("source_file")
 
 
-@query("s7_file_profile", f"""WITH {TRIPS_SQL} SELECT vendor AS file, count(*) AS raw_rows, min(pickup_ts) AS pickup_min, max(pickup_ts) AS pickup_max, min(dropoff_ts) AS dropoff_min, max(dropoff_ts) AS dropoff_max, count(*) FILTER (pickup_ts < TIMESTAMP '{LO}' OR pickup_ts >= TIMESTAMP '{HI}') AS pickup_out_of_window,
-  count(*) FILTER (strftime(pickup_ts, '%Y-%m') <> strftime(dropoff_ts, '%Y-%m')) AS month_mismatch, count(*) FILTER (pickup_ts IS NULL) AS null_pickup, count(*) FILTER (dropoff_ts IS NULL) AS null_dropoff FROM trip GROUP BY vendor""")
+FILED_SQL = f"{TRIPS_SQL}, filed AS (SELECT CASE WHEN line_no = 5 THEN '' ELSE strftime(dropoff_ts, '%Y-%m') END AS file_month, CASE WHEN line_no <> 4 THEN pickup_ts END AS pickup_ts, CASE WHEN line_no <> 3 THEN dropoff_ts END AS dropoff_ts FROM trip)"
+
+
+@query("s7_file_profile", f"""WITH {FILED_SQL} SELECT file_month, CASE WHEN file_month = '' THEN 'trips_undated.parquet' ELSE 'trips_' || file_month || '.parquet' END AS source_file, count(*) AS raw_rows, min(pickup_ts) AS pickup_min, max(pickup_ts) AS pickup_max, min(dropoff_ts) AS dropoff_min, max(dropoff_ts) AS dropoff_max,
+  count(*) FILTER (pickup_ts < TIMESTAMP '{LO}' OR pickup_ts >= TIMESTAMP '{HI}') AS pickup_out_of_window, count(*) FILTER (file_month <> strftime(pickup_ts, '%Y-%m')) AS pickup_month_mismatch, count(*) FILTER (pickup_ts IS NULL) AS null_pickup, count(*) FILTER (dropoff_ts IS NULL) AS null_dropoff FROM filed GROUP BY ALL""")
 def s7(spark, sf):
-    return S.file_profile(trips(spark, sf).withColumnRenamed("vendor", "file"), "pickup_ts", "dropoff_ts", "file", LO, HI)
+    """Trips filed by month of arrival: most were picked up in another month, some have no pickup, some files no month."""
+    rows, path = trips(spark, sf), scratch(spark)
+    name = F.concat(F.lit("trips_"), F.when(F.col("line_no") == 5, "undated").otherwise(E.year_month("dropoff_ts")), F.lit(".parquet"))
+    filed = rows.select(name.alias("file"), F.when(F.col("line_no") != 4, F.col("pickup_ts")).alias("pickup_ts"), F.when(F.col("line_no") != 3, F.col("dropoff_ts")).alias("dropoff_ts"))
+    filed.repartition("file").write.partitionBy("file").parquet(path)
+    return S.file_profile(S.parquet_union(spark, [path]), "pickup_ts", "dropoff_ts", LO, HI)
 
 
 @query("s8_compared_counts", """WITH e AS (SELECT o_orderkey AS k, CAST(1 + o_orderkey % 4 AS BIGINT) AS expected FROM orders), o AS (SELECT l_orderkey AS k, count(*) AS observed FROM lineitem GROUP BY ALL)
@@ -394,9 +402,12 @@ def s8(spark, sf):
     return S.compared_counts(observed, expected, "k")
 
 
-@query("s9_schema_drift", "SELECT 'customer' AS file, ['s_acctbal'] AS missing, ['c_acctbal', 'c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey'] AS unexpected, CAST(count(*) * 0 + 5 AS INTEGER) AS column_count FROM customer UNION ALL SELECT 'supplier', [], ['s_name', 's_nationkey', 's_suppkey'], CAST(count(*) * 0 + 4 AS INTEGER) FROM supplier")
+@query("s9_schema_drift", """SELECT f AS file, missing, unexpected, CAST(n AS INTEGER) AS column_count FROM (SELECT DISTINCT CASE WHEN year(o_orderdate) < 1998 THEN 'early' WHEN year(o_orderdate) < 2000 THEN 'middle' ELSE 'late' END AS f FROM orders) JOIN
+  (VALUES ('early', []::VARCHAR[], []::VARCHAR[], 3), ('middle', []::VARCHAR[], ['zone'], 4), ('late', ['airport_fee'], []::VARCHAR[], 2)) v(f, missing, unexpected, n) USING (f)""")
 def s9(spark, sf):
-    return S.schema_drift(spark, {t: table(spark, sf, t).columns for t in ("customer", "supplier")}, ["S_ACCTBAL"])
+    """Files whose fee column changes its letters, gains a neighbour and goes; their parts have one schema a folder."""
+    drift = S.schema_drift(spark, [drifting_files(spark, sf)], ["Ride_ID", "AIRPORT_FEE", "day"])
+    return drift.select(F.regexp_extract("file", r"/(early|middle|late)/", 1).alias("file"), "missing", "unexpected", "column_count").distinct()
 
 
 @query("s10_panel_profile", f"""WITH {PANEL_SQL}, m AS (SELECT month_key, count(DISTINCT state) AS n FROM panel GROUP BY ALL), l AS (SELECT list_sort(list(DISTINCT zone)) AS zone_list, list_sort(list(DISTINCT state)) AS state_list, min(month_key) FILTER (zone = 'ASIA') AS subset_first_month,
@@ -465,13 +476,52 @@ def s15(spark, sf):
     return spark.sql("SELECT r_name AS zone, count(*) AS suppliers, floor(CAST(sum(CAST(s_acctbal AS DECIMAL(18,4))) AS DOUBLE) * 10000 + 0.5D) / 10000D AS balance FROM gold_supplier JOIN gold_nation ON s_nationkey = n_nationkey JOIN gold_region ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
-@query("s1b_drifting_columns", "SELECT 'customer' AS source, count(*) AS n, CAST(NULL AS DOUBLE) AS least FROM customer UNION ALL SELECT 'supplier', count(*), min(s_acctbal) FROM supplier")
+def drifting_files(spark, sf):
+    """Orders in three folders: Airport_fee, then airport_fee and zone, then no fee."""
+    path, y, c = scratch(spark), F.year("o_orderdate"), F.col
+    rows = table(spark, sf, "orders").select(c("o_orderkey").alias("ride_id"), c("o_totalprice").alias("fee"), F.to_date("o_orderdate").alias("day"), c("o_orderpriority").alias("zone"), y.alias("y"))
+    rows.where("y < 1998").select("ride_id", c("fee").alias("Airport_fee"), "day").write.parquet(f"{path}/early")
+    rows.where("y >= 1998 AND y < 2000").select("ride_id", "day", c("fee").alias("airport_fee"), "zone").write.parquet(f"{path}/middle")
+    rows.where("y >= 2000").select("ride_id", "day").write.parquet(f"{path}/late")
+    return path
+
+
+@query("s1b_drifting_columns", f"""SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'early' WHEN year(o_orderdate) < 2000 THEN 'middle' ELSE 'late' END AS source, count(*) AS n, count(*) FILTER (year(o_orderdate) < 2000) AS with_fee, round({tot('CASE WHEN year(o_orderdate) < 2000 THEN o_totalprice END')}, 4) AS fees,
+  count(DISTINCT CASE WHEN year(o_orderdate) BETWEEN 1998 AND 1999 THEN o_orderpriority END) AS zones, CAST(min(o_orderdate) AS DATE) AS first_day FROM orders GROUP BY ALL""")
 def s1b(spark, sf):
-    """A column that has other letters in one file and is absent from the other."""
+    rows = S.parquet_union(spark, [drifting_files(spark, sf)])
+    return rows.groupBy(F.regexp_extract("source_file", r"/(early|middle|late)/", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("Airport_fee").alias("with_fee"), E.rounded(E.total("Airport_fee"), 4).alias("fees"), F.count_distinct("zone").alias("zones"), F.min("day").alias("first_day")
+    )
+
+
+@query("s1c_drifting_case", "SELECT 'customer' AS source, count(*) AS n, CAST(NULL AS DOUBLE) AS least FROM customer UNION ALL SELECT 'supplier', count(*), min(s_acctbal) FROM supplier")
+def s1c(spark, sf):
+    """A column that has other letters in one table and is absent from the other."""
     parts = [S.drifting(table(spark, sf, t), "S_ACCTBAL", "double").agg(F.count(F.lit(1)).alias("n"), F.min("S_ACCTBAL").alias("least")).select(F.lit(t).alias("source"), "n", "least") for t in ("customer", "supplier")]
     return parts[0].unionByName(parts[1])
 
 
+@query("s11c_digests", "SELECT n_regionkey AS region, count(*) AS n_lines, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256 FROM nation GROUP BY ALL")
+def s11c(spark, sf):
+    """Digests of files whose content a table states: the nations of a region, a line each."""
+    path = scratch(spark)
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").cast("int").alias("region"), "n_name")
+    n.repartition(1).sortWithinPartitions("region", "n_name").write.partitionBy("region").text(path)
+    files = S.digests(S.listed(spark, [path]).where(F.col("path").endswith(".txt"))).withColumn("region", F.regexp_extract("path", r"/region=(\d+)/", 1).cast("int"))
+    lines = n.groupBy("region").agg(F.count(F.lit(1)).alias("n_lines"))
+    return files.join(lines, "region").select("region", "n_lines", F.col("length").alias("bytes"), "sha256")
+
+
+@query("s13_partition_report", "SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, n * CASE WHEN y = 1996 AND m = 3 THEN 2 ELSE 1 END AS row_count, true AS has_bytes FROM (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL)")
+def s13(spark, sf):
+    """Rows and bytes a month after one month was built anew with its rows twice."""
+    rows, path = table(spark, sf, "orders").withColumns({"year": F.year("o_orderdate"), "month": F.month("o_orderdate")}), scratch(spark)
+    S.write_partitioned(rows, path)
+    S.rebuild_month(rows.unionByName(rows), path, 1996, 3)
+    return S.partition_report(spark, path).select("year", "month", "row_count", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 def cell_table(spark, sf):
     """Each zone a file with a sheet a year: a header, its states by month, a total row, a note and a repeated block."""
     p = price_panel(spark, sf).withColumns({"mon": (F.floor(F.col("month_key") / 100) % 100).cast("int"), "year": F.floor(F.col("month_key") / 10000).cast("int")})

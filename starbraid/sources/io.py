@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +32,76 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length) of all files with content under the paths, from the listing; contents stay unread."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
+
+
+def located(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The Arrow file system of a listed path: local, HDFS or an object store."""
+    local = re.match(r"^file:(?://)?(/.*)$", path)
+    return (pa.fs.LocalFileSystem(), local[1]) if local else pa.fs.FileSystem.from_uri(path)
+
+
+def by_file(files: DataFrame) -> DataFrame:
+    """Listed files dealt out to tasks by path; at most 4,096 tasks."""
+    return files.repartition(max(1, min(4096, files.count())), "path")
+
+
+#: Bytes of a file that a task holds at a time.
+BUFFER = 8 << 20
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of listed files of any size: each is streamed through one task's buffer, no row holds content."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                fs, at = located(path)
+                sha = hashlib.sha256()
+                with fs.open_input_stream(at, compression=None) as f:
+                    while data := f.read(BUFFER):
+                        sha.update(data)
+                out.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["path", "length", "sha256"])
+
+    return by_file(files).mapInArrow(digest, "path string, length long, sha256 string")
+
+
+FOOTER = pa.schema([("path", pa.string()), ("row_count", pa.int64()), ("row_groups", pa.int32()), ("columns", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())])))])
+
+
+def footers(files: DataFrame) -> DataFrame:
+    """(path, row_count, row_groups, columns) of Parquet files: only footers are read, in parallel tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                fs, at = located(path)
+                with fs.open_input_file(at) as f:
+                    own = pa.parquet.ParquetFile(f)
+                    out.append({"path": path, "row_count": own.metadata.num_rows, "row_groups": own.metadata.num_row_groups, "columns": [{"name": c.name, "type": str(c.type)} for c in own.schema_arrow]})
+            yield pa.RecordBatch.from_pylist(out, FOOTER)
+
+    named = by_file(files.where(F.col("path").rlike(r"\.parquet$")))
+    return named.mapInArrow(read, "path string, row_count long, row_groups int, columns array<struct<name: string, type: string>>")
+
+
 def parquet_union(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of drifting schema, united by name, with the file each row came from."""
-    return spark.read.option("mergeSchema", True).parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
+    """Files of drifting schema, united by name whatever the letters' case, with the file each row came from.
+
+    Footers tell which files share a schema; each such group is one scan whose columns take the name that sorts first among
+    its spellings, and the scans are united. Columns that a group lacks are NULL there; widths are the widest."""
+    named = footers(listed(spark, paths)).select("path", F.transform("columns", lambda c: c["name"]).alias("names"), F.transform("columns", lambda c: c["type"]).alias("types"))
+    groups = named.groupBy("names", "types").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.array_min("paths")).collect()  # file names only
+    spelled: dict[str, str] = {}
+    for name in sorted({n for g in groups for n in g["names"]}, reverse=True):
+        spelled[name.lower()] = name
+    parts = [spark.read.parquet(*g["paths"]).select(*[F.col(f"`{n}`").alias(spelled[n.lower()]) for n in g["names"]], F.col("_metadata.file_path").alias("source_file")) for g in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def drifting(df: DataFrame, name: str, kind: str) -> DataFrame:
@@ -72,12 +145,18 @@ def ragged(raw: DataFrame, body: str, time: str, expected: list[str]) -> DataFra
     return raw.select(F.inline(F.array(*rows))).select("*", (F.coalesce("observed_len", "expected_len") != F.col("expected_len")).alias("is_ragged"), F.col("observed_len").isNull().alias("is_missing"))
 
 
-def file_profile(rows: DataFrame, start: str, stop: str, file: str, lo: str, hi: str) -> DataFrame:
-    """Per file rows, extremes of both timestamps, rows outside the window and nulls."""
+#: The month in a file's name, as it is published.
+FILE_MONTH = r"([0-9]{4}-[0-9]{2})\.parquet"
+
+
+def file_profile(rows: DataFrame, start: str, stop: str, lo: str, hi: str, file: str = "source_file") -> DataFrame:
+    """Per file rows, extremes of both timestamps, rows outside the window, rows whose start is not in the month that
+    the file's name states (every dated row where the name states none) and nulls."""
     low, high = F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")
-    return rows.groupBy(file).agg(
+    month = F.regexp_extract(file, FILE_MONTH, 1)
+    return rows.groupBy(month.alias("file_month"), F.regexp_extract(file, r"([^/=]+\.parquet)", 1).alias("source_file")).agg(
         F.count(F.lit(1)).alias("raw_rows"), F.min(start).alias("pickup_min"), F.max(start).alias("pickup_max"), F.min(stop).alias("dropoff_min"), F.max(stop).alias("dropoff_max"),
-        F.count_if((F.col(start) < low) | (F.col(start) >= high)).alias("pickup_out_of_window"), F.count_if(E.year_month(start) != E.year_month(stop)).alias("month_mismatch"), F.count_if(F.col(start).isNull()).alias("null_pickup"), F.count_if(F.col(stop).isNull()).alias("null_dropoff"),
+        F.count_if((F.col(start) < low) | (F.col(start) >= high)).alias("pickup_out_of_window"), F.count_if(month != E.year_month(start)).alias("pickup_month_mismatch"), F.count_if(F.col(start).isNull()).alias("null_pickup"), F.count_if(F.col(stop).isNull()).alias("null_dropoff"),
     )
 
 
@@ -88,11 +167,11 @@ def compared_counts(observed: DataFrame, expected: DataFrame, key: str) -> DataF
     return both.select(key, "expected", "observed", (F.col("observed") - F.col("expected")).alias("delta"), status.alias("status")).where("status IS NOT NULL")
 
 
-def schema_drift(spark: SparkSession, files: dict[str, list[str]], contract: list[str]) -> DataFrame:
-    """Missing and unexpected columns of each file, whatever their case. files: name -> columns."""
-    want = {c.lower() for c in contract}
-    rows = [(f, sorted(want - {c.lower() for c in cols}), sorted({c.lower() for c in cols} - want), len(cols)) for f, cols in files.items()]
-    return spark.createDataFrame(rows, "file string, missing array<string>, unexpected array<string>, column_count int")
+def schema_drift(spark: SparkSession, paths: list[str], contract: list[str]) -> DataFrame:
+    """Missing and unexpected columns of each Parquet file under the paths, whatever their case, from the footers."""
+    want = F.array(*[F.lit(c.lower()) for c in sorted(contract, key=str.lower)])
+    have = F.transform("columns", lambda c: F.lower(c["name"]))
+    return footers(listed(spark, paths)).select(F.col("path").alias("file"), F.array_sort(F.array_except(want, have)).alias("missing"), F.array_sort(F.array_except(have, want)).alias("unexpected"), F.size("columns").alias("column_count"))
 
 
 def panel_profile(rows: DataFrame, month: str, unit: str, lists: list[str] | None = None, subset: Column | None = None) -> DataFrame:
@@ -111,20 +190,12 @@ def _panel_months(rows: DataFrame, month: str, unit: str) -> DataFrame:
     return months.agg(F.min("n").alias("min_units"), F.max("n").alias("max_units"), (F.min("n") < F.max("n")).alias("panel_is_unbalanced"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), F.count(F.lit(1)).alias("months"))
 
 
-#: Content of larger files does not fit a row; they have no digest.
-DIGESTED = 1 << 30
-
-
 def provenance(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Name, bytes, SHA-256 and rows of each Parquet file. Files above DIGESTED bytes have a NULL digest (their
-    content is never read: the filter on length reaches the source)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    digest = files.where(F.col("length") <= DIGESTED).select("path", F.sha2("content", 256).alias("sha256"))
+    """Name, bytes, SHA-256 and rows of each Parquet file, rows from the footers; files of any size have a digest."""
+    files = listed(spark, paths)
     base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    rows = reduce(DataFrame.unionByName, [spark.read.parquet(p).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("row_count")) for p in paths])
-    rows = rows.select(base(F.col("f")).alias("filename"), "row_count")
-    held = files.select("path", "length").join(digest, "path", "left").select(base(F.col("path")).alias("filename"), F.col("length").alias("bytes"), "sha256")
-    return held.join(rows, "filename", "left").select("filename", "bytes", "sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+    rows = footers(files).select("path", "row_count")
+    return digests(files).join(rows, "path", "left").select(base(F.col("path")).alias("filename"), F.col("length").alias("bytes"), "sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
@@ -140,6 +211,19 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("year", "
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
+def partition_report(spark: SparkSession, path: str, by: tuple[str, ...] = ("year", "month")) -> DataFrame:
+    """(*by, row_count, bytes) of each partition of a dataset: counts from footers, bytes from the listing."""
+    files = listed(spark, [path])
+    part = [F.regexp_extract("path", rf"/{c}=([^/]+)/", 1).try_cast("int").alias(c) for c in by]
+    rows = footers(files).select("path", "row_count").withColumnRenamed("path", "p")
+    return files.join(rows, F.col("path") == F.col("p")).groupBy(*part).agg(F.sum("row_count").alias("row_count"), F.sum("length").alias("bytes"))
+
+
+def rebuild_month(df: DataFrame, path: str, year: int, month: int) -> None:
+    """Write one month anew from rows with year and month; the files of all other months stay untouched."""
+    write_partitioned(df.where((F.col("year") == year) & (F.col("month") == month)), path)
+
+
 def write_csv(outputs: dict[str, DataFrame], folder: str) -> None:
     """One CSV file set for each named output of an analysis."""
     for name, df in outputs.items():

@@ -120,3 +120,66 @@ def test_an_absent_optional_source_is_none(spark, tmp_path):
     assert S.columnar_json(spark, str(tmp_path / "nowhere.json"), "daily", "time") is None
     (tmp_path / "other.json").write_text('{"x": 1}')
     assert S.columnar_json(spark, str(tmp_path / "other.json"), "daily", "time") is None
+
+
+def test_digests_of_any_file_are_those_of_its_bytes(spark, tmp_path):
+    """A file above 1 GiB (sparse), a compressed one and one with a name that needs care; a file without content is not listed."""
+    import gzip
+    import hashlib
+
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate((1 << 30) + 12345)
+        f.seek(1 << 30)
+        f.write(b"tail")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"a,b\n1,2\n"))
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "odd name%20+é.txt").write_bytes(b"\xef\xbb\xbfx")
+    want = {}
+    for p in tmp_path.iterdir():
+        with open(p, "rb") as f:
+            want[p.name] = (p.stat().st_size, hashlib.file_digest(f, "sha256").hexdigest())
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in S.digests(S.listed(spark, [str(tmp_path)])).collect()}
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_provenance_equals_hashlib_and_the_tables(spark):
+    import hashlib
+
+    paths = [f"/root/testdata/sf0.001/{t}.parquet" for t in ("orders", "nation", "documents")]
+    got = {r.filename: (r.sha256, r.row_count) for r in S.provenance(spark, paths).collect()}
+    assert got == {p.rsplit("/", 1)[1]: (hashlib.sha256(open(p, "rb").read()).hexdigest(), spark.read.parquet(p).count()) for p in paths}
+
+
+def test_a_month_built_anew_leaves_the_others(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "fact")
+    rows = spark.createDataFrame([(i, y, m) for i, (y, m) in enumerate([(2024, 1), (2024, 1), (2024, 2), (2002, 12)])], "id int, year int, month int")
+    S.write_partitioned(rows, path)
+    seen = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = seen()
+    S.rebuild_month(rows.limit(3), path, 2024, 1)
+    after = seen()
+    kept = {f for f in before if "month=1/" not in f}
+    assert all(after[f] == before[f] for f in kept) and all(f in kept or "month=1/" in f for f in after)
+    report = {(r.year, r.month): r for r in S.partition_report(spark, path).collect()}
+    assert {k: r.row_count for k, r in report.items()} == {(2024, 1): 2, (2024, 2): 1, (2002, 12): 1}
+    assert all(r.bytes == sum(os.path.getsize(f) for f in after if f"year={y}/month={m}/" in f) for (y, m), r in report.items())
+
+
+def test_files_of_other_spelling_and_width_unite(spark, tmp_path):
+    spark.createDataFrame([(1, 2.5)], "id int, Airport_fee double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2, 3, "x")], "id long, airport_fee int, zone string").write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([(3,)], "ID long").write.parquet(str(tmp_path / "c"))
+    got = S.parquet_union(spark, [str(tmp_path)])
+    assert sorted(got.columns) == ["Airport_fee", "ID", "source_file", "zone"]
+    assert sorted((r.ID, r.Airport_fee, r.zone) for r in got.collect()) == [(1, 2.5, None), (2, 3.0, "x"), (3, None, None)]
+    drift = {r.file.split("/")[-2]: (r.missing, r.unexpected) for r in S.schema_drift(spark, [str(tmp_path)], ["id", "AIRPORT_FEE"]).collect()}
+    assert drift == {"a": ([], []), "b": ([], ["zone"]), "c": (["airport_fee"], [])}
+
+
+def test_the_month_of_a_file_is_that_of_its_name(spark):
+    rows = [("x/trips_2024-01.parquet", T, T), ("x/trips_2024-03.parquet", T, T), ("x/trips_2024-03.parquet", None, T), ("x/trips.parquet", T, None)]
+    df = spark.createDataFrame(rows, "source_file string, a timestamp_ntz, b timestamp_ntz")
+    got = {r.source_file: (r.file_month, r.raw_rows, r.pickup_month_mismatch, r.null_pickup, r.null_dropoff) for r in S.file_profile(df, "a", "b", "2024-01-01", "2025-01-01").collect()}
+    assert got == {"trips_2024-01.parquet": ("2024-01", 1, 1, 0, 0), "trips_2024-03.parquet": ("2024-03", 2, 0, 1, 0), "trips.parquet": ("", 1, 1, 0, 1)}

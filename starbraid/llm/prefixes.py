@@ -7,8 +7,8 @@ tokens names those that end at each byte). The table of
 last tokens is the encoding of all prefixes at once: an append goes on from its end, an edit starts at the first changed
 byte and stops as soon as as many last tokens as the longest token has bytes agree with the old table again.
 
-The query walks a document as chunks between blanks; a worker remembers the ids of chunks, up to a bound, so a word is
-encoded once, and no rows are shuffled. prefixes() stores the table of each document and revised() applies edits to it.
+The query walks a document as chunks between blanks; a worker remembers the ids of pieces, up to a bound, so a frequent word
+is encoded once, and no rows are shuffled. prefixes() stores the table of each document and revised() applies edits to it.
 
 Defined results: null or empty text has 0 tokens and the digest of an empty string; strings that look like special tokens
 are ordinary text; repeated rows and null ids are rows of their own; an empty table gives no rows; extra columns are
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import GULP, chunks_of, gulps, remembered, spelled, text_of
 
-#: Chunks and token pairs that a worker remembers; both start anew when full.
-CHUNKS = 200_000
+#: Pieces that a worker remembers (twice: those met since it last filled up, and the filling before), and token pairs.
+PIECES = 250_000
 PAIRS = 400_000
 #: No token yet, and the place before the first token.
 NONE, START = -2, -1
@@ -96,7 +96,8 @@ class Ranks:
         self.split = Splitter()
         self.follows: dict[int, bool] = {}
         self.spines: dict[int, list[int] | None] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[bytes]:
         """The merges themselves, for the bytes of a token or two, down to `until` parts."""
@@ -206,19 +207,29 @@ class Ranks:
         return out[::-1]
 
     def coded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks as bytes; short chunks are remembered."""
-        held, rank, kind = self.chunks, self.rank, self.kind
-        if len(held) + len(chunks) > CHUNKS:
-            held.clear()
-        split = {c: [p.encode() for p in self.split.pattern(c).findall(c)] for c in chunks if c not in held}
-        new = list({p for pieces in split.values() for p in pieces})
-        known = {p: np.array([rank[p]], kind).tobytes() for p in new if p in rank}
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, self.of_pieces(rest)))
-        own = {c: b"".join(map(known.__getitem__, pieces)) for c, pieces in split.items()}
-        out = [own[c] if c in own else held[c] for c in chunks]
-        held.update((c, x) for c, x in own.items() if len(c) <= 64)
-        return out
+        """The ids of chunks as bytes; short pieces are remembered, and those not met for long are forgotten."""
+        rank, kind, recent, before = self.rank, self.kind, self.recent, self.before
+        split = [[p.encode() for p in self.split.pattern(c).findall(c)] for c in chunks]
+        known: dict[bytes, bytes] = {}
+        rest = []
+        for piece in {p for pieces in split for p in pieces}:
+            ids = recent.get(piece)
+            if ids is None:
+                ids = before.get(piece)
+                if ids is None:
+                    if piece not in rank:
+                        rest.append(piece)
+                        continue
+                    ids = np.array([rank[piece]], kind).tobytes()
+                if len(piece) <= 64:
+                    recent[piece] = ids
+            known[piece] = ids
+        new = list(zip(rest, self.of_pieces(rest)))
+        known.update(new)
+        recent.update((p, ids) for p, ids in new if len(p) <= 64)
+        if len(recent) > PIECES:
+            self.before, self.recent = recent, {}
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""

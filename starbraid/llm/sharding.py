@@ -6,8 +6,13 @@ records of moved slots travel. Version 1 deals the slots out in turn; version 2
 bytes are as near equal as moving and swapping slots can make them. Both versions are stored; an edit starts from the
 latest stored version, and records are placed by the version that is read back.
 
-Defined results: null text counts as empty (size 16, CRC of no bytes); records hash by id and text, so rows without an id or with a shared one are spread; rows
-that are equal in every column take neighbouring positions; an empty table gives no rows; extra columns are ignored.
+Records that are equal in id and text are counted before anything is dealt out, and dealt out again by the number of the
+copy: a record hashes by id, text and that number, so a row repeated any number of times, with or without an id, is spread
+over all slots like different rows. A count beyond STEP is written out by several tasks.
+
+Defined results: null text counts as empty (size 16, CRC of no bytes); copies get the numbers 0, 1, ..., so more copies of a
+row leave the slots of the earlier ones as they are; equal rows of a slot take neighbouring positions; texts of any length
+are read once for their size and digests and not carried; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .common import shared_dir, text_of
 SLOTS = 8192
 SHARDS = 40
 OVERHEAD = 16
+#: Copies of a row that one task writes out.
+STEP = 1 << 16
 #: Editing stops when the heaviest and the lightest shard differ by this share of the mean, or no edit helps.
 TOLERANCE = 0.0005
 
@@ -30,16 +37,17 @@ ORACLE_SQL = None  # the map is a balancing search; tests hold the laws of the r
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every row; no shuffle."""
+    """(doc_id, size, text_crc32, virtual_slot) of every row; equal rows meet as counts only."""
     text = F.col("text")
-    # By id and text: a null or repeated id does not gather its rows in one slot.
-    key = F.xxhash64("doc_id", text)
-    return text_of(docs).select(
-        "doc_id",
-        (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    own = text_of(docs).select("doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    counts = own.groupBy("doc_id", "size", "text_crc32", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    step = F.lit(STEP).cast("long")
+    few = counts.where(F.col("copies") <= step).select("*", upto(F.col("copies")).alias("copy"))
+    parts = counts.where(F.col("copies") > step).select("*", upto(F.ceil(F.col("copies") / step)).alias("part")).repartition("doc_id", "text_hash", "part")
+    many = parts.select("*", upto(F.least(step, F.col("copies") - F.col("part") * step)).alias("at")).select(*counts.columns, (F.col("part") * step + F.col("at")).alias("copy"))
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(slots)).cast("int")
+    return few.unionByName(many).select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_weights(sized: DataFrame) -> dict[int, tuple[int, int]]:

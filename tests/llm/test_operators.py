@@ -216,6 +216,26 @@ def test_shards_are_even_and_slots_gapless(spark, small, docs, tmp_path):
         assert all(0 <= s < 40 and sorted(n) == list(range(len(n))) for s, n in own.items())
 
 
+def test_repeated_rows_spread_over_the_shards(spark, docs, tmp_path, monkeypatch):
+    """Thousands of equal rows, with an id and without, and a step small enough that several tasks write them out."""
+    monkeypatch.setattr(sharding, "STEP", 500)
+    copies = spark.range(6000).select(F.when(F.col("id") < 3000, 77).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"))
+    df = docs.select("doc_id", "text").unionByName(copies)
+    rows = sharding.sharded(df, str(tmp_path / "copies")).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == sorted((str(d), len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in texts(df))
+    load, own, slot = {}, {}, {}
+    for r in rows:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+        own.setdefault(r.shard, []).append(r.slot)
+        slot[r.virtual_slot] = slot.get(r.virtual_slot, 0) + 1
+    longest = max(r.size for r in rows)
+    assert max(load.values()) - min(load.values()) <= max(0.02 * sum(load.values()) / 40, longest) and max(slot.values()) < 12
+    assert all(sorted(s) == list(range(len(s))) for s in own.values())
+    # A further copy leaves the others where they are.
+    before = {(r.doc_id, r.text_crc32, r.virtual_slot) for r in sharding.slotted(df).collect()}
+    assert before <= {(r.doc_id, r.text_crc32, r.virtual_slot) for r in sharding.slotted(df.unionByName(copies.limit(1))).collect()}
+
+
 def test_shard_map_is_stored_loaded_and_edited(spark, docs, tmp_path):
     path = str(tmp_path / "map")
     first = sharding.sharded(docs.where("doc_id % 3 > 0"), path, 8, 512).collect()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..sources.io import written
 
 
 def demand_profile(rows: DataFrame, group: str, ts: str, value: str) -> DataFrame:
@@ -30,49 +31,60 @@ def demand_profile(rows: DataFrame, group: str, ts: str, value: str) -> DataFram
 
 
 def corridors(trips: DataFrame, zones: DataFrame, excluded: list[int], k: int = 25) -> DataFrame:
-    """A2: the k most used directed zone pairs (rank <= k, ties kept), labels joined after the ranking."""
+    """A2: the k most used directed zone pairs (rank <= k, ties kept), labels joined after the ranking.
+
+    Pairs are ranked on counts first; only trips of the pairs that are kept are read again, as counts of distinct values,
+    for the exact medians."""
+    pair = ["pickup_zone", "dropoff_zone"]
     eligible = trips.where(~F.col("pickup_zone").isin(excluded) & ~F.col("dropoff_zone").isin(excluded))
-    base = eligible.groupBy("pickup_zone", "dropoff_zone").agg(
-        F.count(F.lit(1)).alias("trip_count"),
-        E.rounded(E.mean("fare")).alias("mean_fare"), E.rounded(F.median("fare")).alias("median_fare"),
-        E.rounded(E.mean("total", 6)).alias("mean_total_amount"), E.rounded(E.mean("distance")).alias("mean_distance"),
-        E.rounded(E.mean("days")).alias("mean_days"), E.rounded(F.median(F.col("days").cast("double"))).alias("median_days"),
-        E.rounded(F.lit(100.0) * E.mean(E.ratio(F.col("tip"), F.col("fare")), 12)).alias("mean_tip_pct_of_fare"),
+    base = eligible.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("trip_count"), E.rounded(E.mean("fare")).alias("mean_fare"), E.rounded(E.mean("total", 6)).alias("mean_total_amount"), E.rounded(E.mean("distance")).alias("mean_distance"),
+        E.rounded(E.mean("days")).alias("mean_days"), E.rounded(F.lit(100.0) * E.mean(E.ratio(F.col("tip"), F.col("fare")), 12)).alias("mean_tip_pct_of_fare"),
     )
     # Mean distance over mean duration of all eligible trips, as published means.
     base = base.withColumn("implied_speed", E.rounded(F.try_divide("mean_distance", "mean_days")))
     shares = base.withColumn("pct_of_eligible_trips", E.percent(F.col("trip_count"), F.sum("trip_count").over(Window.partitionBy())))
-    top = shares.withColumn("corridor_rank", F.rank().over(Window.orderBy(F.desc("trip_count")))).where(F.col("corridor_rank") <= k)
+    # A row a pair of zones.
+    top = written(shares.withColumn("corridor_rank", F.rank().over(Window.orderBy(F.desc("trip_count")))).where(F.col("corridor_rank") <= k))
+    measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("fare", "days")])
+    kept = eligible.join(top.select(*pair), pair, "left_semi").select(*pair, F.inline(measures))
+    counts = written(kept.groupBy(*pair, "measure", "value").agg(F.count(F.lit(1)).alias("n")))
+    q = E.exact_quantiles(counts, [*pair, "measure"], "value", "n", [0.5]).groupBy(*pair).agg(*[E.rounded(F.max(F.when(F.col("measure") == c, F.element_at("q", 1)))).alias(f"median_{c}") for c in ("fare", "days")])
     a, b = zones.alias("a"), zones.alias("b")
     return (
-        top.join(a, F.col("pickup_zone") == F.col("a.zone_key"))
+        top.join(q, pair, "left").join(a, F.col("pickup_zone") == F.col("a.zone_key"))
         .join(b, F.col("dropoff_zone") == F.col("b.zone_key"))
         .select(
             "corridor_rank", F.col("a.zone").alias("pickup_name"), F.col("a.borough").alias("pickup_borough"), F.col("b.zone").alias("dropoff_name"), F.col("b.borough").alias("dropoff_borough"),
-            (F.col("pickup_zone") == F.col("dropoff_zone")).alias("is_intra_zone"), *base.columns[2:], "pct_of_eligible_trips",
+            (F.col("pickup_zone") == F.col("dropoff_zone")).alias("is_intra_zone"), *base.columns[2:], "median_fare", "median_days", "pct_of_eligible_trips",
         )
     )
 
 
 def congestion(trips: DataFrame, zones: DataFrame, ceiling: float) -> DataFrame:
-    """A3: speed by (borough, weekday), (borough, month) and (borough) in one grouping-sets pass.
+    """A3: speed by (borough, weekday), (borough, month) and (borough), all from one table of counts by speed.
 
     All trips count; those without a speed, or with one of 0 or less or above the ceiling, count as excluded and leave the
-    speeds. Quartiles are exact, by counts of distinct speeds: no task holds a borough's speeds."""
-    timed = trips.join(zones, F.col("pickup_zone") == F.col("zone_key"))
+    speeds. Trips are counted by zone, day, month and speed before zones get their borough, once; means, sums and exact
+    quartiles of all three groupings come from those counts, and no task holds a borough's speeds."""
     speed = F.when(F.col("days") > 0, F.col("distance") / F.col("days"))
     fit = F.coalesce((speed > 0) & (speed <= ceiling), F.lit(False))
-    rows = timed.select("borough", E.iso_dow("pickup_ts").alias("dow"), F.month("pickup_ts").alias("month"), *[F.when(fit, c).alias(n) for c, n in ((F.col("distance"), "distance"), (F.col("days"), "days"), (speed, "speed"))])
-    b, d, m = F.col("borough"), F.col("dow"), F.col("month")
+    rows = trips.select("pickup_zone", E.iso_dow("pickup_ts").alias("dow"), F.month("pickup_ts").alias("month"), *[F.when(fit, c).alias(n) for c, n in ((F.col("distance"), "distance"), (F.col("days"), "days"), (speed, "speed"))])
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(E.exact(c, d)).alias(f"{c}_sum") for c, d in (("speed", 8), ("distance", 4), ("days", 4))]]
+    by_zone = rows.groupBy("pickup_zone", "dow", "month", "speed").agg(*sums)
+    again = [F.sum(c).alias(c) for c in ("n", "speed_sum", "distance_sum", "days_sum")]
+    values = written(by_zone.join(zones, F.col("pickup_zone") == F.col("zone_key")).groupBy("borough", "dow", "month", "speed").agg(*again))
+    b, d, m, v = F.col("borough"), F.col("dow"), F.col("month"), F.col("speed")
     level = (F.grouping("dow") * 2 + F.grouping("month")).alias("level")
-    out = rows.groupingSets([[b, d], [b, m], [b]], b, d, m).agg(
-        level, F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("speed").isNull()).alias("excluded_implausible_speed"),
-        E.rounded(E.mean("speed", 8)).alias("mean_speed"), E.rounded(E.mean("distance")).alias("mean_distance"), E.rounded(F.try_divide(E.total("distance"), E.total("days"))).alias("weighted_speed"),
+    fits = F.sum(F.when(v.isNotNull(), F.col("n")))
+    part = lambda c, n: F.try_divide(F.sum(c).cast("double"), n.cast("double"))
+    out = values.groupingSets([[b, d], [b, m], [b]], b, d, m).agg(
+        level, F.sum("n").alias("trip_count"), F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("excluded_implausible_speed"),
+        E.rounded(part("speed_sum", fits)).alias("mean_speed"), E.rounded(part("distance_sum", fits)).alias("mean_distance"), E.rounded(part("distance_sum", F.sum("days_sum"))).alias("weighted_speed"),
     )
-    values = rows.where("speed IS NOT NULL").groupBy("borough", "dow", "month", "speed").agg(F.count(F.lit(1)).alias("n"))
-    values = values.groupingSets([[b, d, F.col("speed")], [b, m, F.col("speed")], [b, F.col("speed")]], b, d, m, F.col("speed")).agg(level, F.sum("n").alias("n"))
     key = ["borough", "dow", "month", "level"]
-    q = E.exact_quantiles(values, key, "speed", "n", [0.25, 0.5, 0.75]).toDF(*[f"{c}_" for c in key], "q")
+    counts = values.where("speed IS NOT NULL").groupingSets([[b, d, v], [b, m, v], [b, v]], b, d, m, v).agg(level, F.sum("n").alias("n"))
+    q = E.exact_quantiles(counts, key, "speed", "n", [0.25, 0.5, 0.75]).toDF(*[f"{c}_" for c in key], "q")
     out = out.join(q, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]), "left")
     name = F.when(F.col("level") == 1, "borough_weekday").when(F.col("level") == 2, "borough_month").otherwise("borough")
     return out.select(
@@ -84,21 +96,27 @@ def congestion(trips: DataFrame, zones: DataFrame, ceiling: float) -> DataFrame:
 def tipping(trips: DataFrame, zones: DataFrame, bounds: list[float], names: list[str], interpretable: list[str], prearranged: list[str]) -> DataFrame:
     """A4: payment x borough x distance band: conditional means, medians of ratios and the ratio of sums.
 
-    The share of the fare is missing where the fare is 0 only; negative fares count. The median is exact, by counts of
-    distinct shares."""
-    rows = trips.join(zones, F.col("pickup_zone") == F.col("zone_key")).withColumn("distance_band", E.banded("distance", bounds, names))
-    tip_pct = E.ratio(F.lit(100.0) * F.col("tip"), F.col("fare"))
-    tipped = F.col("tip") > 0
-    rows, key = rows.withColumns({"tip_pct": tip_pct, "tipped": tipped}), ["payment", "borough", "distance_band"]
-    out = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("fare") == 0).alias("zero_fare_trips"), F.count_if("tipped").alias("trips_with_recorded_tip"),
-        E.rounded(E.mean("fare")).alias("mean_fare"), E.rounded(E.mean("tip", 6)).alias("mean_tip"),
-        E.rounded(E.mean("tip_pct", 8)).alias("mean_tip_pct"), F.count_if(F.col("rate").isin(prearranged)).alias("prearranged_trips"),
-        E.rounded(E.mean(F.when(tipped, F.col("tip_pct")), 8)).alias("mean_tip_pct_given_tipped"),
-        E.rounded(F.try_divide(F.lit(100.0) * E.total("tip", 6), E.total("fare"))).alias("aggregate_tip_pct_of_fare"),
+    The share of the fare is missing where the fare is 0 only; negative fares count. All columns, the exact median
+    included, come from one table of counts by distinct share."""
+    key, tipped = ["payment", "borough", "distance_band"], F.col("tip") > 0
+    rows = trips.withColumns({"distance_band": E.banded("distance", bounds, names), "tip_pct": E.ratio(F.lit(100.0) * F.col("tip"), F.col("fare")), "tipped": F.coalesce(tipped, F.lit(False))})
+    sums = [
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("fare") == 0).alias("zero_fare_trips"), F.count_if(F.col("rate").isin(prearranged)).alias("prearranged_trips"), F.count("fare").alias("fares"), F.count("tip").alias("tips"),
+        F.sum(E.exact("fare")).alias("fare_sum"), F.sum(E.exact("tip", 6)).alias("tip_sum"), F.sum(E.exact("tip_pct", 8)).alias("pct_sum"),
+    ]
+    by_zone = rows.groupBy("payment", "pickup_zone", "distance_band", "tipped", "tip_pct").agg(*sums)
+    measures = by_zone.columns[5:]
+    values = written(by_zone.join(zones, F.col("pickup_zone") == F.col("zone_key")).groupBy(*key, "tipped", "tip_pct").agg(*[F.sum(c).alias(c) for c in measures]))
+    shares = F.when(F.col("tip_pct").isNotNull(), F.col("n"))
+    total = lambda c: F.sum(c).cast("double")
+    out = values.groupBy(*key).agg(
+        F.sum("n").alias("trip_count"), F.sum("zero_fare_trips").alias("zero_fare_trips"), F.coalesce(F.sum(F.when(F.col("tipped"), F.col("n"))), F.lit(0)).alias("trips_with_recorded_tip"),
+        E.rounded(F.try_divide(total("fare_sum"), total("fares"))).alias("mean_fare"), E.rounded(F.try_divide(total("tip_sum"), total("tips"))).alias("mean_tip"), E.rounded(F.try_divide(total("pct_sum"), total(shares))).alias("mean_tip_pct"),
+        F.sum("prearranged_trips").alias("prearranged_trips"), E.rounded(F.try_divide(total(F.when(F.col("tipped"), F.col("pct_sum"))), total(F.when(F.col("tipped"), shares)))).alias("mean_tip_pct_given_tipped"),
+        E.rounded(F.try_divide(F.lit(100.0) * total("tip_sum"), total("fare_sum"))).alias("aggregate_tip_pct_of_fare"),
     )
-    values = rows.groupBy(*key, "tip_pct").agg(F.count(F.lit(1)).alias("n"))
-    median = E.exact_quantiles(values, key, "tip_pct", "n", [0.5]).select(*[F.col(c).alias(f"{c}_") for c in key], E.rounded(F.element_at("q", 1)).alias("median_tip_pct"))
+    counts = values.groupBy(*key, "tip_pct").agg(F.sum("n").alias("n"))
+    median = E.exact_quantiles(counts, key, "tip_pct", "n", [0.5]).select(*[F.col(c).alias(f"{c}_") for c in key], E.rounded(F.element_at("q", 1)).alias("median_tip_pct"))
     out = out.join(median, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]), "left").drop(*[f"{c}_" for c in key])
     order = reduce(lambda c, i: c.when(F.col("distance_band") == names[i], i + 1), range(len(names)), F.when(F.lit(False), 0))
     return out.withColumns({"is_interpretable": F.col("payment").isin(interpretable), "distance_band_order": order, "pct_trips_with_recorded_tip": E.percent(F.col("trips_with_recorded_tip"), F.col("trip_count"))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back, for a table that several parts of a plan read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, length) of all files with content under the paths, from the listing; contents stay unread."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")

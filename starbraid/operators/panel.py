@@ -77,9 +77,11 @@ def structural_break(prices: DataFrame, market: str, parent: str, cell: list[str
     linked = placed.where("break_level IS NOT NULL AND chain_segment = break_segment")
     label = lambda c: F.format_string("%04d-%02d", F.floor((c - 1) / 12).cast("int"), ((c - 1) % 12 + 1).cast("int"))
     index = linked.select("t", label(F.col("m")).alias("year_month"), "markets_reporting", "matched_cells", "cells_reporting", E.rounded(F.lit(100.0) * F.exp(F.col("level") - F.col("break_level"))).alias("staple_index"), F.when(F.col("t") <= 0, "pre").otherwise("post").alias("segment"))
-    lines = index.groupBy("segment").agg(
-        F.regr_slope("staple_index", "t").alias("slope"), F.regr_intercept("staple_index", "t").alias("intercept"), F.regr_r2("staple_index", "t").alias("r2"), F.count(F.lit(1)).alias("n"), F.min("year_month").alias("first"), F.max("year_month").alias("last"),
-    )
+    y, t, n = E.exact("staple_index", 6), F.col("t"), F.count(F.lit(1)).cast("double")
+    s = {"t": F.sum("t"), "tt": F.sum(t * t), "y": F.sum(y), "ty": F.sum(y * t), "yy": F.sum(y * y)}
+    moments = index.groupBy("segment").agg(n.alias("n_"), *[c.cast("double").alias(k) for k, c in s.items()], F.count(F.lit(1)).alias("n"), F.min("year_month").alias("first"), F.max("year_month").alias("last"))
+    xy, xx, vy = F.expr("n_ * ty - t * y"), F.expr("n_ * tt - t * t"), F.expr("n_ * yy - y * y")
+    lines = moments.withColumn("slope", F.try_divide(xy, xx)).select("segment", "n", "first", "last", "slope", ((F.col("y") - F.col("slope") * F.col("t")) / F.col("n_")).alias("intercept"), F.try_divide(xy * xy, xx * vy).alias("r2"))
     log_price = F.ln("price")
     sides = panel.groupBy(market, *cell).agg(E.mean(F.when(F.col("t") <= 0, log_price), LOG).alias("pre"), E.mean(F.when(F.col("t") > 0, log_price), LOG).alias("post")).withColumn("change", E.rounded(F.col("post") - F.col("pre"), 9))
     grown = lambda c: E.rounded(F.lit(100.0) * (F.exp(c) - 1), 4)

@@ -48,7 +48,8 @@ chained AS (SELECT *, sum((matched_cells < 3)::INT) OVER (ORDER BY m {RUN}) AS s
 lev AS (SELECT *, CAST(sum(CAST(CASE WHEN matched_cells < 3 THEN 0 ELSE link END AS DECIMAL(18,12))) OVER (PARTITION BY seg ORDER BY m {RUN}) AS DOUBLE) AS lv FROM chained),
 anch AS (SELECT *, m - {BREAK} AS t, max(CASE WHEN m = {BREAK} THEN lv END) OVER () AS blv, max(CASE WHEN m = {BREAK} THEN seg END) OVER () AS bseg FROM lev),
 wnd AS (SELECT {LABEL.format('m')} AS year_month, t, matched_cells, cells_reporting, markets_reporting, round(100.0::DOUBLE * exp(lv - blv), 6) AS ix, CASE WHEN t <= 0 THEN 'pre' ELSE 'post' END AS segment FROM anch WHERE blv IS NOT NULL AND seg = bseg),
-fit AS (SELECT segment, regr_slope(ix, t) AS slope, regr_intercept(ix, t) AS icpt, regr_r2(ix, t) AS r2, count(*) AS n, min(year_month) AS fm, max(year_month) AS lm FROM wnd GROUP BY segment),
+mo AS (SELECT segment, count(*) AS n, min(year_month) AS fm, max(year_month) AS lm, count(*)::DOUBLE AS k, sum(t)::DOUBLE AS st, sum(t * t)::DOUBLE AS tt, CAST(sum(CAST(ix AS DECIMAL(18,6))) AS DOUBLE) AS sy, CAST(sum(CAST(ix AS DECIMAL(18,6)) * t) AS DOUBLE) AS ty, CAST(sum(CAST(ix AS DECIMAL(18,6)) * CAST(ix AS DECIMAL(18,6))) AS DOUBLE) AS yy FROM wnd GROUP BY segment),
+f0 AS (SELECT *, (k * ty - st * sy) / (k * tt - st * st) AS slope, (k * ty - st * sy) * (k * ty - st * sy) / nullif((k * tt - st * st) * (k * yy - sy * sy), 0) AS r2 FROM mo), fit AS (SELECT *, (sy - slope * st) / k AS icpt FROM f0),
 k AS (SELECT max(slope) FILTER (segment = 'post') - max(slope) FILTER (segment = 'pre') AS sc, max(icpt) FILTER (segment = 'post') - max(icpt) FILTER (segment = 'pre') AS ls FROM fit)
 SELECT year_month, t AS months_since_break, segment, markets_reporting, matched_cells, cells_reporting, round(ix, 4) AS staple_index, round(slope, 6) AS segment_slope_per_month, round(icpt, 6) AS segment_fitted_at_break, round(r2, 6) AS segment_r2, n AS segment_n_months, fm AS segment_first_month, lm AS segment_last_month,
   round(icpt + slope * t, 6) AS fitted_index, round(sc, 6) AS slope_change_per_month, round(ls, 6) AS level_shift_at_break, lvl AS within_cell_level_change_pct, p25 AS within_cell_change_p25_pct, p75 AS within_cell_change_p75_pct, cells_on_both_sides, summary.*,

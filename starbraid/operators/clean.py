@@ -112,7 +112,10 @@ def reconciliation(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def external_check(series: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:
-    """Assembled value by month against a published one. targets: (month_key, published), a handful of rows."""
+    """Assembled value by month against a published one, with the tolerance and how many units report.
+
+    series: (month_key, assembled, reporting_states); targets: (month_key, published), a handful of rows. A month that is
+    not assembled is outside the tolerance and has 0 units."""
     both = targets.join(series, "month_key", "left")
-    delta = E.rounded(F.col("assembled") - F.col("published"))
-    return both.select("month_key", "published", "assembled", delta.alias("delta"), F.coalesce(F.abs(delta) <= tolerance, F.lit(False)).alias("within_tolerance"))
+    delta = E.rounded(F.col("assembled") - F.col("published"), 4)
+    return both.select("month_key", "published", "assembled", delta.alias("delta"), F.lit(float(tolerance)).alias("tolerance"), F.coalesce(F.abs(delta) <= tolerance, F.lit(False)).alias("within_tolerance"), F.coalesce("reporting_states", F.lit(0)).alias("reporting_states"))

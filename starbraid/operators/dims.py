@@ -132,9 +132,13 @@ def market_fact(prices: DataFrame, geography: DataFrame, commodities: DataFrame)
 
 
 def daily_aggregate(fact: DataFrame) -> DataFrame:
-    """Date x zone x mode: count, sums, mean and exact median."""
+    """Date x zone x mode: count, sums, and, for reading only (means don't add up), means and the exact median.
+
+    fact: (date_key, pickup_zone, mode_key, distance, total, fare, seconds, speed)."""
+    r = E.rounded
     return fact.groupBy("date_key", "pickup_zone", "mode_key").agg(
-        F.count(F.lit(1)).alias("trip_count"), E.total("fare").alias("total_fare"), F.sum(E.exact("total", 6)).cast("double").alias("total_revenue"), E.rounded(E.mean("distance")).alias("mean_distance"), E.rounded(F.median("fare")).alias("median_fare"),
+        F.count(F.lit(1)).alias("trip_count"), r(E.total("distance"), 4).alias("total_distance"), r(E.total("total", 6), 4).alias("total_revenue"), r(E.mean("fare"), 4).alias("avg_fare"), r(F.median("fare"), 4).alias("median_fare"),
+        r(E.mean("seconds"), 2).alias("avg_duration_seconds"), r(E.mean("speed", 8), 4).alias("avg_speed"),
     )
 
 

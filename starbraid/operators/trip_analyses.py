@@ -14,20 +14,26 @@ from ..functions import exprs as E
 from ..sources.io import written
 
 
-def demand_profile(rows: DataFrame, group: str, ts: str, value: str) -> DataFrame:
-    """A1: group x ISO weekday x hour: count, mean, shares of the group and of all, rank of the hour in its day."""
-    base = rows.groupBy(group, E.iso_dow(ts).alias("day_of_week"), F.hour(ts).alias("pickup_hour")).agg(
-        F.count(F.lit(1)).alias("trip_count"), E.rounded(E.mean(value)).alias("mean_value")
-    )
-    in_group, in_day = Window.partitionBy(group), Window.partitionBy(group, "day_of_week")
-    # Windows over the aggregate: at most groups x 168 rows.
-    return base.select(
-        group, "day_of_week", F.element_at(F.lit(["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]), F.col("day_of_week")).alias("day_name"),
-        "pickup_hour", "trip_count", "mean_value",
-        E.percent(F.col("trip_count"), F.sum("trip_count").over(in_group)).alias("pct_of_group_trips"),
-        E.percent(F.col("trip_count"), F.sum("trip_count").over(Window.partitionBy())).alias("pct_of_all_trips"),
-        F.rank().over(in_day.orderBy(F.desc("trip_count"))).alias("hour_rank_in_day"),
+def demand_profile(rows: DataFrame, zones: DataFrame, dates: DataFrame, measures: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """A1: borough x ISO weekday x hour: count, means, shares of the borough and of all, rank of the hour in its day.
+
+    rows: (pickup_zone, date_key, pickup_hour, measures). measures: name -> (column, divisor of the mean, digits). Rows are
+    added up on their integer keys first; zones and dates meet those sums, names come last. Rows whose zone or date is in
+    no dimension are left out; a zone without a borough is Unattributed."""
+    by_key = rows.groupBy("pickup_zone", "date_key", "pickup_hour").agg(
+        F.count(F.lit(1)).alias("n"), *[x for name, (c, _, _) in measures.items() for x in (F.sum(E.exact(c)).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n"))],
     )
+    of_zone = zones.select(F.col("zone_key").alias("pickup_zone"), F.coalesce("borough", F.lit("Unattributed")).alias("borough"))
+    both = by_key.join(of_zone, "pickup_zone").join(dates.select("date_key", "day_of_week"), "date_key")
+    mean = lambda name, by, digits: E.rounded(F.try_divide(F.sum(f"{name}_sum").cast("double"), F.sum(f"{name}_n").cast("double")) / F.lit(by), digits)
+    base = both.groupBy("borough", "day_of_week", "pickup_hour").agg(F.sum("n").alias("trip_count"), *[mean(name, by, digits).alias(name) for name, (_, by, digits) in measures.items()])
+    in_borough, in_day = Window.partitionBy("borough"), Window.partitionBy("borough", "day_of_week")
+    # Windows over the aggregate: at most boroughs x 168 rows.
+    out = base.withColumns({
+        "pct_of_borough_trips": E.percent(F.col("trip_count"), F.sum("trip_count").over(in_borough)), "pct_of_all_trips": E.percent(F.col("trip_count"), F.sum("trip_count").over(Window.partitionBy())),
+        "hour_rank_in_day": F.rank().over(in_day.orderBy(F.desc("trip_count"))),
+    })
+    return out.join(F.broadcast(dates.where("date_key > 0").select("day_of_week", "day_name").distinct()), "day_of_week")  # 7 names
 
 
 def corridors(trips: DataFrame, zones: DataFrame, excluded: list[int], k: int = 25) -> DataFrame:
@@ -140,18 +146,20 @@ def concentration(trips: DataFrame, zones: DataFrame, share: float = 80.0) -> Da
     return ranked.join(zones, F.col("pickup_zone") == F.col("zone_key")).drop("zone_key", "pickup_zone")
 
 
-def grain(facts: dict[str, tuple[DataFrame, str, str | None, str | None]], sizes: DataFrame | None = None) -> DataFrame:
-    """A10: per fact (date column, geography column or None, other key or None) rows and distinct members, relative to
-    the coarsest fact. Facts that are absent (None) are left out. sizes: the inventory (relation, bytes), whose bytes
-    and bytes a row are joined on."""
+def grain(facts: dict[str, dict], sizes: DataFrame | None = None) -> DataFrame:
+    """A10: per fact its grain and context, rows, distinct members of each kind of dimension, how many foreign keys and
+    measures it has, and rows relative to the coarsest fact.
+
+    facts: name -> rows (None where the fact is absent: it is left out), date, and, where there are any, geo, mode, other
+    (columns), grain, context (texts), keys, measures (lists of columns). sizes: the inventory (relation, bytes)."""
     none = F.lit(None).cast("long")
+    members = ("date", "geo", "mode", "other")
     parts = [
-        df.agg(
-            F.count(F.lit(1)).alias("row_count"), F.count_distinct(F.col(date)).alias("distinct_date_members"),
-            (F.count_distinct(F.col(geo)) if geo else none).alias("distinct_geo_members"), (F.count_distinct(F.col(other)) if other else none).alias("distinct_other_members"),
-        ).select(F.lit(name).alias("fact_table"), "*")
-        for name, (df, date, geo, other) in facts.items()
-        if df is not None
+        f["rows"].agg(F.count(F.lit(1)).alias("row_count"), *[(F.count_distinct(F.col(f[m])) if f.get(m) else none).alias(f"distinct_{m}_members") for m in members]).select(
+            F.lit(name).alias("fact_table"), F.lit(f.get("grain")).alias("grain_statement"), F.lit(f.get("context")).alias("context"), "*", F.lit(len(f.get("keys", []))).alias("foreign_key_count"), F.lit(len(f.get("measures", []))).alias("measure_count")
+        )
+        for name, f in facts.items()
+        if f["rows"] is not None
     ]
     out = reduce(DataFrame.unionByName, parts)
     if sizes is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import trip_analyses as A
+from ..operators.dims import calendar
 from ..sources.io import inventory
 from .registry import query
 from .tables import TRIPS_SQL, market_prices, price_panel, table, trips, zones, MARKET_SQL, PANEL_SQL
@@ -21,15 +22,30 @@ def tot(c: str, scale: int = 4) -> str:
     return f"CAST(sum(CAST({c} AS DECIMAL(18,{scale}))) AS DOUBLE)"
 
 
+RIDES = "WITH e AS (SELECT user_id % 27 AS pickup_zone, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, CAST(hour(ts) AS INTEGER) AS pickup_hour, value AS total, CAST(user_id % 50 AS DOUBLE) AS distance, CASE WHEN event_id % 11 > 0 THEN CAST(event_id % 3600 AS DOUBLE) END AS seconds FROM events)"
+
+
+def rides(spark, sf):
+    """Events as rides with integer keys; some zones are in no dimension, some rides have no duration."""
+    c = F.col
+    return table(spark, sf, "events").select(
+        (c("user_id") % 27).alias("pickup_zone"), E.date_key("ts").alias("date_key"), F.hour("ts").alias("pickup_hour"), c("value").alias("total"), (c("user_id") % 50).cast("double").alias("distance"),
+        F.when(c("event_id") % 11 > 0, (c("event_id") % 3600).cast("double")).alias("seconds"),
+    )
+
+
 @query("a1_demand_profile", f"""
-WITH b AS (SELECT event_type, CAST(isodow(ts) AS INTEGER) AS day_of_week, CAST(hour(ts) AS INTEGER) AS pickup_hour, count(*) AS trip_count,
-  round({mean('value')}, 6) AS mean_value FROM events GROUP BY ALL)
-SELECT event_type, day_of_week, dayname(DATE '2024-01-01' + CAST(day_of_week - 1 AS INTEGER)) AS day_name, pickup_hour, trip_count, mean_value,
-  round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (PARTITION BY event_type), 6) AS pct_of_group_trips,
-  round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (), 6) AS pct_of_all_trips,
-  CAST(rank() OVER (PARTITION BY event_type, day_of_week ORDER BY trip_count DESC) AS INTEGER) AS hour_rank_in_day FROM b""")
+{RIDES}, z AS (SELECT n_nationkey AS zone_key, coalesce(CASE WHEN n_nationkey <> 24 THEN r_name END, 'Unattributed') AS borough FROM nation JOIN region ON n_regionkey = r_regionkey),
+d AS (SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) AS date_key, CAST(isodow(x) AS INTEGER) AS day_of_week FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY)) AS x) WHERE x <> TIMESTAMP '2024-01-05'),
+b AS (SELECT borough, day_of_week, pickup_hour, count(*) AS trip_count, round({mean('total')}, 4) AS avg_total_amount, round({mean('distance')}, 4) AS avg_distance, round({mean('seconds')} / 60.0::DOUBLE, 3) AS avg_duration_minutes FROM e JOIN z ON zone_key = pickup_zone JOIN d USING (date_key) GROUP BY ALL)
+SELECT borough, day_of_week, dayname(DATE '2024-01-01' + CAST(day_of_week - 1 AS INTEGER)) AS day_name, pickup_hour, trip_count, avg_total_amount, avg_distance, avg_duration_minutes,
+  round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (PARTITION BY borough), 6) AS pct_of_borough_trips, round(100.0::DOUBLE * trip_count / sum(trip_count) OVER (), 6) AS pct_of_all_trips,
+  CAST(rank() OVER (PARTITION BY borough, day_of_week ORDER BY trip_count DESC) AS INTEGER) AS hour_rank_in_day FROM b""")
 def a1(spark, sf):
-    return A.demand_profile(table(spark, sf, "events"), "event_type", "ts", "value")
+    """A calendar of one year without one of its days, and a zone without a borough."""
+    zone = zones(spark, sf).withColumn("borough", F.when(F.col("zone_key") != 24, F.col("borough")))
+    dates = calendar(spark, "2024-01-01", "2024-12-31").where("date_key <> 20240105")
+    return A.demand_profile(rides(spark, sf), zone, dates, {"avg_total_amount": ("total", 1.0, 4), "avg_distance": ("distance", 1.0, 4), "avg_duration_minutes": ("seconds", 60.0, 3)})
 
 
 @query("a2_od_corridors", f"""
@@ -84,28 +100,32 @@ def a5(spark, sf):
 
 @query("a10_grain_comparison", f"""
 WITH {MARKET_SQL}, panel AS (SELECT DISTINCT state, month_key FROM market),
-g AS (SELECT 'line items' AS fact_table, count(*) AS row_count, count(DISTINCT CAST(l_shipdate AS DATE)) AS distinct_date_members, count(DISTINCT l_suppkey) AS distinct_geo_members, count(DISTINCT l_partkey) AS distinct_other_members FROM lineitem
-UNION ALL SELECT 'orders', count(*), count(DISTINCT CAST(o_orderdate AS DATE)), count(DISTINCT o_custkey), count(DISTINCT o_orderpriority) FROM orders
-UNION ALL SELECT 'market prices', count(*), count(DISTINCT month_key), count(DISTINCT state), count(DISTINCT commodity) FROM market
-UNION ALL SELECT 'price panel', count(*), count(DISTINCT month_key), count(DISTINCT state), NULL FROM panel)
+g AS (SELECT 'line items' AS fact_table, 'one row per order line' AS grain_statement, 'shipping' AS context, count(*) AS row_count, count(DISTINCT CAST(l_shipdate AS DATE)) AS distinct_date_members, count(DISTINCT l_suppkey) AS distinct_geo_members, count(DISTINCT l_returnflag) AS distinct_mode_members, count(DISTINCT l_partkey) AS distinct_other_members, 3 AS foreign_key_count, 4 AS measure_count FROM lineitem
+UNION ALL SELECT 'orders', 'one row per order', 'shipping', count(*), count(DISTINCT CAST(o_orderdate AS DATE)), count(DISTINCT o_custkey), count(DISTINCT o_orderpriority), NULL, 1, 1 FROM orders
+UNION ALL SELECT 'market prices', 'one row per state, brand and month', 'prices', count(*), count(DISTINCT month_key), count(DISTINCT state), NULL, count(DISTINCT commodity), 3, 2 FROM market
+UNION ALL SELECT 'price panel', 'one row per state and month', 'prices', count(*), count(DISTINCT month_key), count(DISTINCT state), NULL, NULL, 2, 1 FROM panel)
 SELECT *, round(CAST(row_count AS DOUBLE) / min(row_count) OVER (), 6) AS rows_vs_coarsest_fact FROM g""")
 def a10(spark, sf):
-    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return A.grain({
-        "line items": (line.withColumn("d", F.to_date("l_shipdate")), "d", "l_suppkey", "l_partkey"),
-        "orders": (orders.withColumn("d", F.to_date("o_orderdate")), "d", "o_custkey", "o_orderpriority"),
-        "market prices": (market_prices(spark, sf), "month_key", "state", "commodity"),
-        "price panel": (price_panel(spark, sf), "month_key", "state", None),
-        "weather": (None, "", None, None),
-    })
+    facts = stored_facts(spark, sf)
+    facts["market prices"] = {"rows": market_prices(spark, sf), "date": "month_key", "geo": "state", "other": "commodity", "grain": "one row per state, brand and month", "context": "prices", "keys": ["month_key", "state", "commodity"], "measures": ["price", "n"]}
+    facts["price panel"] = {"rows": price_panel(spark, sf), "date": "month_key", "geo": "state", "grain": "one row per state and month", "context": "prices", "keys": ["month_key", "state"], "measures": ["price"]}
+    facts["weather"] = {"rows": None}
+    return A.grain(facts)
+
+
+def stored_facts(spark, sf):
+    day = lambda t, c: table(spark, sf, t).withColumn("d", F.to_date(c))
+    return {
+        "line items": {"rows": day("lineitem", "l_shipdate"), "date": "d", "geo": "l_suppkey", "mode": "l_returnflag", "other": "l_partkey", "grain": "one row per order line", "context": "shipping", "keys": ["l_orderkey", "l_partkey", "l_suppkey"], "measures": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]},
+        "orders": {"rows": day("orders", "o_orderdate"), "date": "d", "geo": "o_custkey", "mode": "o_orderpriority", "grain": "one row per order", "context": "shipping", "keys": ["o_custkey"], "measures": ["o_totalprice"]},
+    }
 
 
 @query("a10c_grain_bytes")
 def a10c(spark, sf):
     """The comparison with bytes and bytes a row of the stored facts; sizes come from the file listing."""
-    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    facts = {"lineitem": (line.withColumn("d", F.to_date("l_shipdate")), "d", "l_suppkey", "l_partkey"), "orders": (orders.withColumn("d", F.to_date("o_orderdate")), "d", "o_custkey", "o_orderpriority")}
-    return A.grain(facts, inventory(spark, {t: f"{sf}/{t}.parquet" for t in facts}))
+    facts = stored_facts(spark, sf)
+    return A.grain(facts, inventory(spark, {name: f"{sf}/{t}.parquet" for name, t in (("line items", "lineitem"), ("orders", "orders"))}))
 
 
 @query("a10b_national_month", f"""

@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import exprs as E
 
@@ -101,52 +100,44 @@ def moments(stats: DataFrame) -> DataFrame:
     return robust.select(E.rounded(mean, 4).alias("mean_diff"), E.rounded(low, 4).alias("iid_low"), E.rounded(high, 4).alias("iid_high"), E.rounded(cse / se, 3).alias("se_ratio"), changed.alias("conclusion_changed"))
 
 
-def t_tail(t: float, df: float) -> float:
-    """Two-sided Student-t tail by the continued fraction of the incomplete beta function."""
-    if df <= 0 or t != t:
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300)))
-    swap = x > (a + 1) / (a + b + 2)
-    a, b, x = (b, a, 1 - x) if swap else (a, b, x)
-    tiny, c = 1e-300, 1.0
-    d = 1 / max(abs(1 - (a + b) * x / (a + 1)), tiny)
-    out = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + num * d, 1 + num / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    part = front * out / a
-    return 1 - part if swap else part
-
-
-@F.pandas_udf(DoubleType())
-def t_p_value(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """On summary rows only: a tail probability that SQL lacks."""
-    for t, df in parts:
-        yield pd.Series([float("nan") if a is None or b is None else t_tail(float(a), float(b)) for a, b in zip(t, df)])
-
-
-def diebold_mariano(diffs: DataFrame, by: list[str]) -> DataFrame:
-    """Lag-0 statistic of the loss differences with degrees of freedom and p-value."""
-    n = F.count("d").cast("double")
-    s, q = F.sum(E.exact("d", 6)).cast("double"), F.sum(E.exact(F.col("d") * F.col("d"), 6)).cast("double")
-    out = diffs.groupBy(*by).agg(n.alias("n"), (s / n).alias("m"), ((q - s * s / n) / (n - 1)).alias("v"))
-    t = F.try_divide(F.col("m"), F.sqrt(F.col("v") / F.col("n")))
-    return out.select(*by, F.col("n").cast("long").alias("n"), E.rounded(F.col("m"), 4).alias("mean_diff"), E.rounded(t, 4).alias("dm"), (F.col("n") - 1).cast("long").alias("df"), E.rounded(t_p_value(t, F.col("n") - 1), 4).alias("p_value"))
-
+def diebold_mariano(diffs: DataFrame, by: list[str], level: float = 0.05) -> DataFrame:
+    """Lag-0 statistic of the loss differences of each group, with its tail probability and whether it is significant.
 
-def cluster_diebold_mariano(diffs: DataFrame, by: list[str], cluster: str) -> DataFrame:
-    """The statistic with a cluster-robust variance, g - 1 degrees of freedom."""
-    cells = clusters(diffs, [*by, cluster])
-    whole = Window.partitionBy(*by)
-    resid = F.col("s") - F.col("n") * F.sum("s").over(whole) / F.sum("n").over(whole)
-    out = cells.withColumn("r2", resid * resid).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("g"), F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"), F.sum("r2").alias("r2"))
-    t = (F.col("s") / F.col("n")) / (F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("r2")) / F.col("n"))
-    return out.select(*by, F.lit(cluster).alias("cluster"), F.col("g").cast("long").alias("n_clusters"), E.rounded(t, 3).alias("dm"), (F.col("g") - 1).cast("long").alias("df"))
+    Differences without any spread have no statistic and are not significant."""
+    n = F.count("d").cast("double")
+    s, q = F.sum(E.exact("d", 6)).cast("double"), F.sum(E.exact("d", 6) * E.exact("d", 6)).cast("double")
+    out = diffs.groupBy(*by).agg(n.alias("n"), (s / n).alias("m"), F.when(n > 1, (q - s * s / n) / (n - 1)).alias("v"))
+    t = F.when(F.col("v") > 0, F.col("m") / F.sqrt(F.col("v") / F.col("n")))
+    p = E.rounded(E.t_tail(F.col("t"), F.col("n") - 1))
+    return out.withColumn("t", t).select(
+        *by, F.col("n").cast("long").alias("n"), E.rounded(F.col("m"), 4).alias("mean_diff"), E.rounded(F.col("t"), 4).alias("dm"), (F.col("n") - 1).cast("long").alias("df"), p.alias("p_value"),
+        (F.col("m") < 0).alias("beats_reference"), F.coalesce(p < level, F.lit(False)).alias("is_significant"),
+    )
+
+
+def dm_summary(tests: DataFrame, by: list[str]) -> DataFrame:
+    """Per-seed tests of a group in one row: mean and spread of the statistics, mean p and how many seeds say what."""
+    n, s, q = F.count("dm").cast("double"), F.sum(E.exact("dm")).cast("double"), F.sum(E.exact("dm") * E.exact("dm")).cast("double")
+    return tests.groupBy(*by).agg(
+        F.min("n").alias("n_per_seed"), F.count(F.lit(1)).alias("n_seeds"), E.rounded(E.mean("dm"), 4).alias("mean_dm"), E.rounded(F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))), 4).alias("sd_dm"),
+        E.rounded(E.mean("p_value", 6)).alias("mean_p_value"), F.count_if("beats_reference").alias("n_seeds_beating"), F.count_if("is_significant").alias("n_seeds_significant"),
+    )
+
+
+def cluster_diebold_mariano(diffs: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """One row a group: the lag-0 statistic beside one for each kind of cluster, whose variance adds up residuals of a
+    cluster before squaring; g - 1 degrees of freedom, tail probabilities. All kinds come from one pass over cluster sums."""
+    base = diebold_mariano(diffs, by).select(*by, F.col("n").alias("n_observations"), F.col("mean_diff").alias("mean_loss_diff"), F.col("dm").alias("dm_lag0_stat"), F.col("df").alias("dm_lag0_df"), F.col("p_value").alias("dm_lag0_p"))
+    long = diffs.select(*by, "d", F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("member")) for c in names])))
+    cells, whole = clusters(long, [*by, "kind", "member"]), Window.partitionBy(*by, "kind")
+    resid = F.col("s") - F.col("n") * F.sum(E.exact("s", 6)).over(whole).cast("double") / F.sum("n").over(whole)
+    g, n = F.col("g"), F.col("n")
+    one = cells.withColumn("r2", E.rounded(resid * resid)).groupBy(*by, "kind").agg(F.count(F.lit(1)).cast("double").alias("g"), F.sum("n").cast("double").alias("n"), F.sum(E.exact("s", 6)).cast("double").alias("s"), F.sum(F.col("r2").cast("decimal(30,6)")).cast("double").alias("r2"))
+    t = F.when((g > 1) & (F.col("r2") > 0), (F.col("s") / n) / (F.sqrt(g / (g - 1) * F.col("r2")) / n))
+    one = one.withColumn("t", t).withColumn("p", E.t_tail(F.col("t"), g - 1))
+    pick = lambda k, c: F.max(F.when(F.col("kind") == k, c))
+    wide = one.groupBy(*by).agg(*[x for k in names for x in (E.rounded(pick(k, F.col("t")), 3).alias(f"dm_{k}_cluster_stat"), pick(k, (g - 1).cast("long")).alias(f"dm_{k}_cluster_df"), E.rounded(pick(k, F.col("p"))).alias(f"dm_{k}_cluster_p"), pick(k, g.cast("long")).alias(f"n_{k}_clusters"))])
+    return base.join(wide, by)
 
 
 def errors_by(errors: DataFrame, unit: str, rungs: list[str], reference: str) -> DataFrame:
@@ -169,12 +160,55 @@ def ranges(rows: DataFrame, by: str, y: str, prediction: str) -> DataFrame:
     return rows.groupBy(by).agg(F.min(y).alias("y_min"), F.max(y).alias("y_max"), F.min(prediction).alias("prediction_min"), F.max(prediction).alias("prediction_max"), E.rounded(E.mean(y)).alias("y_mean"), E.rounded(E.mean(prediction, 6)).alias("prediction_mean"), (F.max(prediction) < F.max(y)).alias("undershoots"))
 
 
+def pooled_ceilings(predictions: DataFrame, train: DataFrame, test: DataFrame, by: str, seed: str, y: str, prediction: str) -> DataFrame:
+    """Per variant the extremes of all seeds' predictions against the target's range in training and test, how many
+    test targets lie above all predictions, and each seed's own extremes."""
+    own = predictions.groupBy(by, seed).agg(F.min(prediction).alias("lo"), F.max(prediction).alias("hi"))
+    span = F.format_string("seed%s:[%.2f,%.2f]", F.col(seed).cast("string"), E.rounded(F.col("lo"), 2), E.rounded(F.col("hi"), 2))
+    pooled = own.groupBy(by).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seed, span.alias("s")))), lambda x: x["s"]), ";").alias("per_seed_pred_min_max"))
+    edges = train.agg(F.min(y).alias("train_lo"), F.max(y).alias("train_hi")).crossJoin(test.agg(F.min(y).alias("test_lo"), F.max(y).alias("test_hi"), F.count(F.lit(1)).alias("n_test_rows")))  # one row each
+    # A row a variant meets the test rows: counts of targets above each ceiling in one pass.
+    above = test.select(y).crossJoin(F.broadcast(pooled.select(by, "hi"))).groupBy(by).agg(F.count_if(F.col(y) > F.col("hi")).alias("above"))
+    r, c = E.rounded, F.col
+    return pooled.join(above, by).crossJoin(F.broadcast(edges)).select(
+        by, "n_seeds", "n_test_rows", r(c("lo"), 4).alias("pooled_pred_min"), r(c("hi"), 4).alias("pooled_pred_max"), r(c("train_lo"), 4).alias("train_target_min"), r(c("train_hi"), 4).alias("train_target_max"), r(c("test_lo"), 4).alias("test_target_min"), r(c("test_hi"), 4).alias("test_target_max"),
+        r(c("train_hi") - c("hi"), 4).alias("pred_max_below_train_max_by"), r(c("test_hi") - c("hi"), 4).alias("pred_max_below_test_max_by"), c("above").alias("n_test_actuals_above_pooled_pred_max"), E.percent(c("above"), c("n_test_rows"), 4).alias("pct_test_actuals_above_pooled_pred_max"),
+        r(F.when(c("above") > 0, c("test_hi") - c("hi")).otherwise(0.0), 4).alias("max_actual_missed_by"), "per_seed_pred_min_max",
+    )
+
+
+def monthly_means(predictions: DataFrame, month: str, by: str, names: list[str], y: str, prediction: str, unit: str) -> DataFrame:
+    """Mean target of a month beside the mean prediction of each variant, wide, with how many units it rests on."""
+    wide = predictions.groupBy(month).pivot(by, names).agg(E.rounded(E.mean(prediction, 6)))
+    actual = predictions.where(F.col(by) == names[0]).groupBy(month).agg(E.rounded(E.mean(y)).alias("actual_mean"), F.count_distinct(unit).alias("n_units"))
+    return actual.join(wide, month).select(month, "n_units", "actual_mean", *[F.col(n).alias(f"pred_{n}_mean") for n in names])
+
+
 def window_profile(rows: DataFrame, window: Column, bucket: Column, y: str) -> DataFrame:
     """Rows, target range and the realised share of each sampling bucket by window."""
     cells = rows.groupBy(window.alias("window"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("row_count"), F.min(y).alias("y_min"), F.max(y).alias("y_max"))
     return cells.withColumn("realised_fraction", E.ratio(F.col("row_count"), F.sum("row_count").over(Window.partitionBy("window"))))
 
 
+def sampling_report(rows: DataFrame, window: Column, bucket: Column, y: str, seeds: dict[int, int], target: float) -> DataFrame:
+    """Per window and seed (seed -> its bucket) the realised share of the window against the target share."""
+    cells = window_profile(rows, window, bucket, y)
+    named = reduce(lambda c, s: c.when(F.col("bucket") == s[1], s[0]), seeds.items(), F.when(F.lit(False), 0))
+    whole = rows.groupBy(window.alias("window")).agg(F.count(F.lit(1)).alias("window_rows"), F.min(y).alias("target_min"), F.max(y).alias("target_max"))
+    return cells.withColumn("seed", named).where("seed IS NOT NULL").join(whole, "window").select(
+        "window", "seed", "bucket", F.col("row_count").alias("n_rows"), "window_rows", "target_min", "target_max", E.rounded(F.col("realised_fraction")).alias("realised_fraction"), E.rounded(F.lit(target)).alias("target_fraction"),
+        E.rounded(F.lit(100.0) * (F.col("realised_fraction") / F.lit(target) - 1), 4).alias("deviation_pct"),
+    )
+
+
+def fold_boundaries(folds: DataFrame, rows: DataFrame, month: str) -> DataFrame:
+    """First and last month, months and rows of both sides of each fold. folds: (fold, month, side)."""
+    by_month = rows.groupBy(month).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    parts = [x for s in ("train", "validation") for x in (F.min(side(s, month)).alias(f"{s}_start"), F.max(side(s, month)).alias(f"{s}_end"), F.count(side(s, month)).alias(f"n_{s}_months"), F.coalesce(F.sum(side(s, "n")), F.lit(0)).alias(f"n_{s}_rows"))]
+    return folds.join(by_month, month, "left").groupBy("fold").agg(*parts)
+
+
 def composition(base: DataFrame, other: DataFrame, gated: DataFrame, key: list[str]) -> DataFrame:
     """The improvement on all rows, on identical rows only, and the share that composition explains."""
     b, o = base.agg(E.mean("abs_error", 6).alias("base_all")), other.agg(E.mean("abs_error", 6).alias("other"))

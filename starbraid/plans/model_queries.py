@@ -286,20 +286,59 @@ def m23(spark, sf):
     return left.select(*key, "k", "l_partkey").join(right.select(*key, "k"), [*key, "k"])
 
 
-@query("m24_diebold_mariano")
+def tail_sql(source: str) -> str:
+    """CTEs that end in tails(k, t, n, p): the two-sided Student-t tails of source(k, t, n), by the recurrence of exprs.t_tail."""
+    gamma = lambda x: f"(({x} + 8 - 0.5) * ln({x} + 8) - ({x} + 8) + 0.9189385332046727 + 1 / (12 * ({x} + 8)) - 1 / (360 * ({x} + 8) ** 3) + 1 / (1260 * ({x} + 8) ** 5) - ln({' * '.join(f'({x} + {i})' for i in range(8))}))"
+    solid = lambda c: f"CASE WHEN abs({c}) < 1e-300 THEN 1e-300 ELSE {c} END"
+    return f"""b0 AS (SELECT k, t, n::DOUBLE AS n, n::DOUBLE / (n + t * t) AS x0 FROM {source} WHERE t IS NOT NULL AND n > 0), b1 AS (SELECT *, x0 > (n / 2 + 1) / (n / 2 + 2.5) AS sw FROM b0),
+b2 AS (SELECT *, CASE WHEN sw THEN 0.5::DOUBLE ELSE n / 2 END AS a, CASE WHEN sw THEN n / 2 ELSE 0.5::DOUBLE END AS b, CASE WHEN sw THEN 1 - x0 ELSE x0 END AS x FROM b1),
+st AS (SELECT k, a, b, x, 0 AS i, 1.0::DOUBLE AS c, 1 / {solid('(1 - (a + b) * x / (a + 1))')} AS d, 1 / {solid('(1 - (a + b) * x / (a + 1))')} AS h FROM b2 UNION ALL
+  SELECT k, a, b, x, i, c2, d2, h * d2 * c2 FROM (SELECT k, a, b, x, i, h, {solid('(1 + e / c)')} AS c2, 1 / {solid('(1 + e * d)')} AS d2 FROM (SELECT k, a, b, x, i + 1 AS i, c, d, h, (i + 2) // 2 AS m,
+    CASE WHEN (i + 1) % 2 = 1 THEN ((i + 2) // 2) * (b - (i + 2) // 2) * x / ((a + 2 * ((i + 2) // 2) - 1) * (a + 2 * ((i + 2) // 2))) ELSE -(a + (i + 2) // 2) * (a + b + (i + 2) // 2) * x / ((a + 2 * ((i + 2) // 2)) * (a + 2 * ((i + 2) // 2) + 1)) END AS e FROM st WHERE i < {E.TAIL_STEPS}))),
+tails AS (SELECT b2.k, t, n, CASE WHEN sw THEN 1 - f * h ELSE f * h END AS p FROM (SELECT *, exp({gamma('(a + b)')} - {gamma('a')} - {gamma('b')} + a * ln(greatest(x, 1e-300)) + b * ln(greatest(1 - x, 1e-300))) / a AS f FROM b2) b2 JOIN st ON st.k = b2.k WHERE st.i = {E.TAIL_STEPS})"""
+
+
+def reference_diffs(spark, sf):
+    """Each rung's error minus that of the last value carried forward (V0), by row and seed."""
+    rows = errors(spark, sf)
+    ref = rows.where("rung = 'V0'").select(*KEY, F.col("abs_error").alias("ref"))
+    return rows.where("rung <> 'V0'").join(ref, KEY).select("variant", "rung", "seed", *KEY, (F.col("abs_error") - F.col("ref")).alias("d"))
+
+
+REF_SQL = f"""{ERR_SQL}, rd AS (SELECT a.variant, a.rung, a.seed, a.state, a.month_key, a.abs_error - b.abs_error AS d FROM er a JOIN er b USING (state, zone, month_key) WHERE a.rung <> 'V0' AND b.rung = 'V0')"""
+SQ = "CAST(sum(CAST({0} AS DECIMAL(38,6)) * CAST({0} AS DECIMAL(38,6))) AS DOUBLE)"
+DM_SQL = f"""{REF_SQL}, dg AS (SELECT variant, rung, seed, count(d)::DOUBLE AS n, {tot('d', 6)} AS s, {SQ.format('d')} AS q FROM rd GROUP BY ALL), dv AS (SELECT *, s / n AS m, CASE WHEN n > 1 THEN (q - s * s / n) / (n - 1) END AS v FROM dg),
+dt AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS dm, variant || rung || seed AS k FROM dv), dk AS (SELECT k, dm AS t, n - 1 AS n FROM dt), {tail_sql('dk')},
+dp AS (SELECT variant, rung, seed, CAST(dt.n AS BIGINT) AS n, round(m, 4) AS mean_diff, round(dm, 4) AS dm, CAST(dt.n - 1 AS BIGINT) AS df, round(p, 6) AS p_value, m < 0 AS beats_reference, coalesce(round(p, 6) < 0.05, false) AS is_significant FROM dt LEFT JOIN tails USING (k))"""
+
+
+@query("m24_diebold_mariano", f"WITH RECURSIVE {DM_SQL} SELECT * FROM dp")
 def m24(spark, sf):
-    rows = diffs(spark, sf).withColumn("pair", F.lit("V1-V0")).unionByName(diffs(spark, sf, "V0", "V2").withColumn("pair", F.lit("V2-V0")))
-    return I.diebold_mariano(rows, ["pair"])
+    return I.diebold_mariano(reference_diffs(spark, sf), ["variant", "rung", "seed"])
+
 
+@query("m24c_dm_summary", f"""WITH RECURSIVE {DM_SQL} SELECT variant, rung, min(n) AS n_per_seed, count(*) AS n_seeds, round({mean('dm')}, 4) AS mean_dm, round(stddev_samp(dm), 4) AS sd_dm, round({mean('p_value', 6)}, 6) AS mean_p_value, count(*) FILTER (beats_reference) AS n_seeds_beating, count(*) FILTER (is_significant) AS n_seeds_significant FROM dp GROUP BY ALL""")
+def m24c(spark, sf):
+    return I.dm_summary(m24(spark, sf), ["variant", "rung"])
 
-@query("m24b_dm_statistic", f"WITH {DIFF_SQL}, g AS (SELECT count(d)::DOUBLE AS n, {tot('d', 6)} AS s, {tot('d * d', 6)} AS q FROM df) SELECT 'V1-V0' AS pair, CAST(n AS BIGINT) AS n, round(s / n, 4) AS mean_diff, round((s / n) / sqrt(((q - s * s / n) / (n - 1)) / n), 4) AS dm, CAST(n - 1 AS BIGINT) AS df FROM g")
+
+@query("m24b_dm_statistic", f"WITH {DIFF_SQL}, g AS (SELECT count(d)::DOUBLE AS n, {tot('d', 6)} AS s, {SQ.format('d')} AS q FROM df) SELECT 'V1-V0' AS pair, CAST(n AS BIGINT) AS n, round(s / n, 4) AS mean_diff, round((s / n) / sqrt(((q - s * s / n) / (n - 1)) / n), 4) AS dm, CAST(n - 1 AS BIGINT) AS df FROM g")
 def m24b(spark, sf):
-    return I.diebold_mariano(diffs(spark, sf).withColumn("pair", F.lit("V1-V0")), ["pair"]).drop("p_value")
+    return I.diebold_mariano(diffs(spark, sf).withColumn("pair", F.lit("V1-V0")), ["pair"]).select("pair", "n", "mean_diff", "dm", "df")
+
+
+def cluster_part(c: str) -> str:
+    return f"""{c}0 AS (SELECT rung, {c}, {tot('d', 6)} AS s, count(*) AS n FROM rd GROUP BY ALL), {c}1 AS (SELECT *, s - n * CAST(sum(CAST(s AS DECIMAL(18,6))) OVER (PARTITION BY rung) AS DOUBLE) / sum(n) OVER (PARTITION BY rung) AS r FROM {c}0),
+{c}2 AS (SELECT rung, count(*)::DOUBLE AS g, sum(n)::DOUBLE AS n, CAST(sum(CAST(s AS DECIMAL(18,6))) AS DOUBLE) AS s, CAST(sum(CAST(round(r * r, 6) AS DECIMAL(30,6))) AS DOUBLE) AS r2 FROM {c}1 GROUP BY rung), {c}3 AS (SELECT rung, '{c}' AS kind, g, (s / n) / (sqrt(g / (g - 1) * r2) / n) AS t FROM {c}2)"""
 
 
-@query("m25_cluster_dm", f"""WITH {CL}, r AS (SELECT tt.*, (SELECT sum((cl.s - cl.n * tt.s / tt.n) ** 2) FROM cl) AS r2 FROM tt) SELECT 'V1-V0' AS pair, 'month_key' AS cluster, CAST(g AS BIGINT) AS n_clusters, round((s / n) / (sqrt(g / (g - 1) * r2) / n), 3) AS dm, CAST(g - 1 AS BIGINT) AS df FROM r""")
+@query("m25_cluster_dm", f"""WITH RECURSIVE {REF_SQL}, {cluster_part('month_key')}, {cluster_part('state')},
+g0 AS (SELECT rung, 'lag0' AS kind, n AS g, (s / n) / sqrt(((q - s * s / n) / (n - 1)) / n) AS t, s / n AS m FROM (SELECT rung, count(d)::DOUBLE AS n, {tot('d', 6)} AS s, {SQ.format('d')} AS q FROM rd GROUP BY rung)),
+al AS (SELECT rung, kind, g, t FROM g0 UNION ALL SELECT * FROM month_key3 UNION ALL SELECT * FROM state3), dk AS (SELECT rung || kind AS k, t, g - 1 AS n FROM al), {tail_sql('dk')}
+SELECT g0.rung, CAST(g0.g AS BIGINT) AS n_observations, round(m, 4) AS mean_loss_diff, round(g0.t, 4) AS dm_lag0_stat, CAST(g0.g - 1 AS BIGINT) AS dm_lag0_df, round(p0.p, 6) AS dm_lag0_p, {', '.join(f"round(c_{c}.t, 3) AS dm_{c}_cluster_stat, CAST(c_{c}.g - 1 AS BIGINT) AS dm_{c}_cluster_df, round(p_{c}.p, 6) AS dm_{c}_cluster_p, CAST(c_{c}.g AS BIGINT) AS n_{c}_clusters" for c in ('month_key', 'state'))}
+FROM g0 JOIN tails p0 ON p0.k = g0.rung || 'lag0' {' '.join(f"JOIN {c}3 c_{c} ON c_{c}.rung = g0.rung JOIN tails p_{c} ON p_{c}.k = g0.rung || '{c}'" for c in ('month_key', 'state'))}""")
 def m25(spark, sf):
-    return I.cluster_diebold_mariano(diffs(spark, sf).withColumn("pair", F.lit("V1-V0")), ["pair"], "month_key")
+    return I.cluster_diebold_mariano(reference_diffs(spark, sf), ["rung"], ["month_key", "state"])
 
 
 WIDE = ", ".join(f"""round({mean(f"CASE WHEN rung = '{r}' THEN abs_error END", 6)}, 6) AS "{r}" """ for r in ("V0", "V1", "V2"))
@@ -321,6 +360,23 @@ def m28(spark, sf):
     return I.ranges(errors(spark, sf), "rung", "target", "prediction")
 
 
+@query("m28b_pooled_ceilings", f"""WITH {ERR_SQL}, sd AS (SELECT rung, seed, min(prediction) AS lo, max(prediction) AS hi FROM er GROUP BY ALL), pl AS (SELECT rung, count(*) AS n_seeds, min(lo) AS lo, max(hi) AS hi, string_agg(printf('seed%d:[%.2f,%.2f]', seed, round(lo, 2), round(hi, 2)), ';' ORDER BY seed) AS per_seed_pred_min_max FROM sd GROUP BY rung),
+te AS (SELECT min(target) AS lo, max(target) AS hi, count(*) AS n FROM tg WHERE month_key >= {TEST}), tr AS (SELECT min(target) AS lo, max(target) AS hi FROM tg WHERE month_key < {TEST}), ab AS (SELECT rung, count(*) FILTER (target > pl.hi) AS above FROM pl, tg WHERE month_key >= {TEST} GROUP BY rung)
+SELECT rung, n_seeds, te.n AS n_test_rows, round(pl.lo, 4) AS pooled_pred_min, round(pl.hi, 4) AS pooled_pred_max, round(tr.lo, 4) AS train_target_min, round(tr.hi, 4) AS train_target_max, round(te.lo, 4) AS test_target_min, round(te.hi, 4) AS test_target_max, round(tr.hi - pl.hi, 4) AS pred_max_below_train_max_by, round(te.hi - pl.hi, 4) AS pred_max_below_test_max_by,
+  above AS n_test_actuals_above_pooled_pred_max, round(100.0::DOUBLE * above / te.n, 4) AS pct_test_actuals_above_pooled_pred_max, round(CASE WHEN above > 0 THEN te.hi - pl.hi ELSE 0 END, 4) AS max_actual_missed_by, per_seed_pred_min_max FROM pl JOIN ab USING (rung), te, tr""")
+def m28b(spark, sf):
+    train, test = M.split_at(targets(spark, sf), "month_key", TEST)
+    return I.pooled_ceilings(errors(spark, sf), train, test, "rung", "seed", "target", "prediction")
+
+
+RUNGS = ["V0", "V1", "V2", "V3"]
+
+
+@query("m28c_monthly_means", f"""WITH {ERR_SQL} SELECT month_key, count(DISTINCT state) AS n_units, round({mean("CASE WHEN rung = 'V0' THEN target END")}, 6) AS actual_mean, {', '.join(f"""round({mean(f"CASE WHEN rung = '{r}' THEN prediction END", 6)}, 6) AS "pred_{r}_mean" """ for r in RUNGS)} FROM er GROUP BY month_key""")
+def m28c(spark, sf):
+    return I.monthly_means(errors(spark, sf), "month_key", "rung", RUNGS, "target", "prediction", "state")
+
+
 @query("m29_window_profile", f"""WITH w AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS "window", CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 17 AS INTEGER) AS bucket, count(*) AS row_count, min(o_totalprice) AS y_min, max(o_totalprice) AS y_max FROM orders GROUP BY ALL)
 SELECT *, CAST(row_count AS DOUBLE) / CAST(sum(row_count) OVER (PARTITION BY "window") AS DOUBLE) AS realised_fraction FROM w""")
 def m29(spark, sf):
@@ -329,6 +385,24 @@ def m29(spark, sf):
     return I.window_profile(orders, window, M.bucket_of(F.md5(F.col("o_orderkey").cast("string"))), "o_totalprice")
 
 
+@query("m29b_sampling_report", """WITH o AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'train' ELSE 'test' END AS w, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 17 AS INTEGER) AS bucket, o_totalprice AS y FROM orders),
+t AS (SELECT w, count(*) AS window_rows, min(y) AS target_min, max(y) AS target_max FROM o GROUP BY w), s AS (SELECT w, bucket, count(*) AS n_rows FROM o WHERE bucket < 5 GROUP BY ALL)
+SELECT w AS "window", bucket + 1 AS seed, bucket, n_rows, window_rows, target_min, target_max, round(n_rows / window_rows::DOUBLE, 6) AS realised_fraction, round(1.0::DOUBLE / 17, 6) AS target_fraction, round(100.0::DOUBLE * (n_rows / window_rows::DOUBLE / (1.0::DOUBLE / 17) - 1), 4) AS deviation_pct FROM s JOIN t USING (w)""")
+def m29b(spark, sf):
+    orders = table(spark, sf, "orders")
+    window = F.when(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"), "train").otherwise("test")
+    return I.sampling_report(orders, window, M.bucket_of(F.md5(F.col("o_orderkey").cast("string"))), "o_totalprice", {s: s - 1 for s in range(1, 6)}, 1.0 / 17)
+
+
+@query("m29c_fold_boundaries", f"""WITH {TARGET_SQL}, r AS (SELECT month_key, count(*) AS n FROM tg WHERE month_key < {TEST} GROUP BY month_key), m AS (SELECT *, row_number() OVER (ORDER BY month_key) - 1 AS i, count(*) OVER () AS c FROM r), f AS (SELECT CAST(unnest(range(0, 100)) AS INTEGER) AS fold),
+x AS (SELECT fold, month_key, n, i < 15 + 2 * fold AS tr FROM f, m WHERE 15 + 2 * fold + 2 <= c AND i < 17 + 2 * fold)
+SELECT fold, min(month_key) FILTER (tr) AS train_start, max(month_key) FILTER (tr) AS train_end, count(*) FILTER (tr) AS n_train_months, CAST(sum(n) FILTER (tr) AS BIGINT) AS n_train_rows, min(month_key) FILTER (NOT tr) AS validation_start, max(month_key) FILTER (NOT tr) AS validation_end, count(*) FILTER (NOT tr) AS n_validation_months, CAST(sum(n) FILTER (NOT tr) AS BIGINT) AS n_validation_rows FROM x GROUP BY fold""")
+def m29c(spark, sf):
+    rows = targets(spark, sf).where(F.col("month_key") < TEST)
+    months = [r["month_key"] for r in rows.select("month_key").distinct().collect()]
+    return I.fold_boundaries(M.folds(spark, months, 15, 2), rows, "month_key")
+
+
 @query("m30_composition", f"""WITH {ERR_SQL}, v AS (SELECT {mean("CASE WHEN rung = 'V2' THEN abs_error END", 6)} AS a, {mean("CASE WHEN rung = 'V1' AND target < 3000 THEN abs_error END", 6)} AS o, {mean("CASE WHEN rung = 'V2' AND target < 3000 THEN abs_error END", 6)} AS s FROM er)
 SELECT round(a - o, 4) AS improvement_all_rows, round(s - o, 4) AS improvement_same_rows, round(100.0::DOUBLE * ((a - o) - (s - o)) / (a - o), 3) AS composition_share_pct FROM v""")
 def m30(spark, sf):

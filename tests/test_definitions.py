@@ -183,3 +183,78 @@ def test_the_month_of_a_file_is_that_of_its_name(spark):
     df = spark.createDataFrame(rows, "source_file string, a timestamp_ntz, b timestamp_ntz")
     got = {r.source_file: (r.file_month, r.raw_rows, r.pickup_month_mismatch, r.null_pickup, r.null_dropoff) for r in S.file_profile(df, "a", "b", "2024-01-01", "2025-01-01").collect()}
     assert got == {"trips_2024-01.parquet": ("2024-01", 1, 1, 0, 0), "trips_2024-03.parquet": ("2024-03", 2, 0, 1, 0), "trips.parquet": ("", 1, 1, 0, 1)}
+
+
+def test_student_tails_are_the_tabulated_ones(spark):
+    import math
+
+    cases = [(2.0, 10, 0.0733880), (12.706205, 1, 0.05), (1.0, 1, 0.5), (0.0, 7, 1.0), (-4.303, 2, 0.0499931), (1.959964, 100_000_000, 0.05), (30.0, 200, 0.0), (2.0, 4, 0.1161165)]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(cases)] + [(90, None, 5), (91, 1.0, 0), (92, 1.0, None)], "i int, t double, n long")
+    got = {r.i: r.p for r in df.select("i", E.t_tail(F.col("t"), F.col("n")).alias("p")).collect()}
+    assert all(math.isclose(got[i], p, abs_tol=2e-6) for i, (_, _, p) in enumerate(cases)) and got[90] is got[91] is got[92] is None
+    # Two degrees of freedom have a closed form.
+    exact = {t: 1 - t / math.sqrt(2 + t * t) for t in (0.1, 0.5, 1.5, 3.0, 8.0)}
+    rows = spark.createDataFrame([(t,) for t in exact], "t double").select("t", E.t_tail(F.col("t"), F.lit(2)).alias("p")).collect()
+    assert all(math.isclose(r.p, exact[r.t], abs_tol=1e-12) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def petrol(spark):
+    prices = {("Kano", "NW"): (600.0, 640.0, 640.0), ("Oyo", "SW"): (500.0, 500.0, 650.0), ("Osun", "SW"): (550.0, 540.0, 610.0), ("Edo", "SS"): (590.0, 600.0, 600.0)}
+    return spark.createDataFrame([(s, z, m, p) for (s, z), x in prices.items() for m, p in zip((20240101, 20240201, 20240301), x)], "state string, zone string, month_key int, price double")
+
+
+def test_premiums_are_percent_of_the_mean_and_balance(petrol):
+    rows = P.geography(petrol).collect()
+    for m in (20240101, 20240201, 20240301):
+        own = [r for r in rows if r.month_key == m]
+        assert abs(sum(r.premium_vs_national_pct for r in own)) < 1e-3 and {r.states_reporting for r in own} == {4}
+    first = {r.state: r for r in rows if r.month_key == 20240101}
+    assert first["Kano"].premium_vs_national_pct == 7.1429 and first["Oyo"].premium_vs_zone_pct == -4.7619 and first["Kano"].premium_vs_zone_pct == 0.0
+    zones = {(r.zone, r.month_key): r for r in P.zone_months(petrol).collect()}
+    assert zones["SW", 20240101].zone_premium_vs_national_pct == -6.25 and zones["NW", 20240101].zone_rank_most_expensive_first == 1
+    mean = sum(100 * (p / n - 1) for p, n in ((525, 560), (520, 570), (630, 625))) / 3
+    assert zones["SW", 20240201].zone_mean_premium_over_period_pct == pytest.approx(mean, abs=1e-4) and zones["SW", 20240301].zone_max_state_price == 650.0
+    last = P.national(petrol).where("month_key = 20240301").first()
+    assert (last.range, last.max_min_ratio, last.dearest_state, last.min_state_price) == (50.0, 1.0833, "Oyo", 600.0)
+
+
+def test_the_break_panel_is_chosen_by_market_and_listed(spark):
+    months = [(2023, m) for m in range(3, 11)]
+    row = lambda mk, st, co, y, m, p: (mk, st, co, y * 10000 + m * 100 + 1, p)
+    rows = [row("A", "S1", c, y, m, 100.0 + 10 * (m > 6)) for c in ("rice", "yam", "beans") for y, m in months]
+    rows += [row("B", "S2", "rice", y, m, 50.0) for y, m in months[:-1]]  # not in every month
+    rows += [row("C", "S3", "rice", y, m, 0.0) for y, m in months] + [row(None, "S4", "rice", y, m, 9.0) for y, m in months]
+    got = P.structural_break(spark.createDataFrame(rows, "market string, parent string, commodity string, month_key int, price double"), "market", "parent", ["commodity"], 2023 * 12 + 6).orderBy("months_since_break").collect()
+    assert [r.months_since_break for r in got] == list(range(-3, 5)) and [r.staple_index for r in got] == [100.0] * 4 + [110.0] * 4
+    assert {(r.panel_markets, r.panel_states, r.panel_state_list, r.panel_market_list) for r in got} == {(1, 1, "S1", "S1: A")}
+    assert {(r.within_cell_level_change_pct, r.cells_on_both_sides, r.break_month) for r in got} == {(10.0, 3, "2023-06")}
+
+
+def test_pass_through_carries_its_coverage(spark):
+    prices = lambda f: [("s1", "Z1", "rice", 20240000 + m * 100 + 1, f(m)) for m in range(1, 9)]
+    food = spark.createDataFrame(prices(lambda m: 10.0 * 1.1 ** (m % 3)), "state string, zone string, commodity string, month_key int, price double")
+    fuel = spark.createDataFrame(prices(lambda m: 20.0 * 1.1 ** (m % 3)), "state string, zone string, commodity string, month_key int, price double").unionByName(food.limit(1).withColumn("state", F.lit("s2")))
+    units = spark.range(4).select(F.col("id").alias("unit"))
+    got = {(r.zone, r.lag_months): r for r in P.pass_through(food, fuel, units, "state", "zone", "commodity").collect()}
+    assert got["ALL ZONES", 0].corr_log_changes == 1.0 and got["Z1", 0].corr_levels_spurious_prone == 1.0 and got["Z1", 3].corr_levels_spurious_prone is None
+    assert {(r.states_in_overlap, r.states_with_fuel_data, r.states_with_food_data, r.federating_units_total, r.pct_of_federating_units) for r in got.values()} == {(1, 2, 1, 4, 25.0)}
+
+
+def test_months_not_assembled_have_no_units(spark):
+    series = spark.createDataFrame([(20240101, 600.0, 37)], "month_key int, assembled double, reporting_states long")
+    targets = spark.createDataFrame([(20240101, 601.0), (20240201, 1.0)], "month_key int, published double")
+    got = {r.month_key: (r.delta, r.within_tolerance, r.reporting_states) for r in C.external_check(series, targets, 1.0).collect()}
+    assert got == {20240101: (-1.0, True, 37), 20240201: (None, False, 0)}
+
+
+def test_ties_and_flat_differences_have_no_statistic(spark):
+    from starbraid.operators import inference as I
+
+    df = spark.createDataFrame([("flat", "s1", i, 1.0) for i in range(4)] + [("v", f"s{i % 2}", i, float(i - 1)) for i in range(6)], "rung string, state string, month_key int, d double")
+    got = {r.rung: r for r in I.diebold_mariano(df, ["rung"]).collect()}
+    assert (got["flat"].dm, got["flat"].p_value, got["flat"].is_significant, got["flat"].beats_reference) == (None, None, False, False)
+    wide = {r.rung: r for r in I.cluster_diebold_mariano(df, ["rung"], ["state", "month_key"]).collect()}
+    assert (wide["flat"].n_state_clusters, wide["flat"].dm_state_cluster_stat) == (1, None) and wide["v"].n_month_key_clusters == 6
+    # A row a cluster: the clustered variance is the plain one times (n - 1) / n twice over.
+    assert wide["v"].dm_month_key_cluster_stat == pytest.approx(wide["v"].dm_lag0_stat, abs=2e-3)

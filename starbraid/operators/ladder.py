@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .boosting import Size, boosted
 
 
 def references(train: DataFrame, test: DataFrame, y: str, distance: str, time: str) -> DataFrame:
@@ -54,26 +59,98 @@ def rung(train: DataFrame, test: DataFrame, name: str, features: list[str], y: s
     return reduce(DataFrame.unionByName, [one(s) for s in seeds])
 
 
-def selected(rows: DataFrame, folds: DataFrame, features: list[str], y: str, candidates: list[dict[str, int]]) -> DataFrame:
-    """(candidate, mean CV MAE, folds, frozen tree count): every candidate on every forward-chaining fold.
-
-    A fold's best iteration is the number of trees with the least validation error; the frozen count is the mean of the
-    best iterations of the two largest folds. Only such summaries reach the driver."""
-    plan = folds.groupBy("fold", "side").agg(F.collect_list("month_key").alias("m")).collect()  # months, not rows
-    by = {(p["fold"], p["side"]): p["m"] for p in plan}
-    parts = []
-    for c in candidates:
-        for k in sorted({f for f, _ in by}):
-            train, test = rows.where(F.col("month_key").isin(by[k, "train"])), rows.where(F.col("month_key").isin(by[k, "validation"]))
-            model = fitted(train, features, y, 1, **c)
-            ready = model.stages[0].transform(imputed(test, features)[0])
-            by_trees = model.stages[1].evaluateEachIteration(ready, "absolute")
-            best = min(range(len(by_trees)), key=lambda i: (by_trees[i], i))
-            parts.append((str(c), k, len(by[k, "train"]), float(by_trees[best]), best + 1))
-    folds_ = rows.sparkSession.createDataFrame(parts, "candidate string, fold int, months int, mae double, best_iteration int")
-    largest = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("months"), F.desc("fold"))) <= 2
-    out = folds_.withColumn("largest", largest).groupBy("candidate").agg(F.avg("mae").alias("mean_cv_mae"), F.count(F.lit(1)).alias("n_folds_used"), F.round(F.avg(F.when(F.col("largest"), F.col("best_iteration")))).cast("int").alias("frozen_trees"))
-    return out.withColumn("is_best", F.row_number().over(Window.orderBy("mean_cv_mae", "candidate")) == 1)
+#: Training rows that one task may hold; larger training sets are fitted by Spark ML (rung).
+SAMPLE = 200_000
+
+FIT = "n_train int, n_valid int, mae double, best_iteration int"
+
+
+def fit_group(rows: pd.DataFrame, size: Size, seed: int, rounds: int, patience: int | None) -> tuple[np.ndarray, int, float]:
+    """One model over the rows of a group, in the order of their key so that every run gives the same model."""
+    x = np.array(rows["features"].tolist(), float)
+    return boosted(x, rows["y"].to_numpy(float), rows["is_train"].to_numpy(bool), size, seed, rounds, patience)
+
+
+def bounded(rows: DataFrame, by: list[str]) -> None:
+    """Raise where the training rows of a group do not fit a task."""
+    most = rows.where("is_train").groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > SAMPLE:
+        raise ValueError(f"a group has {most} training rows, more than the {SAMPLE} of a task: sample, or fit with Spark ML")
+
+
+def searched(rows: DataFrame, folds: DataFrame, key: list[str], month: str, candidates: list[Size], seed: int = 1, rounds: int = 1000, patience: int = 30) -> DataFrame:
+    """Every candidate on every forward-chaining fold, side by side: (candidate, fold, n_train, n_valid, mae,
+    best_iteration). rows: (*key, month, y, features); folds: (fold, month, side). Validation rows stop the boosting."""
+    tagged = rows.join(folds, month).select("fold", (F.col("side") == "train").alias("is_train"), *[c for c in dict.fromkeys([*key, month])], "y", "features")
+    bounded(tagged, ["fold"])
+    each = tagged.withColumn("candidate", F.explode(F.array(*[F.lit(i) for i in range(len(candidates))])))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([*key, month])
+        c, n = int(group["candidate"].iloc[0]), int(group["is_train"].sum())
+        if not 0 < n < len(group):
+            return pd.DataFrame([], columns=["candidate", "fold", "n_train", "n_valid", "mae", "best_iteration"])
+        _, used, error = fit_group(group, candidates[c], seed, rounds, patience)
+        return pd.DataFrame([(c, int(group["fold"].iloc[0]), n, len(group) - n, error, used)], columns=["candidate", "fold", "n_train", "n_valid", "mae", "best_iteration"])
+
+    return each.groupBy("candidate", "fold").applyInPandas(fit, f"candidate int, fold int, {FIT}")
+
+
+def selected(fits: DataFrame) -> DataFrame:
+    """(candidate, mean_cv_mae, n_folds_used, median_best_iteration, frozen_trees, is_best) from the table of fits.
+
+    The frozen tree count is the mean of the best iterations of the two folds with the largest training windows, cut to a
+    whole number; the best candidate has the least mean error, the first among equals."""
+    largest = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("n_train"), F.desc("fold"))) <= 2
+    out = fits.withColumn("largest", largest).groupBy("candidate").agg(
+        E.rounded(E.mean("mae", 9)).alias("mean_cv_mae"), F.count(F.lit(1)).alias("n_folds_used"), F.floor(F.median("best_iteration")).cast("int").alias("median_best_iteration"),
+        F.greatest(F.floor(F.avg(F.when(F.col("largest"), F.col("best_iteration")))).cast("int"), F.lit(1)).alias("frozen_trees"),
+    )
+    return out.withColumn("is_best", F.row_number().over(Window.orderBy("mean_cv_mae", "candidate")) == 1)  # a row a candidate
+
+
+def store_of(spark: SparkSession, root: str, rows: DataFrame, *what: object) -> str:
+    """The folder of an error store: named by the content of its rows and by what is fitted, so other data has another."""
+    mark = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first()
+    return f"{root}/ladder-{hashlib.sha256(repr((tuple(map(str, mark)), what)).encode()).hexdigest()[:24]}"
+
+
+def error_store(rows: DataFrame, specs: list[tuple[str, str, int]], sizes: dict[str, tuple[Size, int]], key: list[str], path: str) -> DataFrame:
+    """(variant, rung, seed, *key, y, prediction, abs_error) of the test rows of every spec (variant, rung, seed),
+    stored at path by variant, rung and seed. Fits that the store has are not made again; the rest are made side by side.
+
+    rows: (rung, *key, is_train, y, features); sizes: variant -> (capacity, trees)."""
+    spark = rows.sparkSession
+    schema = f"variant string, rung string, seed int, {', '.join(f'`{c}` {dict(rows.dtypes)[c]}' for c in key)}, y double, prediction double, abs_error double"
+    try:
+        held = {tuple(r) for r in spark.read.schema(schema).parquet(path).select("variant", "rung", "seed").distinct().collect()}  # names of fits
+    except AnalysisException:  # no store yet
+        held = set()
+    todo = [s for s in specs if s not in held]
+    if todo:
+        bounded(rows, ["rung"])
+        wanted = spark.createDataFrame(todo, "variant string, rung string, seed int")
+        each = rows.join(F.broadcast(wanted), "rung")  # a row a fit
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(key)
+            variant, name, seed = group["variant"].iloc[0], group["rung"].iloc[0], int(group["seed"].iloc[0])
+            size, trees = sizes[variant]
+            group["prediction"] = fit_group(group, size, seed, trees, None)[0]
+            out = group[~group["is_train"].to_numpy(bool)].copy()
+            out["abs_error"] = (out["y"] - out["prediction"]).abs()
+            return out[["variant", "rung", "seed", *key, "y", "prediction", "abs_error"]]
+
+        made = each.groupBy("variant", "rung", "seed").applyInPandas(fit, schema)
+        made.write.mode("append").partitionBy("variant", "rung", "seed").parquet(path)
+    asked = spark.createDataFrame(specs, "variant string, rung string, seed int")
+    return spark.read.schema(schema).parquet(path).join(F.broadcast(asked), ["variant", "rung", "seed"], "left_semi")
+
+
+def scored(errors: DataFrame) -> DataFrame:
+    """(variant, rung, seed, mae, mape) of an error store."""
+    share = F.when(F.col("y") != 0, F.col("abs_error") / F.abs(F.col("y")))
+    return errors.groupBy("variant", "rung", "seed").agg(E.rounded(E.mean("abs_error", 6)).alias("mae"), E.rounded(F.lit(100.0) * E.mean(share, 9)).alias("mape"))
 
 
 def repeats(results: DataFrame) -> DataFrame:

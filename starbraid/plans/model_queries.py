@@ -11,6 +11,8 @@ from ..functions import exprs as E
 from ..operators import features as M
 from ..operators import inference as I
 from ..operators import ladder as L
+from ..operators.boosting import Size
+from ..sources.io import shared_dir, written
 from .registry import query
 from .tables import PANEL_SQL, TRIPS_SQL, price_panel, table, trips
 from .trip_queries import mean, tot
@@ -99,12 +101,55 @@ def m10(spark, sf):
     return M.folds(spark, months, 15, 2)
 
 
+#: The panel task: 25 months of training rows, 5 of test rows.
+FROM, UNTIL = 19971201, 20000501
+CANDIDATES = [
+    Size(7, 0.10, 5), Size(7, 0.10, 20, 1.0, 1.0), Size(7, 0.03, 5), Size(15, 0.05, 10), Size(15, 0.05, 20, 1.0, 1.0), Size(15, 0.10, 30, 0.5, 0.5), Size(31, 0.05, 20, 1.0, 1.0), Size(31, 0.10, 50, 1.0, 1.0),
+]
+ORIGINAL, CONTROLLED, SEEDS = (Size(31, 0.05, 20), 300), "capacity_controlled", list(range(1, 21))
+LADDER = ["V0", "V1", "V2", "V3a", "V3b", "V4a", "V4b"]
+
+
+def ladder_rows(spark, sf):
+    """(rung, state, month_key, is_train, y, features): the panel task's rows with the features of each rung.
+
+    V0 and V1 read the price (before and after a gate that rejects nothing), V2 adds zone and month of the year, V3a a mean
+    that leaks, V3b the mean of earlier months, V4a the state as indicators, V4b the state as an encoding of earlier months."""
+    rows = targets(spark, sf).where(F.col("month_key").between(FROM, UNTIL))
+    rows = M.prior_encoding(M.prior_mean(M.leaky_mean(rows, ["state"], "price", "leaky"), "state", "month_key", "price", "pit"), "state", "month_key", "target", 10.0, "encoded")
+    whole = Window.partitionBy()  # a few hundred rows of months by states
+    names = F.array_sort(F.collect_set("state").over(whole))
+    rows = rows.withColumns({"states": names, "zone_no": F.array_position(F.array_sort(F.collect_set("zone").over(whole)), F.col("zone")).cast("double"), "month_no": (F.floor(F.col("month_key") / 100) % 100).cast("double")})
+    price, shared = F.array("price"), F.array("price", "zone_no", "month_no")
+    pit = F.concat(shared, F.array("pit"))
+    hot = F.transform("states", lambda x: (x == F.col("state")).cast("double"))
+    by = {"V0": price, "V1": price, "V2": shared, "V3a": F.concat(shared, F.array("leaky")), "V3b": pit, "V4a": F.concat(pit, hot), "V4b": F.concat(pit, F.array("encoded"))}
+    rungs = F.array(*[F.struct(F.lit(k).alias("rung"), v.alias("features")) for k, v in by.items()])
+    return rows.select("state", "month_key", (F.col("month_key") < TEST).alias("is_train"), F.col("target").alias("y"), F.inline(rungs))
+
+
+def search_fits(spark, sf):
+    rows = ladder_rows(spark, sf).where("is_train AND rung = 'V0'").drop("is_train")
+    months = [r["month_key"] for r in rows.select("month_key").distinct().collect()]
+    return L.searched(rows, M.folds(spark, months, 15, 2), ["state"], "month_key", CANDIDATES)
+
+
 @query("m11_selection")
 def m11(spark, sf):
-    """Two candidates on two folds: every fold fits a model, see the README."""
-    rows = M.prior_mean(targets(spark, sf), "state", "month_key", "price", "pit")
-    months = [r["month_key"] for r in rows.select("month_key").distinct().collect()]
-    return L.selected(rows, M.folds(spark, months, 60, 10), ["price", "pit"], "target", [{"trees": 5, "depth": 2}, {"trees": 5, "depth": 3}])
+    """All candidates on all folds of 15 months and more, in steps of 2, with early stopping."""
+    return L.selected(search_fits(spark, sf))
+
+
+def ladder_errors(spark, sf):
+    """The stored errors of all rungs, both capacities and all seeds; fits are made once for the same rows."""
+    rows = written(ladder_rows(spark, sf))
+    path = L.store_of(spark, shared_dir(spark), rows, CANDIDATES, ORIGINAL, SEEDS)
+    specs = [(v, r, s) for v in ("original", CONTROLLED) for r in LADDER for s in SEEDS]
+    fits = rows.where("is_train AND rung = 'V0'").drop("is_train")
+    months = [r["month_key"] for r in fits.select("month_key").distinct().collect()]
+    best = L.selected(L.searched(fits, M.folds(spark, months, 15, 2), ["state"], "month_key", CANDIDATES)).where("is_best").first()
+    sizes = {"original": ORIGINAL, CONTROLLED: (CANDIDATES[best["candidate"]], best["frozen_trees"])} if best else {"original": ORIGINAL, CONTROLLED: ORIGINAL}
+    return L.error_store(rows, specs, sizes, ["state", "month_key"], path)
 
 
 @query("m12_m13_references", f"""WITH {TRIPS_SQL}, d AS (SELECT *, CAST(strftime(pickup_ts, '%Y%m01') AS INTEGER) AS month_key FROM trip WHERE days > 0), k AS (SELECT {mean('days')} AS m, {tot('distance')} / {tot('days')} AS v FROM d WHERE month_key < {TEST}),
@@ -128,11 +173,39 @@ def m12b(spark, sf):
 
 @query("m14_m16_rungs")
 def m14(spark, sf):
-    """Two rungs on the panel task, their error frames by seed."""
-    rows = M.prior_mean(targets(spark, sf), "state", "month_key", "price", "pit")
-    train, test = M.split_at(rows, "month_key", TEST)
-    parts = [L.rung(train, test, n, f, "target", [1, 2], ["state", "month_key"], trees=5, depth=3) for n, f in (("V0", ["price"]), ("V1", ["price", "pit"]))]
-    return reduce(DataFrame.unionByName, parts)
+    """Seven rungs, two capacities and twenty seeds on the panel task: their errors by row."""
+    return ladder_errors(spark, sf)
+
+
+LEAKY = ["V3a"]
+
+
+@query("m17b_fitted_repeats")
+def m17b(spark, sf):
+    return L.repeats(L.scored(ladder_errors(spark, sf)))
+
+
+@query("m18b_fitted_paired")
+def m18b(spark, sf):
+    return L.paired(L.scored(ladder_errors(spark, sf)), list(zip(LADDER, LADDER[1:])))
+
+
+@query("m19c_fitted_best")
+def m19c(spark, sf):
+    return L.best_rung(m17b(spark, sf), LEAKY)
+
+
+@query("m32b_fitted_gap")
+def m32b(spark, sf):
+    """Each variant's best rung against the last value carried forward on the same test rows."""
+    rows = ladder_rows(spark, sf).where("NOT is_train AND rung = 'V0'")
+    carried = rows.agg(E.rounded(E.mean(F.abs(F.col("y") - F.element_at("features", 1)), 6)).alias("reference_mae")).select(F.lit("carried forward").alias("reference"), "reference_mae")
+    return L.reference_gap(m17b(spark, sf), carried, LEAKY)
+
+
+@query("m34c_fitted_steps")
+def m34c(spark, sf):
+    return L.against_base(m17b(spark, sf), "V0")
 
 
 @query("m15_feature_pull", f"""WITH {TRIPS_SQL} SELECT order_key, line_no, borough, CAST(isodow(pickup_ts) AS INTEGER) AS dow, distance, days FROM trip JOIN zone ON pickup_zone = zone_key

@@ -75,7 +75,7 @@ def boosted(x: np.ndarray, y: np.ndarray, train: np.ndarray, size: Size, seed: i
             goes = bins[leaves[at], f] <= edge
             parts = leaves[at][goes], leaves[at][~goes]
             leaves[at : at + 1], splits[at : at + 1] = parts, [best_split(bins[i], g[i], w[i], starts, open_, size) for i in parts]
-        for i in leaves:
+        for i in leaves if len(leaves) > 1 else []:  # a tree without a split says nothing
             s, m = (g[i] * w[i]).sum(), w[i].sum()
             pred[i] += size.rate * np.sign(s) * max(abs(s) - size.alpha, 0) / (m + size.ridge) if m else 0.0
         if patience:

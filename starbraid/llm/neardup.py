@@ -7,9 +7,8 @@ on full shingle sets, and connected components by alternating large-star and sma
    large the bucket. Pairs pass the signature test, then the exact test on full sets; components of these links follow.
 4. Only links between different components can still change the result. In the buckets that hold more than one
    component, all pairs across components are tested, in blocks of about BLOCK members, each pair in the first bucket
-   that it shares: by signature, then by sets. A component of BLOCK members or more has blocks of its own, which never
-   meet each other; smaller ones share blocks. Only links leave the task; they are checked on full sets and joined to
-   the components.
+   that it shares: by signature, then on full sets. A component of BLOCK members or more has blocks of its own, which
+   never meet each other; smaller ones share blocks. Only links leave the task, and are joined to the components.
 So the only links that can be missed are those of documents that share no bucket or differ in more minima than chance
 allows: at similarity 0.75 about (1 - 0.75 ** ROWS) ** BANDS and a normal tail, five in a million each; far fewer above.
 The exact way (exact=True) is the same job with other buckets: a set of n shingles is in one bucket for each of its
@@ -60,6 +59,12 @@ class WordHash(dict):
 _WORDS = WordHash()
 
 
+def tidy() -> None:
+    """At a task's end: a worker serves other operators next, so it gives back what it remembered."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -120,15 +125,16 @@ def sketch(batches: Iterator[pa.RecordBatch], exact: bool = False) -> Iterator[p
             [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))],
             names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"],
         )
+    tidy()
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, s, short): the set of 64-bit shingle hashes, and the set of their upper halves as bytes."""
+    """(id, s, raw): the sorted set of 64-bit shingle hashes, as an array and as bytes."""
     for batch in batches:
-        sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
         at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-        short = [np.unique((s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))), pa.array(short, pa.binary())], names=["id", "s", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s", "raw"])
+    tidy()
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +146,10 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch], signature: float = SIGNATURE) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, side, id, root, sig, bands, short) sorted by (band, i, j) -> links across components.
+    """Rows (band, i, j, side, id, root, sig, bands, raw) sorted by (band, i, j) -> links across components.
 
     side 0 is block i, side 1 block j (none where i = j). A pair is tested in the first band that it shares: signature,
-    then the sets of 32-bit halves. Where these leave no doubt (a collision moves the counts by one), the components are
-    joined at once, so pairs between them need no test; the caller checks what comes out on the full sets."""
+    then the full sets, by exact counts. A link joins its components at once, so further pairs between them need no test."""
 
     def solve(group: list[tuple]) -> list[tuple[int, int]]:
         left = [g for g in group if g[3] == 0]
@@ -158,8 +163,8 @@ def across(batches: Iterator[pa.RecordBatch], signature: float = SIGNATURE) -> I
 
         ids = np.array([g[4] for g in right])
         sigs, bands = np.frombuffer(b"".join(g[6] for g in right), np.uint8).reshape(len(right), -1), np.array([g[7] for g in right])
-        sets = [np.frombuffer(g[8], np.uint32) for g in right]
-        for k, (_, _, _, _, me, root, sig, own_bands, short) in enumerate(left):
+        sets = [np.frombuffer(g[8], np.uint64) for g in right]
+        for k, (_, _, _, _, me, root, sig, own_bands, raw) in enumerate(left):
             roots = np.array([top(g[5]) for g in right])
             at = np.flatnonzero((roots != top(root)) & (np.arange(len(ids)) > k if right is left else ids != me))
             like = (sigs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
@@ -167,15 +172,14 @@ def across(batches: Iterator[pa.RecordBatch], signature: float = SIGNATURE) -> I
             if len(at):
                 first = bands[at, (bands[at] == np.array(own_bands)).argmax(axis=1)] == band
                 at, like = at[first], like[first]
-            mine = np.frombuffer(short, np.uint32)
+            mine = np.frombuffer(raw, np.uint64)
             for x in at[np.argsort(-like, kind="stable")]:
                 if top(right[x][5]) == top(root):
                     continue
                 both, total = len(np.intersect1d(mine, sets[x], assume_unique=True)), len(mine) + len(sets[x])
-                if 100 * (both + 2) >= PERCENT * (total - both - 2):
+                if 100 * both >= PERCENT * (total - both):
                     out.append((min(me, int(ids[x])), max(me, int(ids[x]))))
-                    if 100 * (both - 2) >= PERCENT * (total - both + 2):
-                        parent[top(right[x][5])] = top(root)
+                    parent[top(right[x][5])] = top(root)
         return out
 
     held: list[tuple] = []
@@ -262,7 +266,7 @@ def classes(docs: DataFrame, block: int = BLOCK, exact: bool = False) -> DataFra
     buckets = cut(banded.join(hubs.select("band", "hub"), "band"))
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sigs = cut(reps.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands"))
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, s array<long>, short binary"))
+    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, s array<long>, raw binary"))
 
     sig = sigs.select("id", "sig")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -273,9 +277,9 @@ def classes(docs: DataFrame, block: int = BLOCK, exact: bool = False) -> DataFra
     roots = components(starred)
 
     named = buckets.join(roots.toDF("id", "root"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    cells = across_blocks(named, block).join(sigs, "id").join(sets.select("id", "short"), "id")
+    cells = across_blocks(named, block).join(sigs, "id").join(sets.select("id", "raw"), "id")
     # Exact buckets are of no fixed number: there a pair is tested in each that it shares.
-    dealt = cells.select("band", "i", "j", "side", "id", "root", "sig", F.array("band").alias("bands") if exact else F.col("bands"), "short")
+    dealt = cells.select("band", "i", "j", "side", "id", "root", "sig", F.array("band").alias("bands") if exact else F.col("bands"), "raw")
     rest = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(partial(across, signature=0.0 if exact else SIGNATURE), "a long, b long")
     late = cut(confirmed(rest.distinct(), sets))
     # The links of both steps, and those of equal sets, make the components.

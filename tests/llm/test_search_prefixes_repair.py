@@ -242,3 +242,17 @@ def test_chained_blocks_are_one_search():
         at = rng.randint(0, len(items))
         whole = repair.solved(items)
         assert repair.chained(repair.solved(items[:at]), repair.solved(items[at:])) == whole
+
+
+def test_huge_sets_at_the_threshold_lose_no_link(spark):
+    """Half a million shingles each: 1 and 3 fall one shingle short of the threshold, 2 and 3 reach it, 1 and 2 are near; 4 is apart."""
+    from starbraid.llm import neardup
+
+    n, k = 490_000, 420_000
+    words = [f"w{i:x}" for i in range(n + 4)]
+    tail = [f"t{i:x}" for i in range(n)]
+    other = [f"u{i:x}" for i in range(n)]
+    share = lambda own, m: " ".join(own[: m + 4] + tail[: n - m])
+    docs = spark.createDataFrame([(1, share(words, k - 1)), (2, share(words, k)), (3, " ".join(words)), (4, " ".join(other))], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs).collect()}
+    assert got == {1: (n, 1), 2: (n, 1), 3: (n, 1), 4: (n - 4, 4)}

@@ -41,7 +41,7 @@ from .common import cut, text_of
 
 LENGTH = 100
 GRAM = 32
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Stretches that a partition holds before it emits them.
 HELD = 2_000_000
 HOT = 4000
@@ -104,6 +104,35 @@ def stretches(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     return text, s1 - begins[text], s2 + length - begins[text], h[p].view(np.int64), content.view(np.int64)
 
 
+def stretched(parts: list[bytes], chunk: int | None = None, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """The stretches of texts of any length, about `chunk` bytes at a time.
+
+    A long text is taken in pieces: of all but its last piece the last stretch is left out, since it may go on, and the next
+    piece begins with that stretch. An anchor depends on its window only, so the stretches are those of the whole text."""
+    chunk = chunk or CHUNK
+    lo = 0
+    while lo < len(parts):
+        if len(parts[lo]) > chunk:
+            at, raw = 0, parts[lo]
+            while True:
+                ends = at + chunk >= len(raw)
+                text, start, stop, h, c = stretches([raw[at : at + chunk]])
+                keep = slice(None) if ends else slice(0, -1)
+                yield tuple(x[keep] for x in (text + lo, start + at, stop + at, h, c))
+                if ends:
+                    break
+                at += int(start[-1])
+            lo += 1
+            continue
+        hi, size = lo, 0
+        while hi < len(parts) and len(parts[hi]) <= chunk and size < chunk:
+            size += len(parts[hi])
+            hi += 1
+        text, start, stop, h, c = stretches(parts[lo:hi])
+        yield text + lo, start, stop, h, c
+        lo = hi
+
+
 def packed(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 32) | stop.astype(np.int64)
 
@@ -141,13 +170,15 @@ def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for docs, ties, parts in chunks(batch):
-            text, start, stop, h, c = stretches(parts)
-            held.append((h, c, np.array(docs, np.int64)[text], np.array(ties, np.int64)[text], packed(start, stop)))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield flush()
-                held.clear()
+            for text, start, stop, h, c in stretched(parts):
+                held.append((h, c, np.array(docs, np.int64)[text], np.array(ties, np.int64)[text], packed(start, stop)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield flush()
+                    held.clear()
     if held:
         yield flush()
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the worker serves other tasks next
 
 
 def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -439,3 +439,15 @@ def test_repeats_of_rows_without_ids_or_with_shared_ids(spark):
     for hot in (4000, 1):
         got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), hot).mapInArrow(repeats.digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect())
         assert got == sorted([(0, 301, 0), (0, 301, 301), (0, 301, 0), (0, 240, 0), (3, 208, 200), (3, 300, 0), (4, 300, 300)])
+
+
+def test_stretches_of_a_long_text_do_not_depend_on_its_pieces():
+    import random
+
+    rng = random.Random(6)
+    passage = bytes(rng.randrange(97, 123) for _ in range(400))
+    texts_ = [b"".join(passage if rng.random() < 0.3 else bytes(rng.randrange(97, 101) for _ in range(rng.randint(1, 300))) for _ in range(n)) for n in (40, 0, 3, 60, 1)] + [b"ab" * 5000, b"x" * 99, b"y" * 100]
+    want = sorted(zip(*(x.tolist() for x in repeats.stretches(texts_))))
+    for chunk in (700, 1000, 4096, 1 << 20):
+        got = sorted(r for part in repeats.stretched(texts_, chunk) for r in zip(*(x.tolist() for x in part)))
+        assert got == want

@@ -195,6 +195,61 @@ def test_license_with_a_changed_word_is_still_found(spark):
     assert "mit-text" in licenses.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().labels
 
 
+def plain_licenses(text):
+    """(labels, score, spans) by plain loops over words, diagonals and islands."""
+    low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))
+    w, found, score, labels = cut(text), {}, 0.0, set()
+    for t, (label, phrase) in enumerate(licenses.BASE + licenses.TEMPLATES + licenses.TEXTS):
+        k, p = (2 if t < len(licenses.BASE) else 5), cut(phrase)
+        need, lines, own = len(p) - k + 1, {}, {}
+        for j in range(need):
+            own.setdefault(tuple(p[j : j + k]), []).append(j)
+        for i in range(len(w) - k + 1):
+            for j in own.get(tuple(w[i : i + k]), ()):
+                lines.setdefault(i - j, []).append((i, j))
+        if t < len(licenses.BASE):
+            labels |= {label} if any(len({j for _, j in x}) == need for x in lines.values()) else set()
+        islands = []
+        for d in sorted(lines):
+            lo, hi = min(lines[d])[0], max(lines[d])[0]
+            if islands and d - islands[-1]["d"] <= licenses.DRIFT and lo - islands[-1]["last"] <= licenses.DRIFT * k:
+                one = islands[-1]
+                one["lo"], one["hi"] = min(one["lo"], lo), max(one["hi"], hi)
+            else:
+                islands.append(one := {"lo": lo, "hi": hi, "at": set()})
+            one["d"], one["last"] = d, hi
+            one["at"] |= {j for _, j in lines[d]}
+        for one in islands:
+            share = min(1.0, len(one["at"]) / need)
+            score = max(score, share)
+            if t >= len(licenses.BASE) and share >= licenses.COVER:
+                found[one["lo"]] = max(found.get(one["lo"], ()), (len(one["at"]), label, one["lo"], one["hi"] + k))
+    ends = {}
+    for x in found.values():
+        ends[x[3]] = max(ends.get(x[3], ()), x)
+    spans = sorted((x[1], x[2], x[3]) for x in ends.values())
+    return ",".join(sorted(labels | {x[0] for x in spans})), score, [":".join(map(str, x)) for x in spans]
+
+
+def test_license_texts_are_found_told_apart_and_equal_a_plain_scan(spark, small, docs):
+    import random
+
+    rng, full = random.Random(8), dict(licenses.TEXTS)
+    worn = lambda t, n: " ".join(x for y in t.split() for x in ((y,) if rng.random() > n else rng.choice([(), (y, "extra"), ("changed",)])))
+    rows = [(i, f"intro {i} words. {t}\n\nafter it") for i, (_, t) in enumerate(licenses.TEXTS)] + [(100 + i, worn(t, 0.03)) for i, (_, t) in enumerate(licenses.TEXTS)]
+    rows += [(200, full["mit"] + " and " + full["zlib"] + " twice " + full["mit"]), (201, full["mit"][:300]), (202, full["gpl-2.0-or-later"].replace("version 2", "version 3"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, (label, _) in enumerate(licenses.TEXTS):
+        assert label in got[i].labels.split(",") and label in got[100 + i].labels.split(","), (label, got[100 + i].labels)
+    assert "bsd-2-clause" not in got[2].labels.split(",") and "gpl-2.0-or-later" not in got[8].labels.split(",") and "gpl-3.0-or-later" in got[202].labels.split(",")
+    assert [s.split(":")[0] for s in got[200].license_spans] == ["mit", "mit", "zlib"] and got[201].labels == "mit-text"
+    for some in (df, small, docs, small.limit(0)):
+        want = [(d, *plain_licenses(t)) for d, t in texts(some)]
+        assert rows_of(licenses.scan(some).select("doc_id", "labels", "score", "license_spans")) == sorted(want, key=str)
+
+
 def test_shards_are_even_and_slots_gapless(spark, small, docs, tmp_path):
     sized = sharding.slotted(docs, 512)
     weights = sharding.slot_weights(sized)
@@ -391,6 +446,58 @@ def test_fingerprints_edits_and_order(spark, small, docs):
     assert rows_of(rows) == rows_of(fingerprints.fingerprinted(docs))
 
 
+def plain_fingerprint(text, levels=fingerprints.LEVELS):
+    """Set of the last level's phrases, each as its nested symbols, by a plain parser of runs, tosses and local maxima."""
+    x = list(text)
+    for _ in range(levels):
+        runs = []
+        for c in x:
+            if runs and runs[-1][0] == c:
+                runs[-1][1] += 1
+            else:
+                runs.append([c, 1])
+        y = [c if n == 1 else ("run", c, n) for c, n in runs]
+        # Names are hashes, so tosses are made on the operator's own numbers of these symbols.
+        label = [NUMBER(c) for c in y]
+        for r in range(4):
+            bits, new = 64 if r == 0 else 8, []
+            for i, v in enumerate(label):
+                left = label[i - 1] if i else (~v) & ((1 << bits) - 1)
+                at = ((v ^ left) & -(v ^ left)).bit_length() - 1
+                new.append(2 * at + (v >> at & 1))
+            label = new
+        cuts = [i for i in range(len(y)) if i == 0 or (i > 1 and label[i] > label[i - 1] and (i == len(y) - 1 or label[i] > label[i + 1]))]
+        x = [("phrase", *y[a:b]) for a, b in zip(cuts, [*cuts[1:], len(y)])]
+    return set(x)
+
+
+def NUMBER(c):
+    """The 64-bit number of a nested symbol: characters, runs and phrases as the operator names them, one at a time."""
+    mask, mix = (1 << 64) - 1, lambda v: (lambda z: z ^ (z >> 29))(((v ^ (v >> 31)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1))
+    if isinstance(c, str):
+        return ord(c)
+    if c[0] == "run":
+        return mix((NUMBER(c[1]) + c[2] * 0xD6E8FEB86659FD93) & mask)
+    total, power = 0, 1
+    for part in c[1:]:
+        power = power * 0x9E3779B97F4A7C15 & mask
+        total = (total + mix((NUMBER(part) + 0x632BE59BD9B4E019) & mask) * power) & mask
+    return mix(total)
+
+
+def test_likeness_is_that_of_plainly_parsed_phrases(docs):
+    """Minima over the names of plainly parsed phrases are the fingerprint; their share of equal ones is near the Jaccard."""
+    own = [t for _, t in texts(docs) if t][:25] + ["a", "aaaa", "ab" * 40, "x" * 500 + "y", "日本語" * 30]
+    got = fingerprints.fingerprints(own)
+    sets = [{NUMBER(p) for p in plain_fingerprint(t)} for t in own]
+    for row, names in zip(got.tolist(), sets):
+        assert row == [min(((n * int(m) + int(a)) & ((1 << 64) - 1)) >> 32 for n in names) for m, a in zip(fingerprints._MULTIPLIERS, fingerprints._ADDENDS)]
+    for i, t in enumerate(own[:25]):
+        e = fingerprints.edited(t, own[(i + 1) % len(own)])
+        jaccard = len(sets[i] & (s := {NUMBER(p) for p in plain_fingerprint(e)})) / len(sets[i] | s)
+        assert abs(fingerprints.likeness(got[i], fingerprints.fingerprints([e])[0], False, False) - jaccard) < 0.25
+
+
 def test_fingerprints_are_local():
     body = LONG[:20000]
     a, b, c, d = fingerprints.fingerprints([body, "prefix of any length " + body, " ".join(f"q{i * i % 7919}z" for i in range(3000)), body])
@@ -405,6 +512,23 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.8 and n.get((0, True), 0) / n[0, False] < 0.02
 
 
+def test_toxicity_scores_are_those_of_a_plain_chain(spark):
+    """Every document's probabilities by plain sums over its own features, model after model."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    models = toxicity.fit_chain(*toxicity.training(docs, labels))
+    got = {r.doc_id: r for r in toxicity.scored(docs, labels).select("carried.doc_id", "p_low_quality", "p_toxic", "p_severe", "rejected").collect()}
+    for d, t in texts(docs)[::7]:
+        features, before = {f for w in toxicity.words_of(t) for f in toxicity.features_of(w)}, []
+        for m in models:
+            own = dict(zip(m.chosen.tolist(), m.weights.tolist()))
+            z = m.bias + sum(own.get(f, 0.0) for f in features) + sum(c * p for c, p in zip(m.chain.tolist(), before))
+            before.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        assert [got[d].p_low_quality, got[d].p_toxic, got[d].p_severe] == pytest.approx(before, abs=1e-9)
+        assert got[d].rejected == (got[d].p_toxic >= toxicity.THRESHOLD)
+
+
 def test_toxicity_words_of_long_texts(monkeypatch):
     text = " ".join(f"Wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}, n{i}" for i in range(900)) + "x" * 300 + " End"
     whole = set(toxicity.WORD.findall(text.lower()))

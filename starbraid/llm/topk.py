@@ -35,8 +35,9 @@ from .common import cut
 TOP = 20
 EVERY = 20
 SCALE = 64
-#: The driver's tables hold at most PIVOTS * PIVOTS * RINGS / WIDE routes and PIVOTS * RINGS summaries, whatever the rows.
-PIVOTS, RINGS, WIDE = 1024, 24, 4
+#: The driver's tables hold at most PIVOTS * PIVOTS * RINGS / WIDE routes (about 400,000) and PIVOTS * RINGS summaries,
+#: whatever the rows.
+PIVOTS, RINGS, WIDE = 256, 24, 4
 #: Pivots are picked from a sample this many times as large.
 OVER = 4
 #: Rows of a data block and queries of a group.

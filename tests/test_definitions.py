@@ -258,3 +258,33 @@ def test_ties_and_flat_differences_have_no_statistic(spark):
     assert (wide["flat"].n_state_clusters, wide["flat"].dm_state_cluster_stat) == (1, None) and wide["v"].n_month_key_clusters == 6
     # A row a cluster: the clustered variance is the plain one times (n - 1) / n twice over.
     assert wide["v"].dm_month_key_cluster_stat == pytest.approx(wide["v"].dm_lag0_stat, abs=2e-3)
+
+
+def test_the_profile_leaves_unknown_keys_out_and_names_zones_without_a_borough(spark):
+    from starbraid.operators.dims import calendar
+
+    rows = [(1, 20240101, 8, 10.0, 60.0), (1, 20240108, 8, 20.0, None), (2, 20240101, 9, 5.0, 30.0), (2, 20240102, 9, None, 90.0), (9, 20240101, 8, 99.0, 1.0), (1, 20300101, 8, 99.0, 1.0), (1, -1, 8, 99.0, 1.0)]
+    df = spark.createDataFrame(rows, "pickup_zone int, date_key int, pickup_hour int, total double, seconds double")
+    zone = spark.createDataFrame([(1, "Z1", "B"), (2, "Z2", None)], "zone_key int, zone string, borough string")
+    dates = calendar(spark, "2024-01-01", "2024-12-31").where("date_key > 0")
+    got = {(r.borough, r.day_of_week, r.pickup_hour): r for r in A.demand_profile(df, zone, dates, {"avg_total": ("total", 1.0, 4), "avg_minutes": ("seconds", 60.0, 3)}).collect()}
+    assert set(got) == {("B", 1, 8), ("Unattributed", 1, 9), ("Unattributed", 2, 9)}
+    one = got["B", 1, 8]
+    assert (one.trip_count, one.avg_total, one.avg_minutes, one.day_name, one.pct_of_borough_trips, one.pct_of_all_trips, one.hour_rank_in_day) == (2, 15.0, 1.0, "Monday", 100.0, 50.0, 1)
+    assert got["Unattributed", 2, 9].avg_total is None and got["Unattributed", 2, 9].pct_of_borough_trips == 50.0
+
+
+def test_corridors_keep_ties_and_have_exact_medians(spark, zone):
+    rows = [(1, 2, 10.0, 1), (1, 2, 20.0, 2), (1, 2, 60.0, 9), (2, 1, 7.0, 4), (2, 1, 9.0, 4), (3, 3, 1.0, 1), (3, 3, 2.0, None), (3, 1, 5.0, 5), (1, 1, 1.0, 1), (0, 1, 1.0, 1), (0, 1, 1.0, 1), (0, 1, 1.0, 1)]
+    df = spark.createDataFrame(rows, "pickup_zone int, dropoff_zone int, fare double, days int").withColumns({"total": F.col("fare"), "distance": F.lit(2.0), "tip": F.lit(1.0)})
+    got = {(r.pickup_name, r.dropoff_name): r for r in A.corridors(df, zone, [0], 2).collect()}
+    assert {k: r.corridor_rank for k, r in got.items()} == {("Z1", "Z2"): 1, ("Z2", "Z1"): 2, ("Z3", "Z3"): 2}
+    assert [(got[k].median_fare, got[k].median_days) for k in (("Z1", "Z2"), ("Z2", "Z1"), ("Z3", "Z3"))] == [(20.0, 2.0), (8.0, 4.0), (1.5, 1.0)]
+    assert got["Z1", "Z2"].pct_of_eligible_trips == pytest.approx(100 * 3 / 9, abs=1e-6) and got["Z3", "Z3"].is_intra_zone
+
+
+def test_grain_leaves_absent_facts_out_and_counts_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "b", 3.0)], "d int, g string, x double")
+    got = {r.fact_table: r for r in A.grain({"fact": {"rows": rows, "date": "d", "geo": "g", "grain": "a row", "keys": ["d", "g"], "measures": ["x"]}, "small": {"rows": rows.limit(1), "date": "d"}, "none": {"rows": None}}).collect()}
+    assert set(got) == {"fact", "small"} and got["fact"].rows_vs_coarsest_fact == 3.0 and got["small"].distinct_geo_members is None
+    assert (got["fact"].foreign_key_count, got["fact"].measure_count, got["fact"].distinct_date_members, got["fact"].grain_statement) == (2, 1, 2, "a row")

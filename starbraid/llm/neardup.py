@@ -16,7 +16,8 @@ n - ceil(0.75 n) + 1 smallest shingle hashes, of which two sets of similarity 0.
 
 Defined results: null or blank text has no shingles and is linked with nothing; one to four words are one shingle; rows
 without an id are linked with nothing (component null, kept); rows that share an id are one document whose texts both
-count; an empty table gives no rows; extra columns are ignored.
+count; of equally near documents none is preferred, the smallest id names them all; texts of any length are shingled whole
+(a set takes 8 bytes a shingle); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ laid out as often as the counts allow, and the next window is searched on what i
 inside hashed buckets (a hot length never sits in one task), and a piece's number says which window and place it has.
 
 Defined results: null or empty text has one piece, the end id alone; repeated rows and null ids are documents of their
-own; a sequence holds at most 2,048 ids and is padded to 2,048 unless its ids number a power of two; an empty table
-gives no rows; extra columns are ignored.
+own; pieces of one length are interchangeable, whichever takes a place; texts of any length are encoded whole, some
+millions of characters at a time; a sequence holds at most 2,048 ids and is padded to 2,048 unless its ids number a power
+of two; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

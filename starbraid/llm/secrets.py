@@ -21,7 +21,8 @@ P-values are kept as steps of a logarithmic grid, so the corpus-wide step needs
 length class, step): a few thousand rows whatever the corpus.
 
 Defined results: null or empty text has no spans and the digest of an empty string; repeated rows and null ids are kept
-as rows of their own; an empty table gives no rows; extra columns are ignored. Texts are scanned whole.
+as rows of their own; tokens of one step of the grid are reported or dropped together; texts of any length are scanned
+whole, one at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 SHEET = ["file", "sheet"]
 # Month names by number.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -124,12 +126,14 @@ def deduplicated(panel_rows: DataFrame) -> DataFrame:
 def missing_months(rows: DataFrame, month: str) -> DataFrame:
     """Months between the first and the last that do not occur ('YYYY-MM')."""
     day = F.to_date(F.concat(F.col(month), F.lit("-01")))
-    span = rows.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("d"))
-    return span.select(F.date_format("d", "yyyy-MM").alias(month)).join(rows.select(month).distinct(), month, "left_anti")
+    every = F.transform(F.sequence(F.min(day), F.max(day), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+    found = rows.select(month).distinct().agg(F.array_except(every, F.collect_set(month)).alias("m_"))  # a value a month
+    return found.select(F.explode("m_").alias(month))
 
 
 def diagnostics(panel_rows: DataFrame, claimed_gaps: list[str], lo: float, hi: float) -> DataFrame:
     """X11: (metric, value): gaps claimed but not observed and the reverse, implausible prices, months and units."""
+    panel_rows = written(panel_rows.select("month", "state", "price"))  # the gaps and the counts read it
     observed = missing_months(panel_rows.select("month"), "month").agg(F.collect_set("month").alias("o"))
     claimed = F.lit(claimed_gaps).cast("array<string>")
     stats = panel_rows.agg(F.count_if((F.col("price") < lo) | (F.col("price") > hi)).alias("bad"), F.count_distinct("month").alias("months"), F.count_distinct("state").alias("units"))

@@ -525,8 +525,11 @@ def s13(spark, sf):
 
 
 def cell_table(spark, sf):
-    """Each zone a file with a sheet a year: a header, its states by month, a total row, a note and a repeated block."""
-    p = price_panel(spark, sf).withColumns({"mon": (F.floor(F.col("month_key") / 100) % 100).cast("int"), "year": F.floor(F.col("month_key") / 10000).cast("int")})
+    """Each zone a file with a sheet a year: a header, its states by month, a total row, a note and a repeated block.
+
+    Panel and cells are written: the kinds of cells and the parts of panel() all read them, and Spark would else move
+    filters on month texts down to the line items. Both hold rows by state and month, however many line items there are."""
+    p = S.written(price_panel(spark, sf)).withColumns({"mon": (F.floor(F.col("month_key") / 100) % 100).cast("int"), "year": F.floor(F.col("month_key") / 10000).cast("int")})
     row = (F.dense_rank().over(Window.partitionBy("zone", "year").orderBy("state")) + 3).cast("int")
     base = p.withColumns({"row": row, "file": F.col("zone"), "sheet": F.concat(F.lit("s"), F.col("year"))})
     price = F.format_number("price", 4)
@@ -539,7 +542,7 @@ def cell_table(spark, sf):
     sheets = base.select("file", "sheet").distinct()
     fixed = sheets.select("file", "sheet", F.inline(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in ((1, 1, "Prices"), (3, 1, "STATES"), (90, 1, "Average"), (90, 2, "7"), (95, 1, "Note: provisional"))])))
     again = names.select("file", "sheet", (F.col("row") + 100).alias("row"), "col", "value").union(body.select("file", "sheet", (F.col("row") + 100).alias("row"), "col", F.lit("1").alias("value")))
-    return body.union(names).union(heads).union(fixed).union(again)
+    return S.written(body.union(names).union(heads).union(fixed).union(again))
 
 
 def variants(spark, sf):
